@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -136,15 +137,15 @@ class Encoder:
         return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(model: Broadcast, compiled: Broadcast) -> Encoder:
+def _encoder(key: str, model: Broadcast, compiled: Broadcast) -> Encoder:
     """One for each worker process and lexicon."""
-    if compiled.id not in _encoders:
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[compiled.id] = Encoder(Model(model.value), compiled.value)
-    return _encoders[compiled.id]
+        _encoders[key] = Encoder(Model(model.value), compiled.value)
+    return _encoders[key]
 
 
 def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WORDS, memory: int = 200_000) -> list[str]:
@@ -210,11 +211,12 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, limit: int, col
     shared, compiled = prepare(docs, path, text_col, limit)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, compiled)
+        encoder = _encoder(key, shared, compiled)
         for batch in slices(batches):
             arrays = body(encoder, [t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=names)
 
+    key = uuid.uuid4().hex
     names = ["id", *(c.split()[0] for c in columns.split(", "))]
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
