@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe, chat_format, quality_rules
+from gristmill.llm import bpe, chat_format, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_bpe": bpe.op6_bpe,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": chat_format.ORACLE_SQL}
