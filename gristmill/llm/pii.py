@@ -358,9 +358,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("base", "added"),
         lambda x, y: F.when(_rank(x) < _rank(y), -1).when(_rank(x) > _rank(y), 1).when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(x["end"] - y["end"]),
     )
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.array_compact(F.transform("base", _if_kind(k)))).cast("long").alias(f"n_{k}") for k in BASE]
     return find(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(every).alias("spans"))
 
 
 def _rank(span):
     return F.array_position(F.array(*map(F.lit, TYPES)), span["kind"])
+
+
+def _if_kind(kind: str):
+    return lambda span: F.when(span["kind"] == kind, True)
