@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe, chat_format, mixing, pii, quality_rules
+from gristmill.llm import bpe, chat_format, line_dedup, mixing, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_bpe": bpe.op6_bpe,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": chat_format.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_formatting": chat_format.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+}
