@@ -26,13 +26,14 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import documents, slices
+from gristmill.llm.common import cut, documents, slices
 from gristmill.llm.lexicon import Lexicon, compile_words
 
 FREQUENT_WORDS = 1 << 16
@@ -112,28 +113,31 @@ def _normal(text: str) -> str:
 
 
 class Encoder:
-    """A model with its lexicon; what it has met lately is remembered, up to ``MEMO_WORDS`` pieces."""
+    """A model with its lexicon; what it has met lately is remembered, up to twice ``MEMO_WORDS`` pieces."""
 
     def __init__(self, model: Model, compiled: bytes) -> None:
         self.model, self.lexicon = model, Lexicon(compiled)
         self._memo: dict[str, tuple[int, str, str]] = {}
+        self._older: dict[str, tuple[int, str, str]] = {}
 
     def ids(self, piece: str) -> list[int]:
         found = self.lexicon.get(piece)
         return self.model.merge(piece) if found is None else found
 
-    def __missing__(self, piece: str) -> tuple[int, str, str]:
-        ids = self.ids(piece)
-        entry = (len(ids), " ".join(map(str, ids)), self.model.decode(ids))
+    def _miss(self, piece: str) -> tuple[int, str, str]:
+        entry = self._older.get(piece)
+        if entry is None:
+            ids = self.ids(piece)
+            entry = (len(ids), " ".join(map(str, ids)), self.model.decode(ids))
         if len(self._memo) >= MEMO_WORDS:
-            self._memo.clear()
+            self._older, self._memo = self._memo, {}
         self._memo[piece] = entry
         return entry
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids in decimal and the decoded text."""
-        memo, missing = self._memo.get, self.__missing__
-        found = [memo(p) or missing(p) for p in self.model.pieces(text)]
+        missing = self._miss
+        found = [self._memo.get(p) or missing(p) for p in self.model.pieces(text)]
         return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
 
 
@@ -149,7 +153,7 @@ def _encoder(key: str, model: Broadcast, compiled: Broadcast) -> Encoder:
 
 
 def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WORDS, memory: int = 200_000) -> list[str]:
-    """The ``limit`` most frequent pieces over all texts, ties by code point.
+    """The most frequent pieces over all texts, at most ``limit``: as many whole levels of the count's logarithm as fit.
 
     Tasks add up pieces before anything is shuffled and hand on what they
     hold whenever ``memory`` distinct ones are held.
@@ -165,8 +169,15 @@ def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WOR
                 held = Counter()
         yield _pairs(held)
 
-    counts = texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in counts.orderBy(F.desc("n"), "piece").limit(limit).collect()]
+    counts = cut(texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    level = F.floor(F.log("n") / float(np.log(1.01))).cast("int")
+    held, least = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > limit:
+            break
+        least = row.level
+    return [] if least is None else [r.piece for r in counts.where(level >= least).collect()]
 
 
 def _pairs(held: Counter) -> pa.RecordBatch:
