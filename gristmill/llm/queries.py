@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe, chat_format, line_dedup, mixing, pii, quality_rules
+from gristmill.llm import bpe, chat_format, line_dedup, mixing, pii, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_simhash": simhash.op2_simhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_bpe": bpe.op6_bpe,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
