@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe, chat_format, line_dedup, mixing, pii, quality_rules, simhash
+from gristmill.llm import bpe, chat_format, line_dedup, mixing, pii, quality_rules, simhash, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_bpe": bpe.op6_bpe,
+    "op7_fingerprints": sketch.op7_fingerprints,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
