@@ -26,14 +26,13 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, documents, slices
+from gristmill.llm.common import cut, documents, frequent, slices
 from gristmill.llm.lexicon import Lexicon, compile_words
 
 FREQUENT_WORDS = 1 << 16
@@ -170,14 +169,7 @@ def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WOR
         yield _pairs(held)
 
     counts = cut(texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
-    level = F.floor(F.log("n") / float(np.log(1.01))).cast("int")
-    held, least = 0, None
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        held += row["count"]
-        if held > limit:
-            break
-        least = row.level
-    return [] if least is None else [r.piece for r in counts.where(level >= least).collect()]
+    return [r.piece for r in frequent(counts, limit).collect()]
 
 
 def _pairs(held: Counter) -> pa.RecordBatch:

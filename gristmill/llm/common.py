@@ -82,3 +82,19 @@ def text_or_empty(column: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
+    """The rows of largest ``n``, at most ``limit`` of them: as many whole levels of its logarithm as fit.
+
+    ``counts`` is read twice.  The driver sees one row for each level, so the
+    bound needs no sort, and rows of equal ``n`` stand or fall together.
+    """
+    level = F.floor(F.log(n) / F.log(F.lit(1.01))).cast("int")
+    held, least = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > limit:
+            break
+        least = row.level
+    return counts.where(F.lit(False) if least is None else level >= least)
