@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe, chat_format, language_model, line_dedup, mixing, pii, quality_rules, simhash, sketch
+from gristmill.llm import bpe, chat_format, language_model, line_dedup, mixing, pii, quality_model, quality_rules, simhash, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
+    "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_language_model": language_model.op5_language_model,
     "op6_bpe": bpe.op6_bpe,
