@@ -26,6 +26,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -188,13 +189,14 @@ def prepare(docs: DataFrame, path: str, text_col: str = "text", limit: int = FRE
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = FREQUENT_WORDS) -> DataFrame:
-    """id, ids (array of int) and decoded text of every row."""
+    """id, n_tokens, ids (array of int) and decoded text of every row."""
 
     def body(encoder: Encoder, texts: list[str]) -> list[pa.Array]:
-        ids = [[i for p in encoder.model.pieces(t) for i in encoder.ids(p)] for t in texts]
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.model.decode(i) for i in ids], pa.string())]
+        rows = [encoder.encode(t) for t in texts]
+        ids = pa.array([np.array(ids.split(), np.int32) for _, ids, _ in rows], pa.list_(pa.int32()))
+        return [pa.array([n for n, _, _ in rows], pa.int64()), ids, pa.array([back for _, _, back in rows], pa.string())]
 
-    return _map(docs, path, id_col, text_col, limit, "ids array<int>, decoded string", body)
+    return _map(docs, path, id_col, text_col, limit, "n_tokens long, ids array<int>, decoded string", body)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = FREQUENT_WORDS) -> DataFrame:

@@ -10,7 +10,8 @@ Only counts are fitted: a source's distinct lengths number at most the root of
 twice its words, which bounds the group that one task fits.  Documents of one
 source and length may be a third of the table, so they are dealt over
 ``BUCKETS`` by their hash; whole buckets are taken in order and only inside
-one bucket are documents ranked.  Texts are read once and never shuffled.
+one bucket are documents ranked.  The query drops the texts once they are
+counted; ``mixed_documents`` carries them through one shuffle.
 
 Edge cases: a null text has size 0 and is never taken for anything; a null
 source is a source of its own, the last; rows that repeat are documents of
@@ -35,10 +36,17 @@ BUCKETS = 256
 RESERVE = 1 << 16
 
 
-def sizes(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` without the text: the words of each row as ``size``, and its seeded hash as ``draw``."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SQL)), F.lit(0)).cast("long")
-    return docs.withColumn("size", size).drop(text_col)
+def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the words of each row as ``size``."""
+    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SQL)), F.lit(0)).cast("long"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them."""
+    taken = mix(sizes(docs.withColumnRenamed("size", "_size") if "size" in docs.columns else docs))
+    repeated = taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    kept = repeated.drop("size", "source_size", "target", "copies", "_copy")
+    return kept.withColumnRenamed("_size", "size").select(docs.columns)
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, source_col: str = "source") -> DataFrame:
@@ -176,5 +184,5 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = cut(sizes(documents(spark, sf_dir).select("doc_id", "source", "text")), "sizes")
+    sized = cut(sizes(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"), "sizes")
     return mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -62,14 +62,14 @@ def shingles(tokens: list[str], size: int) -> list[str]:
     return list(map(" ".join, zip(*(tokens[k:] for k in range(size)))))
 
 
-def vote(hashes: list[int], lengths: list[int]) -> np.ndarray:
+def vote(hashes: list[int] | np.ndarray, lengths: list[int]) -> np.ndarray:
     """One fingerprint for each run of ``lengths`` hashes: bits set in over half of the run; 0 for an empty run."""
     out = np.zeros(len(lengths), np.uint64)
     sizes = np.array(lengths, np.int64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    flat = np.array(hashes, "<u8")
+    flat = np.ascontiguousarray(hashes, "<u8")
     starts = (np.cumsum(sizes) - sizes)[full]
     bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
@@ -94,6 +94,56 @@ def fingerprints(docs: DataFrame, features: Callable[[list[str]], list[str]], se
     return slim.mapInArrow(made, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:])).withColumnRenamed("id", id_col)
 
 
+#: For documents of similarity 0.8 and more (five-word shingles): bits of the leading fingerprint and of 128 that verify.
+NEAR_WORDS = 5
+NEAR_LEADING = 7
+NEAR_VERIFIED = 22
+LONG_WORD = 4
+MOST_NEAR_IN_KEY = 1 << 14
+
+
+def near_fingerprints(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """id, fp0 of the distinct words of ``LONG_WORD`` characters or more, and fp1, fp2 of all five-word shingles.
+
+    Few changed words move fp0 by few bits, so a low threshold finds the
+    candidates; fp1 and fp2 estimate the similarity of the shingles.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            tokens = [words(lower_ascii(t or "")) for t in batch.column("text").to_pylist()]
+            leading = [{w for w in t if len(w) >= LONG_WORD} or set(t) for t in tokens]
+            runs = [shingles(t, NEAR_WORDS) for t in tokens]
+            fp0 = vote([xxhash.xxh64_intdigest(w, SEED) for f in leading for w in f], [len(f) for f in leading])
+            wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(r) for f in runs for r in f]), "<u8").reshape(-1, 2)
+            lengths = [len(f) for f in runs]
+            columns = [fp0, vote(wide[:, 0], lengths), vote(wide[:, 1], lengths)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c.view(np.int64)) for c in columns)], names=["id", "fp0", "fp1", "fp2"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(made, f"id {kind}, fp0 long, fp1 long, fp2 long").withColumnRenamed("id", id_col)
+
+
+def near(fps: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    leading = np.bitwise_count(fps[0][a] ^ fps[0][b]) <= NEAR_LEADING
+    return leading & (np.bitwise_count(fps[1][a] ^ fps[1][b]) + np.bitwise_count(fps[2][a] ^ fps[2][b]) <= NEAR_VERIFIED)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for those that are near another of smaller id.
+
+    Rows that repeat id and text are one document: they stay or go together.
+    Rows without an id stay if no document with one is near them.
+    """
+    content = F.xxhash64(F.col(id_col), F.col(text_col))
+    named = docs.withColumn("_content", content)
+    fps = cut(near_fingerprints(named.withColumn("_id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_content").alias("content"))).select("_id", text_col), "_id", text_col), "near-fingerprints")
+    out = grouped(fps, NEAR_LEADING, near, "_id", MOST_NEAR_IN_KEY)
+    gone = out.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id.content").alias("_gone")).distinct()
+    return named.join(gone, named["_content"] == gone["_gone"], "left_anti").drop("_content")
+
+
 def _unpacked(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
