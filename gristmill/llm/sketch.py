@@ -120,12 +120,12 @@ def _range_of(value: Column, bounds: list) -> Column:
     if not bounds:
         return F.lit(0)
     table = F.array(*map(F.lit, bounds))
-    low, width = F.lit(0), 1 << (len(bounds).bit_length() - 1)
-    while width:
-        at = low + width
-        low = F.when((at <= len(bounds)) & (F.try_element_at(table, at) < value), at).otherwise(low)
-        width //= 2
-    return low
+    widths = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def halve(low: Column, width: Column) -> Column:
+        return F.when(F.try_element_at(table, low + width) < value, low + width).otherwise(low)
+
+    return F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), halve)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
