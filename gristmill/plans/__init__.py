@@ -1,6 +1,6 @@
 """The catalogue of queries over the tables."""
 
-from gristmill.plans import relational, statistics  # noqa: F401
+from gristmill.plans import ordered, relational, statistics, texts  # noqa: F401
 from gristmill.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
