@@ -52,7 +52,7 @@ def escape(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """The inverse of ``escape``: halves of the text around a doubled backslash are restored apart from each other."""
-    halves = F.split(text, r"\\\\\\\\")
+    halves = F.split(text, r"\\\\")
     return F.array_join(F.transform(halves, lambda part: F.replace(part, F.lit("<\\|"), F.lit("<|"))), "\\")
 
 
@@ -62,7 +62,7 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    halves = F.split(role, r"\\\\\\\\")
+    halves = F.split(role, r"\\\\")
     return F.array_join(F.transform(halves, lambda part: F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|"))), "\\")
 
 
