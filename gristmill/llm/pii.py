@@ -61,7 +61,8 @@ def _valid(kind: str, text: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        parts = [p.lstrip("0") or "0" for p in text.split(".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     digits = re.sub("[^0-9]", "", text)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
