@@ -26,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -103,15 +102,27 @@ def twice_seen(texts: DataFrame, segments: int) -> DataFrame:
             row = [[int(home[low])], [_bitmap(offsets)], [_bitmap(offsets[times[low:high] > 1])]]
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.binary())], names=["segment", "once", "twice"])
 
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(SEGMENT_BITS // 8, np.uint8), np.zeros(SEGMENT_BITS // 8, np.uint8)
-        for o, t in zip(rows["once"], rows["twice"]):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-            twice |= t | (once & o)
-            once |= o
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [twice.tobytes()]})
-
-    return texts.mapInArrow(seen, "segment int, once binary, twice binary").groupBy("segment").applyInPandas(merged, "segment int, bits binary")
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once, twice = None, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        for batch in batches:
+            for segment, *packed in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "twice"))):
+                o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in packed)
+                if segment == at:
+                    twice |= t | (once & o)
+                    once |= o
+                    continue
+                if at is not None:
+                    yield finished(at, twice)
+                at, once, twice = segment, o.copy(), t.copy()
+        if at is not None:
+            yield finished(at, twice)
+
+    def finished(segment: int, twice: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["segment", "bits"])
+
+    # Sorted and merged as a stream: however many tasks have filled a segment, two bitmaps are held.
+    rows = texts.mapInArrow(seen, "segment int, once binary, twice binary")
+    return rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(merged, "segment int, bits binary")
 
 
 def broadcast_filter(filled: DataFrame, segments: int) -> Broadcast:
