@@ -13,7 +13,7 @@ source and length may be a third of the table, so they are dealt over
 one bucket are documents ranked.  The query drops the texts once they are
 counted; ``mixed_documents`` carries them through one shuffle.
 
-Edge cases: a null text has size 0 and is never taken for anything; a null
+Edge cases: a null or wordless text has size 0 and is never in the mix; a null
 source is a source of its own, the last; rows that repeat are documents of
 their own, and their takings sum as if they had differed; an empty table gives
 an empty result; other columns are kept by ``mix`` and ignored by the query.
@@ -44,7 +44,7 @@ def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them."""
     taken = mix(sizes(docs.withColumnRenamed("size", "_size") if "size" in docs.columns else docs))
-    repeated = taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    repeated = taken.where("copies > 0 AND size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     kept = repeated.drop("size", "source_size", "target", "copies", "_copy")
     return kept.withColumnRenamed("_size", "size").select(docs.columns)
 
