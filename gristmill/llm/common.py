@@ -23,22 +23,19 @@ SPACE = "\x20\x09-\x0d"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+_LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SLICE_BYTES = 1 << 20
 
 
 def lower_ascii(text: str) -> str:
     """A-Z lower-cased, everything else as it is."""
-    return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).decode("utf-8", "surrogatepass")
 
 
 def words(text: str) -> list[str]:
-    """Runs without ASCII white space; other white space is part of a word."""
-    return text.split() if text.isascii() and not _SEPARATORS.search(text) else WORD.findall(text)
-
-
-#: str.split() also splits at these; the contracts do not.
-_SEPARATORS = re.compile("[\x1c-\x1f\x85\xa0]")
+    """Runs without ASCII white space, which is where bytes are split; other white space is part of a word."""
+    found = text.encode("utf-8", "surrogatepass").split()
+    return b"\n".join(found).decode("utf-8", "surrogatepass").split("\n") if found else []
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
