@@ -3,9 +3,9 @@
 Words and pairs of words are counted over all training texts.  A count c is
 quantised to q = 1 + floor(log_b c), and the filter holds the n-gram with each
 of 1..q; probing 1, 2, ... until a miss gives q back, never too small.  Bits of
-an n-gram lie in one segment, so segments are built apart and the filter, at
-most ``MOST_SEGMENTS`` of 64 KB, is broadcast.  It takes whole levels of the
-quantised count, from the top, as far as that bound allows.
+an n-gram lie in one segment of 64 KB, so segments are built apart, and there
+are as many as the entries ask for.  Tasks write them to a file in the shared
+folder, which workers map, so no process holds the filter.
 
 P(w | v) = (c(v, w) + K P(w)) / (s(v) + K), with P(w) = (c(w) + 0.5) / (M +
 0.5 (V + 1)).  A count read back is the mean of the integers of its level; M
@@ -25,6 +25,9 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,11 +37,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, documents, frequent, lower_ascii, slices, words
+from gristmill.llm.common import cut, documents, frequent, lower_ascii, shared_folder, slices, words
 
 #: Fixed values of the contract.
 FOLDS, HELD_OUT = 5, 1
@@ -52,7 +55,6 @@ LEAST_PAIR = 2
 HASHES = 3
 BITS_PER_ENTRY = 10
 SEGMENT_BITS = 1 << 19
-MOST_SEGMENTS = 1 << 10
 EXACT_WORDS = 1 << 18
 HELD_WORDS = 300_000
 HELD_PAIRS = 1 << 21
@@ -190,22 +192,33 @@ def _offset(one: np.ndarray, two: np.ndarray, i: int) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """The broadcast bits; ``levels`` probes them."""
+    """A file of segments, or one that Spark sends to every worker's host by name; ``levels`` probes it."""
 
-    def __init__(self, bits: np.ndarray, segments: int) -> None:
-        self.bits, self.segments = bits, segments
+    def __init__(self, path: str, segments: int, sent: bool = False) -> None:
+        self.path, self.segments, self.sent = path, segments, sent
+        self._bits: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_bits": None}
+
+    @property
+    def bits(self) -> np.ndarray:
+        if self._bits is None:
+            self._bits = np.asarray(np.memmap(SparkFiles.get(self.path) if self.sent else self.path, np.uint8, "r"))
+        return self._bits
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key: the first level that is missing, less one."""
         out = np.zeros(len(keys), np.int32)
         live = np.arange(len(keys))
+        bits = self.bits
         start = (keys % np.uint64(self.segments)).astype(np.int64) * SEGMENT_BITS
         level = 1
         while len(live):
             one, two = _steps(keys[live], level)
             for i in range(HASHES):  # most misses end at the first probe
                 at = start[live] + _offset(one, two, i)
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 live, one, two = live[hit], one[hit], two[hit]
             out[live] = level
             level += 1
@@ -214,9 +227,9 @@ class LogFrequencyFilter:
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs on every worker; the three parts are broadcast and bounded."""
+    """What scoring needs on every worker: the filter is mapped, the exact words are broadcast and bounded."""
 
-    filter: Broadcast
+    filter: LogFrequencyFilter
     exact: Broadcast
     train_tokens: int
     distinct: int
@@ -238,23 +251,19 @@ def entries_of(counts: DataFrame) -> DataFrame:
 
 
 def build_filter(counts: DataFrame) -> LogFrequencyFilter:
-    """The filter of ``counts`` (word, pair, n).
-
-    Contexts are always held; words and pairs from the level on that fits.
-    """
+    """The filter of all of ``counts`` (word, pair, n)."""
+    spark = counts.sparkSession
     entries = cut(entries_of(counts), "entries")
-    most = MOST_SEGMENTS * SEGMENT_BITS // BITS_PER_ENTRY
-    sizes = entries.groupBy("kind", "level").count().collect()
-    held = fits = sum(r["count"] * r.level for r in sizes if r.kind)
-    least = None
-    for row in sorted((r for r in sizes if not r.kind), key=lambda r: -r.level):
-        held += row["count"] * row.level
-        if held > most:
-            break
-        least, fits = row.level, held
-    if least is None:
-        return LogFrequencyFilter(np.zeros(SEGMENT_BITS // 8, np.uint8), 1)
-    segments = max(1, -(-fits * BITS_PER_ENTRY // SEGMENT_BITS))
+    held = entries.agg(F.sum("level")).first()[0] or 0
+    segments = max(1, -(-held * BITS_PER_ENTRY // SEGMENT_BITS))
+    folder = shared_folder(spark)
+    local = folder.removeprefix("file://") if folder.startswith("file://") else folder.removeprefix("file:")
+    mapped = "://" not in local
+    local = local if mapped else tempfile.mkdtemp()
+    os.makedirs(local, exist_ok=True)
+    path = f"{local}/gristmill-filter-{uuid.uuid4().hex}"
+    with open(path, "wb") as file:
+        file.truncate(segments * SEGMENT_BITS // 8)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,13 +285,25 @@ def build_filter(counts: DataFrame) -> LogFrequencyFilter:
             steps = _steps(keys[levels >= k], k)
             for i in range(HASHES):
                 bits[_offset(*steps, i)] = 1
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    kept = entries.where((F.col("kind") == 1) | (F.col("level") >= least)).mapInArrow(keyed, "segment int, key long, level int")
-    bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for row in kept.groupBy("segment").applyInPandas(filled, "segment int, bits binary").toLocalIterator():
-        bits[row.segment] = np.frombuffer(row.bits, np.uint8)
-    return LogFrequencyFilter(bits.reshape(-1), segments)
+        home, made = int(rows["segment"].iloc[0]), np.packbits(bits, bitorder="little").tobytes()
+        if mapped:
+            put(home, made)
+        return pd.DataFrame({"segment": [home], "bits": [None if mapped else made]})
+
+    def put(home: int, made: bytes) -> None:
+        """A task that is run again writes the same bytes to the same place."""
+        with open(path, "r+b") as file:
+            file.seek(home * SEGMENT_BITS // 8)
+            file.write(made)
+
+    built = entries.mapInArrow(keyed, "segment int, key long, level int").groupBy("segment").applyInPandas(filled, "segment int, bits binary")
+    if mapped:
+        built.write.format("noop").mode("overwrite").save()
+        return LogFrequencyFilter(path, segments)
+    for row in built.toLocalIterator():  # a shared folder that is no mounted path
+        put(row.segment, row.bits)
+    spark.sparkContext.addFile(path)
+    return LogFrequencyFilter(os.path.basename(path), segments, True)
 
 
 def fit(texts: DataFrame, exact_words: int = EXACT_WORDS) -> tuple[Model, DataFrame]:
@@ -293,7 +314,7 @@ def fit(texts: DataFrame, exact_words: int = EXACT_WORDS) -> tuple[Model, DataFr
     total = by_word.agg(F.sum("n"), F.count("*"), F.sum(read_back(F.col("n")))).first()
     exact = {r.word: r.n for r in frequent(by_word, exact_words).toLocalIterator()}
     context = spark.sparkContext
-    return Model(context.broadcast(build_filter(counts)), context.broadcast(exact), total[0] or 0, total[1], total[2] or 0.0), by_word
+    return Model(build_filter(counts), context.broadcast(exact), total[0] or 0, total[1], total[2] or 0.0), by_word
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -304,7 +325,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     read_whole = model.read_tokens + ADDED * (model.distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, exact, whole = model.filter.value, model.exact.value, model.whole
+        probe, exact, whole = model.filter, model.exact.value, model.whole
         vocabulary, of_words = Vocabulary(), np.empty((3, 0))
         for batch in slices(batches):
             if len(vocabulary.words) > PROBED_WORDS:

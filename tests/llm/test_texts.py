@@ -236,3 +236,23 @@ def test_filter_never_reads_a_count_too_small(spark):
     assert (read >= true).all() and (read == true).mean() > 0.95
     unknown = np.array([language_model.word_hash(f"u{k}") for k in range(3000)], np.uint64)
     assert (built.levels(unknown) > 0).mean() < 0.05
+
+
+def test_filter_follows_the_entries(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(language_model, "MOST_SEGMENTS", 1, raising=False)
+    counts = spark.range(40000).selectExpr("concat('w', id) AS word", "CAST(NULL AS long) AS pair", "id % 50 + 1 AS n")
+    built = language_model.build_filter(counts)
+    keys = np.array([language_model.word_hash(f"w{k}") for k in range(40000)], np.uint64)
+    true = 1 + np.floor(np.log(np.arange(40000) % 50 + 1) / np.log(language_model.BASE) + 1e-9)
+    assert built.segments > 1 and (built.levels(keys) >= true).all()
+
+
+def test_scores_do_not_depend_on_a_bound_of_the_filter(spark, folder, monkeypatch):
+    def scores():
+        return sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in language_model.op5_language_model(spark, folder).collect())
+
+    whole = scores()
+    monkeypatch.setattr(language_model, "MOST_SEGMENTS", 0, raising=False)
+    assert scores() == whole
