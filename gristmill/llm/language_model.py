@@ -11,7 +11,7 @@ P(w | v) = (c(v, w) + K P(w)) / (s(v) + K), with P(w) = (c(w) + 0.5) / (M +
 0.5 (V + 1)).  A count read back is the mean of the integers of its level; M
 sums those over all words, and s(v), an entry of the filter as well and read
 at the upper end of a finer level, sums those over the pairs of v.  So the
-probabilities after a word sum to at most 1.  Pairs seen once are left to P(w).
+probabilities after a word sum to at most 1.
 
 The base score needs exact counts of all words: the most frequent ones, a
 bounded number, are broadcast, and the rest of each document's words are
@@ -51,7 +51,6 @@ END = "\n"  # no word holds white space
 BASE = 1.5
 CONTEXT_BASE = 1.1
 SMOOTHING = 1000.0
-LEAST_PAIR = 2
 HASHES = 3
 BITS_PER_ENTRY = 10
 SEGMENT_BITS = 1 << 19
@@ -79,6 +78,14 @@ def context_key(before: np.ndarray) -> np.ndarray:
         return ((before & _HIGH) ^ np.uint64(0x5BF03635)) * _MIX
 
 
+def home_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each key; halves of a key may be constant or common, so all its bits are mixed first."""
+    with np.errstate(over="ignore"):
+        x = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return ((x >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+
+
 def level_of(n: Column, base: float) -> Column:
     return (F.lit(1) + F.floor(F.log(n) / F.log(F.lit(base)) + 1e-9)).cast("int")
 
@@ -212,7 +219,7 @@ class LogFrequencyFilter:
         out = np.zeros(len(keys), np.int32)
         live = np.arange(len(keys))
         bits = self.bits
-        start = (keys % np.uint64(self.segments)).astype(np.int64) * SEGMENT_BITS
+        start = home_of(keys, self.segments) * SEGMENT_BITS
         level = 1
         while len(live):
             one, two = _steps(keys[live], level)
@@ -242,18 +249,16 @@ class Model:
 
 def entries_of(counts: DataFrame) -> DataFrame:
     """(word, pair, kind, level) of all words, pairs and contexts; a context's count is the sum over its pairs as read back."""
-    words_ = counts.where(F.col("word").isNotNull()).select("word", "pair", F.lit(0).alias("kind"), level_of(F.col("n"), BASE).alias("level"))
-    pairs = counts.where(F.col("word").isNull())
-    plain = pairs.select("word", "pair", F.lit(0).alias("kind"), level_of(F.col("n"), BASE).alias("level"))
-    sums = pairs.groupBy(F.shiftright("pair", 32).alias("half")).agg(F.sum(read_back(F.col("n"))).alias("n"))
+    plain = counts.select("word", "pair", F.lit(0).alias("kind"), level_of(F.col("n"), BASE).alias("level"))
+    sums = counts.where(F.col("word").isNull()).groupBy(F.shiftright("pair", 32).alias("half")).agg(F.sum(read_back(F.col("n"))).alias("n"))
     contexts = sums.select(F.lit(None).cast("string").alias("word"), F.shiftleft("half", 32).alias("pair"), F.lit(1).alias("kind"), level_of(F.col("n"), CONTEXT_BASE).alias("level"))
-    return words_.union(plain).union(contexts)
+    return plain.union(cut(contexts, "contexts"))
 
 
 def build_filter(counts: DataFrame) -> LogFrequencyFilter:
     """The filter of all of ``counts`` (word, pair, n)."""
     spark = counts.sparkSession
-    entries = cut(entries_of(counts), "entries")
+    entries = entries_of(counts)
     held = entries.agg(F.sum("level")).first()[0] or 0
     segments = max(1, -(-held * BITS_PER_ENTRY // SEGMENT_BITS))
     folder = shared_folder(spark)
@@ -275,7 +280,7 @@ def build_filter(counts: DataFrame) -> LogFrequencyFilter:
                 keys[mine] = np.fromiter((word_hash(w) for w in batch.column("word").take(pa.array(mine)).to_pylist()), np.uint64, len(mine))
             kind = batch.column("kind").to_numpy(zero_copy_only=False) == 1
             keys = np.where(kind, context_key(keys), keys)
-            home = (keys % np.uint64(segments)).astype(np.int32)
+            home = home_of(keys, segments).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(keys.view(np.int64)), batch.column("level")], names=["segment", "key", "level"])
 
     def filled(rows: pd.DataFrame) -> pd.DataFrame:
@@ -309,7 +314,7 @@ def build_filter(counts: DataFrame) -> LogFrequencyFilter:
 def fit(texts: DataFrame, exact_words: int = EXACT_WORDS) -> tuple[Model, DataFrame]:
     """The model of ``texts`` (column text), and the table of exact word counts (word, n)."""
     spark = texts.sparkSession
-    counts = cut(count_ngrams(texts).where(F.col("word").isNotNull() | (F.col("n") >= LEAST_PAIR)), "ngrams")
+    counts = cut(count_ngrams(texts), "ngrams")
     by_word = counts.where(F.col("word").isNotNull()).select("word", "n")
     total = by_word.agg(F.sum("n"), F.count("*"), F.sum(read_back(F.col("n")))).first()
     exact = {r.word: r.n for r in frequent(by_word, exact_words).toLocalIterator()}

@@ -256,3 +256,23 @@ def test_scores_do_not_depend_on_a_bound_of_the_filter(spark, folder, monkeypatc
     whole = scores()
     monkeypatch.setattr(language_model, "MOST_SEGMENTS", 0, raising=False)
     assert scores() == whole
+
+
+def test_filter_holds_pairs_seen_once(spark):
+    import numpy as np
+
+    model, _ = language_model.fit(spark.createDataFrame([("alpha beta",), ("gamma delta gamma epsilon",)], "text string"))
+    of = {w: np.array([language_model.word_hash(w)], np.uint64) for w in ("alpha", "beta", "gamma", "delta", "epsilon")}
+    for before, after in (("alpha", "beta"), ("gamma", "delta"), ("gamma", "epsilon")):
+        assert model.filter.levels(language_model.pair_key(of[before], of[after]))[0] >= 1
+    assert model.filter.levels(language_model.context_key(of["alpha"]))[0] >= 1
+    two = 1 + int(np.log(2) / np.log(language_model.CONTEXT_BASE))
+    assert model.filter.levels(language_model.context_key(of["gamma"]))[0] >= two
+
+
+def test_keys_spread_over_all_segments():
+    import numpy as np
+
+    hashes = np.array([language_model.word_hash(f"w{k}") for k in range(20000)], np.uint64)
+    for keys in (hashes, language_model.context_key(hashes), language_model.pair_key(hashes, hashes[:1])):
+        assert np.bincount(language_model.home_of(keys, 256), minlength=256).max() < 200
