@@ -33,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, documents, lower_ascii, slices, words
@@ -94,40 +94,74 @@ def fingerprints(docs: DataFrame, features: Callable[[list[str]], list[str]], se
     return slim.mapInArrow(made, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:])).withColumnRenamed("id", id_col)
 
 
-#: For documents of similarity 0.8 and more (five-word shingles): bits of the leading fingerprint and of 128 that verify.
+#: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 (4 in 5) and more.  A pair of 0.8 shares
+#: none of the bands of least hashes with chance (1 - 0.8^4)^16 = 0.0002.
 NEAR_WORDS = 5
-NEAR_LEADING = 7
-NEAR_VERIFIED = 22
-LONG_WORD = 4
-MOST_NEAR_IN_KEY = 1 << 14
+NEAR_OF, NEAR_IN = 4, 5
+BANDS, BAND_ROWS = 16, 4
+_MINHASH = np.random.default_rng(SEED)
+_TIMES = _MINHASH.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+_PLUS = _MINHASH.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64)
 
 
-def near_fingerprints(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, fp0 of the distinct words of ``LONG_WORD`` characters or more, and fp1, fp2 of all five-word shingles.
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's five-word shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in shingles(words(lower_ascii(text or "")), NEAR_WORDS)], np.uint64))
 
-    Few changed words move fp0 by few bits, so a low threshold finds the
-    candidates; fp1 and fp2 estimate the similarity of the shingles.
-    """
+
+def band_keys(held: np.ndarray) -> np.ndarray:
+    """A key for each band, of the least hash under each of its permutations."""
+    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for low in range(0, len(held), 2048):
+            x = held[low : low + 2048] * _TIMES[:, None] + _PLUS[:, None]
+            x ^= x >> np.uint64(32)
+            np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=1), out=least)
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """id, vertex (a hash of the set), the set of shingle hashes and the keys of its bands."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens = [words(lower_ascii(t or "")) for t in batch.column("text").to_pylist()]
-            leading = [{w for w in t if len(w) >= LONG_WORD} or set(t) for t in tokens]
-            runs = [shingles(t, NEAR_WORDS) for t in tokens]
-            fp0 = vote([xxhash.xxh64_intdigest(w, SEED) for f in leading for w in f], [len(f) for f in leading])
-            wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(r) for f in runs for r in f]), "<u8").reshape(-1, 2)
-            lengths = [len(f) for f in runs]
-            columns = [fp0, vote(wide[:, 0], lengths), vote(wide[:, 1], lengths)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c.view(np.int64)) for c in columns)], names=["id", "fp0", "fp1", "fp2"])
+            found = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            vertex = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], np.uint64).view(np.int64)
+            lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (found, map(band_keys, found))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(vertex), *lists], names=["id", "vertex", "held", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(made, f"id {kind}, fp0 long, fp1 long, fp2 long").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(made, f"id {kind}, vertex long, held array<long>, keys array<long>").withColumnRenamed("id", id_col)
 
 
-def near(fps: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    leading = np.bitwise_count(fps[0][a] ^ fps[0][b]) <= NEAR_LEADING
-    return leading & (np.bitwise_count(fps[1][a] ^ fps[1][b]) + np.bitwise_count(fps[2][a] ^ fps[2][b]) <= NEAR_VERIFIED)
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (vertex, held) are of similarity 0.8 and more, by their exact intersection."""
+    both = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("held").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(NEAR_IN * shared >= NEAR_OF * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def near_links(sets: DataFrame) -> DataFrame:
+    """(a, b) between ``sets`` (vertex, held, keys): enough of the near pairs to join what they all join.
+
+    Each vertex of a key is held against the key's first one and the one
+    before; what these links do not join yet is then compared pair by pair.
+    """
+    rows = sets.select("vertex", F.size("held").alias("n"), F.explode("keys").alias("key"))
+    by_key = Window.partitionBy("key").orderBy("vertex")
+    sizes = NEAR_IN * F.least("n", "m") >= NEAR_OF * F.greatest("n", "m")  # no pair of 0.8 is beyond
+    seen = rows.select("vertex", "n", "key", F.first(F.struct("vertex", "n")).over(by_key).alias("first"), F.lag(F.struct("vertex", "n")).over(by_key).alias("last"))
+    chosen = seen.select(F.col("vertex").alias("b"), "n", F.explode(F.array("first", "last")).alias("o")).select(F.col("o.vertex").alias("a"), "b", "n", F.col("o.n").alias("m"))
+    star = cut(alike(chosen.where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct(), sets), "near-star")
+    joined = rows.join(components(star), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    apart = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    left = cut(joined.join(apart, "key", "left_semi"), "near-left")
+    one = left.select("key", F.col("vertex").alias("a"), "n", F.col("component").alias("c"))
+    other = left.select("key", F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
+    rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sizes).select("a", "b").distinct()
+    return star.union(alike(rest, sets))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,9 +172,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     content = F.xxhash64(F.col(id_col), F.col(text_col))
     named = docs.withColumn("_content", content)
-    fps = cut(near_fingerprints(named.withColumn("_id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_content").alias("content"))).select("_id", text_col), "_id", text_col), "near-fingerprints")
-    out = grouped(fps, NEAR_LEADING, near, "_id", MOST_NEAR_IN_KEY)
-    gone = out.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id.content").alias("_gone")).distinct()
+    ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_content").alias("content"))
+    made = cut(shingle_sets(named.withColumn("_id", ids).select("_id", text_col), "_id", text_col), "shingle-sets")
+    sets = cut(made.dropDuplicates(["vertex"]).select("vertex", "held", "keys"), "distinct-sets")
+    linked = components(near_links(sets))
+    out = made.select("_id", "vertex").join(linked, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    least = out.groupBy("component").agg(F.min("_id").alias("least"))
+    gone = out.join(least, "component").where(F.col("_id") != F.col("least")).select(F.col("_id.content").alias("_gone")).distinct()
     return named.join(gone, named["_content"] == gone["_gone"], "left_anti").drop("_content")
 
 

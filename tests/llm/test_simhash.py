@@ -94,3 +94,29 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 140))
     assert components(spark.createDataFrame([], "a long, b long").where(F.lit(True))).count() == 0
+
+
+def edited(seed=5):
+    """Texts of 80 to 600 words, each with copies that a tail or a replaced block takes to similarities of 0.6 to 0.97."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    out = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(80, 600))]
+        size = rng.randint(1, len(base) // 3)
+        low = rng.randrange(len(base) - size)
+        out += [base, base + [word() for _ in range(size)], base[:low] + [word() for _ in range(size)] + base[low + size :]]
+    return [" ".join(t) for t in out]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    texts = edited()
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(root))
