@@ -2,8 +2,11 @@
 
 Words are counted over all texts; the most frequent ones are encoded once on
 the driver and compiled into a minimal acyclic transducer (``lexicon``) that
-is broadcast and memory-mapped.  The number of words bounds what is broadcast.
-A word outside it is merged by rank in the task that meets it, exactly.
+is broadcast and memory-mapped.  Their number and ``LEXICON_LETTERS`` bound
+what is broadcast.  A slice of texts is cut at white space and its runs are
+numbered; each distinct run is split by the tokenizer's pattern once, all
+distinct words go through the transducer together, and what it does not accept
+is merged by rank, exactly.  Ids and decoded texts are put together by number.
 
 The vocabulary file is JSON of the tokenizers library: NFC, lower case and
 white space removed, words and marks by pattern, bytes as printable
@@ -12,15 +15,18 @@ the tables by broadcast and read no file.
 
 Edge cases: a null text counts as empty and has no ids; special tokens inside
 a text are ids of their own; repeated rows are encoded one by one; an empty
-table gives an empty result; other columns are ignored.  Letters and digits
-are those of the installed ``regex`` module: code points that only the newest
-Unicode versions assign may be split otherwise than by the library.
+table gives an empty result; other columns are ignored; a word of n letters is
+merged in n log n steps.  Letters and digits are those of the installed
+``regex`` module: code points that only the newest Unicode versions assign may
+be split otherwise than by the library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
 import uuid
 from collections import Counter
@@ -37,7 +43,24 @@ from gristmill.llm.common import cut, documents, frequent, slices
 from gristmill.llm.lexicon import Lexicon, compile_words
 
 FREQUENT_WORDS = 1 << 16
+#: Longer words stay out of the lexicon.
+LEXICON_LETTERS = 64
+#: Words outside the lexicon that a worker remembers, up to twice as many.
 MEMO_WORDS = 1 << 17
+#: Parts from which the merges of a word are kept in a heap.
+HEAP_PARTS = 48
+ENCODE_BYTES = 1 << 22
+
+#: White space by Unicode; Python's own also has the four separators from 1C to 1F, which the tokenizer keeps.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def runs(text: str) -> list[str]:
+    """The text cut at white space: no piece of the tokenizer reaches across it."""
+    if _SEPARATORS.search(text):
+        return [r for r in _SPACES.split(text) if r]
+    return text.split()
 
 
 def byte_characters() -> list[str]:
@@ -47,29 +70,19 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class Model:
-    """Vocabulary, merge ranks and the splitting rules of one tokenizer file."""
+class Rules:
+    """How one tokenizer file splits texts."""
 
     def __init__(self, spec: dict) -> None:
-        model = spec["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merges = {pair: (rank, pair[0] + pair[1]) for rank, pair in enumerate(pairs)}
-        self.suffix: str = model["end_of_word_suffix"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(pattern)
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.bytes = byte_characters()
-        self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
-
-    @classmethod
-    def load(cls, path: str) -> Model:
-        with open(path, encoding="utf-8") as file:
-            return cls(json.load(file))
 
     def pieces(self, text: str) -> list[str]:
         """Special tokens as they stand, and the words and marks between them after normalisation."""
+        if text.isascii() and text.isalpha():
+            return [text.lower()]
         if not any(s in text for s in self.special):
             return self.piece.findall(_normal(text))
         out: list[str] = []
@@ -77,6 +90,25 @@ class Model:
             out += [part] if part in self.special else self.piece.findall(_normal(part))
         return out
 
+
+class Model(Rules):
+    """Splitting rules, vocabulary and merge ranks of one tokenizer file."""
+
+    def __init__(self, spec: dict) -> None:
+        super().__init__(spec)
+        model = spec["model"]
+        self.ids: dict[str, int] = model["vocab"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.merges = {pair: (rank, pair[0] + pair[1]) for rank, pair in enumerate(pairs)}
+        self.suffix: str = model["end_of_word_suffix"]
+        self.bytes = byte_characters()
+        self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
+
+    @classmethod
+    def load(cls, path: str) -> Model:
+        with open(path, encoding="utf-8") as file:
+            return cls(json.load(file))
+
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece: the pair of lowest rank, leftmost first, is merged until none is left."""
         if piece in self.special:
@@ -85,6 +117,8 @@ class Model:
         parts = [table[b] for b in piece.encode("utf-8")]
         parts[-1] += self.suffix
         merges = self.merges
+        if len(parts) > HEAP_PARTS:
+            return [self.ids[p] for p in merged(parts, merges)]
         ranks = [merges.get(pair) for pair in zip(parts, parts[1:])]
         while True:
             best, at = None, -1
@@ -112,33 +146,115 @@ def _normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def merged(parts: list[str], merges: dict[tuple[str, str], tuple[int, str]]) -> list[str]:
+    """The parts after all merges, lowest rank and leftmost first, by a heap over a linked list."""
+    after = [*range(1, len(parts)), -1]
+    before = list(range(-1, len(parts) - 1))
+    alive: list[str | None] = list(parts)
+    heap = [(found[0], k, pair) for k, pair in enumerate(zip(parts, parts[1:])) if (found := merges.get(pair))]
+    heapq.heapify(heap)
+    while heap:
+        _, at, pair = heapq.heappop(heap)
+        other = after[at]
+        if other < 0 or (alive[at], alive[other]) != pair:
+            continue
+        alive[at], alive[other] = merges[pair][1], None
+        after[at] = after[other]
+        if after[at] >= 0:
+            before[after[at]] = at
+        for low, high in ((before[at], at), (at, after[at])):
+            if low >= 0 and high >= 0 and (found := merges.get((alive[low], alive[high]))):
+                heapq.heappush(heap, (found[0], low, (alive[low], alive[high])))
+    return [p for p in alive if p is not None]
+
+
+class Numbers(dict):
+    """Keys numbered in the order in which they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Encoder:
-    """A model with its lexicon; what it has met lately is remembered, up to twice ``MEMO_WORDS`` pieces."""
+    """A model with its lexicon; of words outside the lexicon, what it has met lately is remembered."""
 
     def __init__(self, model: Model, compiled: bytes) -> None:
         self.model, self.lexicon = model, Lexicon(compiled)
-        self._memo: dict[str, tuple[int, str, str]] = {}
-        self._older: dict[str, tuple[int, str, str]] = {}
+        self._accepted: list[tuple[list[int], str, str] | None] = [None] * self.lexicon.words
+        self._memo: dict[str, tuple[list[int], str, str]] = {}
+        self._older: dict[str, tuple[list[int], str, str]] = {}
 
-    def ids(self, piece: str) -> list[int]:
-        found = self.lexicon.get(piece)
-        return self.model.merge(piece) if found is None else found
+    def _entry(self, ids: list[int]) -> tuple[list[int], str, str]:
+        return ids, " ".join(map(str, ids)), self.model.decode(ids)
 
-    def _miss(self, piece: str) -> tuple[int, str, str]:
-        entry = self._older.get(piece)
+    def _unseen(self, piece: str) -> tuple[list[int], str, str]:
+        entry = self._memo.get(piece)
         if entry is None:
-            ids = self.ids(piece)
-            entry = (len(ids), " ".join(map(str, ids)), self.model.decode(ids))
-        if len(self._memo) >= MEMO_WORDS:
-            self._older, self._memo = self._memo, {}
-        self._memo[piece] = entry
+            entry = self._older.get(piece) or self._entry(self.model.merge(piece))
+            if len(self._memo) >= MEMO_WORDS:
+                self._older, self._memo = self._memo, {}
+            if len(piece) <= LEXICON_LETTERS:
+                self._memo[piece] = entry
         return entry
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal and the decoded text."""
-        missing = self._miss
-        found = [self._memo.get(p) or missing(p) for p in self.model.pieces(text)]
-        return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+    def entries(self, pieces: list[str]) -> list[tuple[list[int], str, str]]:
+        """Ids, ids in decimal and decoded text of each piece: the transducer's output, or else merges."""
+        out = []
+        accepted = self._accepted
+        for piece, rank in zip(pieces, self.lexicon.ranks(pieces).tolist()):
+            if rank < 0:
+                out.append(self._unseen(piece))
+                continue
+            entry = accepted[rank]
+            if entry is None:
+                entry = accepted[rank] = self._entry(self.lexicon.output(rank))
+            out.append(entry)
+        return out
+
+    def encode(self, texts: list[str]) -> Encoded:
+        """The texts of one slice."""
+        number = Numbers()
+        at = number.__getitem__
+        codes = [list(map(at, runs(t))) for t in texts]
+        known = Numbers()
+        split = [list(map(known.__getitem__, self.model.pieces(r))) for r in number]
+        found = self.entries(list(known))
+        return Encoded(codes, [[found[k] for k in s] for s in split])
+
+
+class Encoded:
+    """Encoded texts: numbers of runs, and what each distinct run gives."""
+
+    def __init__(self, codes: list[list[int]], entries: list[list[tuple[list[int], str, str]]]) -> None:
+        self._codes = codes
+        self._ids = [e[0][0] if len(e) == 1 else [i for x in e for i in x[0]] for e in entries]
+        self._decimal = [e[0][1] if len(e) == 1 else " ".join([x[1] for x in e]) for e in entries]
+        self._decoded = [e[0][2] if len(e) == 1 else " ".join([x[2] for x in e]) for e in entries]
+
+    def decimals(self) -> Iterator[str]:
+        """The ids of each text in decimal, joined by spaces."""
+        return (" ".join(map(self._decimal.__getitem__, c)) for c in self._codes)
+
+    def decoded(self) -> Iterator[str]:
+        return (" ".join(map(self._decoded.__getitem__, c)) for c in self._codes)
+
+    def counts(self) -> np.ndarray:
+        """Ids of each text."""
+        sizes = np.fromiter(map(len, self._ids), np.int64, len(self._ids))
+        return np.array([int(sizes[c].sum()) if c else 0 for c in self._codes], np.int64)
+
+    def ids(self) -> pa.ListArray:
+        """The ids of each text as one list array."""
+        sizes = np.fromiter(map(len, self._ids), np.int64, len(self._ids))
+        flat = np.fromiter((i for ids in self._ids for i in ids), np.int32, int(sizes.sum()))
+        start = np.cumsum(sizes) - sizes
+        order = np.fromiter((k for c in self._codes for k in c), np.int64, sum(map(len, self._codes)))
+        lengths = sizes[order]
+        ends = np.cumsum(lengths)
+        at = np.repeat(start[order] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
+        offsets = np.concatenate([[0], np.cumsum(self.counts())]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at], pa.int32()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -160,23 +276,27 @@ def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WOR
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, held = Model(model.value), Counter()
+        rules, held = Rules(model.value), Counter()
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                held.update(rules.pieces(text or ""))
+                held.update(runs(text or ""))
             if len(held) > memory:
-                yield _pairs(held)
+                yield pairs(rules, held)
                 held = Counter()
-        yield _pairs(held)
+        yield pairs(rules, held)
+
+    def pairs(rules: Rules, held: Counter) -> pa.RecordBatch:
+        out: Counter = Counter()
+        for run, n in held.items():
+            for piece in rules.pieces(run):
+                if len(piece) <= LEXICON_LETTERS:
+                    out[piece] += n
+        return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], names=["piece", "n"])
 
     counts = cut(texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
     return [r.piece for r in frequent(counts, limit).collect()]
 
 
-def _pairs(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["piece", "n"])
-
-
 def prepare(docs: DataFrame, path: str, text_col: str = "text", limit: int = FREQUENT_WORDS) -> tuple[Broadcast, Broadcast]:
     """The tokenizer's tables and the compiled lexicon of ``docs``, both broadcast."""
     with open(path, encoding="utf-8") as file:
@@ -188,26 +308,25 @@ def prepare(docs: DataFrame, path: str, text_col: str = "text", limit: int = FRE
     return shared, context.broadcast(compile_words({w: model.merge(w) for w in words}))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = FREQUENT_WORDS) -> DataFrame:
-    """id, n_tokens, ids (array of int) and decoded text of every row."""
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = FREQUENT_WORDS, digest: bool = False) -> DataFrame:
+    """id, n_tokens, ids (array of int) and decoded text of every row, or with ``digest`` its digest as decoded_sha256."""
 
-    def body(encoder: Encoder, texts: list[str]) -> list[pa.Array]:
-        rows = [encoder.encode(t) for t in texts]
-        ids = pa.array([np.array(ids.split(), np.int32) for _, ids, _ in rows], pa.list_(pa.int32()))
-        return [pa.array([n for n, _, _ in rows], pa.int64()), ids, pa.array([back for _, _, back in rows], pa.string())]
+    def body(encoded: Encoded) -> list[pa.Array]:
+        back = map(sha, encoded.decoded()) if digest else encoded.decoded()
+        return [pa.array(encoded.counts()), encoded.ids(), pa.array(list(back), pa.string())]
 
-    return _map(docs, path, id_col, text_col, limit, "n_tokens long, ids array<int>, decoded string", body)
+    return _map(docs, path, id_col, text_col, limit, f"n_tokens long, ids array<int>, {'decoded_sha256' if digest else 'decoded'} string", body)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = FREQUENT_WORDS) -> DataFrame:
     """id, n_tokens and the digests of ids and decoded text."""
 
-    def sha(text: str) -> str:
-        return hashlib.sha256(text.encode("utf-8")).hexdigest()
-
-    def body(encoder: Encoder, texts: list[str]) -> list[pa.Array]:
-        rows = [(n, sha(ids), sha(back)) for n, ids, back in map(encoder.encode, texts)]
-        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+    def body(encoded: Encoded) -> list[pa.Array]:
+        return [pa.array(encoded.counts()), *(pa.array([sha(t) for t in texts], pa.string()) for texts in (encoded.decimals(), encoded.decoded()))]
 
     return _map(docs, path, id_col, text_col, limit, "n_tokens long, ids_sha256 string, decoded_sha256 string", body)
 
@@ -217,8 +336,8 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, limit: int, col
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared, compiled)
-        for batch in slices(batches):
-            arrays = body(encoder, [t or "" for t in batch.column("text").to_pylist()])
+        for batch in slices(batches, budget=ENCODE_BYTES):
+            arrays = body(encoder.encode([t or "" for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=names)
 
     key = uuid.uuid4().hex

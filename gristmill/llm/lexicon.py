@@ -114,6 +114,8 @@ class Lexicon:
         self._offset, self._ids = take("i", words + 1), take("i", ids)
         self._label, self._final = take("B", edges), take("B", states)
         self.states, self.words = states, words
+        first, label = np.asarray(self._first), np.asarray(self._label)
+        self._edge = np.repeat(np.arange(states), np.diff(first)) * 256 + label  # ascends with state and label
 
     def get(self, word: str) -> list[int] | None:
         """The output of a word, or None where the automaton does not accept it."""
@@ -130,6 +132,33 @@ class Lexicon:
                 return None
             rank += self._skipped[low]
             state = self._target[low]
-        if not self._final[state]:
-            return None
+        return self.output(rank) if self._final[state] else None
+
+    def output(self, rank: int) -> list[int]:
+        """The ids of the accepted word of this rank."""
         return list(self._ids[self._offset[rank] : self._offset[rank + 1]])
+
+    def ranks(self, words: list[str]) -> np.ndarray:
+        """The rank of each word, -1 where the automaton does not accept it; all words take a step at a time."""
+        encoded = [w.encode("utf-8") for w in words]
+        out = np.full(len(words), -1, np.int64)
+        if not self.words or not words:
+            return out
+        letters = np.frombuffer(b"".join(encoded), np.uint8)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        at = np.cumsum(sizes) - sizes
+        live, left = np.arange(len(words)), sizes
+        state, rank = np.full(len(words), self._root, np.int64), np.zeros(len(words), np.int64)
+        target, skipped, final = np.asarray(self._target), np.asarray(self._skipped), np.asarray(self._final)
+        while len(live):
+            done = left == 0
+            ended = done & (final[state] == 1)
+            out[live[ended]] = rank[ended]
+            live, left, at, state, rank = live[~done], left[~done], at[~done], state[~done], rank[~done]
+            wanted = state * 256 + letters[at]
+            edge = np.minimum(np.searchsorted(self._edge, wanted), len(self._edge) - 1)
+            found = self._edge[edge] == wanted
+            live, left, at, rank, edge = live[found], left[found] - 1, at[found] + 1, rank[found], edge[found]
+            rank = rank + skipped[edge]
+            state = target[edge].astype(np.int64)
+        return out

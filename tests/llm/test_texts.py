@@ -276,3 +276,24 @@ def test_keys_spread_over_all_segments():
     hashes = np.array([language_model.word_hash(f"w{k}") for k in range(20000)], np.uint64)
     for keys in (hashes, language_model.context_key(hashes), language_model.pair_key(hashes, hashes[:1])):
         assert np.bincount(language_model.home_of(keys, 256), minlength=256).max() < 200
+
+
+def test_long_words_and_odd_runs_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    library.no_truncation(), library.no_padding()
+    model = bpe.Model.load(bpe.tokenizer_path())
+    words = {w: model.merge(w) for w in ("the", "it", "éa", "'s", ".", "<|endoftext|>")}
+    encoder = bpe.Encoder(model, lexicon.compile_words(words))
+    assert encoder.lexicon.ranks([*words, "th", "thee", ""]).tolist()[:6] == [sorted(words, key=str.encode).index(w) for w in words]
+    assert encoder.lexicon.ranks(["th", "thee", "", "x"]).tolist() == [-1] * 4
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdeéü") for _ in range(200_000)), "", "the"]
+    texts += ["".join(rng.choice([*" ab'srEÉ1²½\x1c\x85　日ǅİΣς́.\n_-", "<|endoftext|>", "the "]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    encoded = encoder.encode(texts)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded.ids().to_pylist() == expected and encoded.counts().tolist() == list(map(len, expected))
+    assert list(encoded.decoded()) == [library.decode(i, skip_special_tokens=False) for i in expected]
