@@ -2,25 +2,28 @@
 
 Words and pairs of words are counted over all training texts.  A count c is
 quantised to q = 1 + floor(log_b c), and the filter holds the n-gram with each
-of 1..q; probing 1, 2, ... until a miss gives q back, never too small.  Bits of
-an n-gram lie in one segment of 64 KB, so segments are built apart, and there
-are as many as the entries ask for.  Tasks write them to a file in the shared
-folder, which workers map, so no process holds the filter.
+of 1..q; probing 1, 2, ... until a miss gives q back, never too small.
+
+Keys are hashes, dealt over parts by their value.  A task hands on sorted
+arrays of keys and counts, one for each part, so what is shuffled is a few
+bytes a distinct n-gram of the task and no key is hot.  The task that gets a
+part adds up its counts exactly and makes the part's filter, of a size that
+follows its entries.  Parts follow the input, and their filters lie one after
+the other in one file of the shared folder, which workers map, so no process
+holds the filter.  Exact counts of words, sorted by hash, lie in the same file.
 
 P(w | v) = (c(v, w) + K P(w)) / (s(v) + K), with P(w) = (c(w) + 0.5) / (M +
 0.5 (V + 1)).  A count read back is the mean of the integers of its level; M
 sums those over all words, and s(v), an entry of the filter as well and read
 at the upper end of a finer level, sums those over the pairs of v.  So the
-probabilities after a word sum to at most 1.
-
-The base score needs exact counts of all words: the most frequent ones, a
-bounded number, are broadcast, and the rest of each document's words are
-joined to the table of counts.
+probabilities after a word sum to at most 1.  K = a + b s(v), with the a and b
+of ``GRID`` that give all held-out texts the highest probability.
 
 Edge cases: a null text counts as empty and has one token, its end; a null id
 counts as an empty string and trains; repeated rows train and are scored one
-by one; with no training row every word is unknown; an empty table gives an
-empty result; other columns are ignored.
+by one; with no training row every word is unknown; with no held-out row the
+first of ``GRID`` is taken; an empty table gives an empty result; other columns
+are ignored; a very long text is scored alone.
 """
 
 from __future__ import annotations
@@ -28,20 +31,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, documents, frequent, lower_ascii, shared_folder, slices, words
+from gristmill.llm.common import cut, documents, lower_ascii, shared_folder, slices, words
 
 #: Fixed values of the contract.
 FOLDS, HELD_OUT = 5, 1
@@ -49,45 +50,60 @@ ADDED = 0.5
 
 END = "\n"  # no word holds white space
 BASE = 1.5
-CONTEXT_BASE = 1.1
-SMOOTHING = 1000.0
+CONTEXT_BASE = 1.2
+#: (a, b) of the smoothing K = a + b s(v).
+GRID = tuple((a, b) for a in (1.0, 10.0, 100.0, 1000.0) for b in (0.0, 0.5, 2.0))
 HASHES = 3
 BITS_PER_ENTRY = 10
-SEGMENT_BITS = 1 << 19
-EXACT_WORDS = 1 << 18
+PART_BYTES = 1 << 20
+#: More parts than these are larger ones.
+SMALL_PARTS, LARGE_PART_BYTES = 1 << 12, 1 << 26
 HELD_WORDS = 300_000
 HELD_PAIRS = 1 << 21
 PROBED_WORDS = 1 << 17
 START = np.uint64(0x243F6A8885A308D3)
+WORD, PAIR, CONTEXT = range(3)
+
+_32, _HIGH = np.uint64(32), np.uint64(0xFFFFFFFF00000000)
+_MIX = 0x9E3779B97F4A7C15
+_BACK = pow(_MIX, -1, 1 << 64)
+_ROUNDS = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_PROBES = tuple(np.uint64(k) for k in (0xE7037ED1A0B428DB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+
+
+def word_hashes(found: list[str]) -> np.ndarray:
+    """Two columns: the halves of each word's 128-bit hash; the first names it in the filter."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), ">u8").astype(np.uint64).reshape(-1, 2)
+
 
-_MIX, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF00000000)
+def mixed(keys: np.ndarray, by: int = _MIX) -> np.ndarray:
+    """A permutation of 64-bit keys that spreads them over the whole range."""
+    with np.errstate(over="ignore"):
+        x = (keys ^ (keys >> _32)) * np.uint64(by)
+        return x ^ (x >> _32)
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word, 7)
+def unmixed(keys: np.ndarray) -> np.ndarray:
+    return mixed(keys, _BACK)
 
 
 def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """32 bits of either word's hash."""
-    return (before & _HIGH) | (after >> np.uint64(32))
+    """32 bits of either word's hash, spread."""
+    return mixed((before & _HIGH) | (after >> _32))
 
 
 def context_key(before: np.ndarray) -> np.ndarray:
-    """The filter's key of what follows a word, from the upper half of a pair's key."""
-    with np.errstate(over="ignore"):
-        return ((before & _HIGH) ^ np.uint64(0x5BF03635)) * _MIX
+    """The key of what follows a word, from the upper half of its hash."""
+    return mixed((before & _HIGH) ^ np.uint64(0x5BF03635))
 
 
-def home_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    """The segment of each key; halves of a key may be constant or common, so all its bits are mixed first."""
-    with np.errstate(over="ignore"):
-        x = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return ((x >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+def home_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, which ascends with the key."""
+    return (((keys >> _32) * np.uint64(parts)) >> _32).astype(np.int64)
 
 
-def level_of(n: Column, base: float) -> Column:
-    return (F.lit(1) + F.floor(F.log(n) / F.log(F.lit(base)) + 1e-9)).cast("int")
+def level_of(n: np.ndarray, base: float) -> np.ndarray:
+    return (1 + np.floor(np.log(n) / np.log(base) + 1e-9)).astype(np.int64)
 
 
 def _means() -> list[float]:
@@ -99,11 +115,8 @@ def _means() -> list[float]:
     return out
 
 
-MEANS = _means()
-
-
-def read_back(n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, MEANS[1:])), level_of(n, BASE))
+MEANS = np.array(_means())
+UPPER = np.concatenate([[0.0], CONTEXT_BASE ** np.arange(1, 500)])
 
 
 class Vocabulary:
@@ -111,14 +124,13 @@ class Vocabulary:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.words: list[str] = []
-        self.hashes = np.empty(0, np.uint64)
+        self.hashes = np.empty((0, 2), np.uint64)
 
     def take_in(self) -> None:
         """Words that have been numbered since the last call get their hashes."""
-        new = list(islice(self.number, len(self.words), None))
-        self.words += new
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(word_hash, new), np.uint64, len(new))])
+        new = list(islice(self.number, len(self.hashes), None))
+        if new:
+            self.hashes = np.concatenate([self.hashes, word_hashes(new)])
 
 
 class Tokens:
@@ -134,24 +146,51 @@ class Tokens:
             codes.append(number.setdefault(END, len(number)))
             sizes.append(len(found) + 1)
         vocabulary.take_in()
-        self.words, self.hashes = vocabulary.words, vocabulary.hashes
+        self.hashes = vocabulary.hashes[:, 0]
         self.codes = np.array(codes, np.int64)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def before(self) -> np.ndarray:
-        """The hash of the token before each token."""
-        out = np.empty(len(self.codes), np.uint64)
-        out[1:] = self.hashes[self.codes[:-1]]
-        out[self.starts] = START
-        return out
-
     def pairs(self) -> np.ndarray:
-        return pair_key(self.before(), self.hashes[self.codes])
+        """The key of each token after the one before it."""
+        before = np.empty(len(self.codes), np.uint64)
+        before[1:] = self.hashes[self.codes[:-1]]
+        before[self.starts] = START
+        return pair_key(before, self.hashes[self.codes])
+
+
+ROWS = "kind int, part int, high binary, low binary, n binary"
+
+
+def _packed(values: np.ndarray | None, starts: np.ndarray) -> pa.Array:
+    """A binary value for each stretch that begins at one of ``starts``."""
+    if values is None:
+        return pa.nulls(len(starts), pa.binary())
+    offsets = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
 
+def dealt(kind: int, parts: int, high: np.ndarray, low: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+    """A row of ``ROWS`` for each part that holds keys; ``high`` ascends."""
+    home = home_of(high, parts)
+    starts = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
+    columns = [pa.array(np.full(len(starts), kind, np.int32)), pa.array(home[starts].astype(np.int32)), *(_packed(v, starts) for v in (high, low, n))]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "high", "low", "n"])
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(word, pair, n): exact counts of words (pair null) and of hashed pairs (word null), one pass over the texts."""
+
+def summed(high: np.ndarray, low: np.ndarray | None, n: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Distinct keys in order, and the sum of their counts."""
+    order = np.argsort(high) if low is None else np.lexsort((low, high))
+    high, low, n = high[order], None if low is None else low[order], n[order]
+    new = high[1:] != high[:-1]
+    if low is not None:
+        new |= low[1:] != low[:-1]
+    starts = np.flatnonzero(np.append(True, new))
+    return high[starts], None if low is None else low[starts], np.add.reduceat(n, starts)
+
+
+def count_ngrams(texts: DataFrame, parts: int) -> DataFrame:
+    """``ROWS`` of the words and pairs of ``texts``, one pass over them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held = Vocabulary(), np.zeros(0, np.int64)
@@ -159,108 +198,202 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
         n_pairs = 0
         for batch in slices(batches):
             tokens = Tokens(batch.column("text").to_pylist(), vocabulary)
-            times = np.bincount(tokens.codes, minlength=len(tokens.words))
+            times = np.bincount(tokens.codes, minlength=len(vocabulary.hashes))
             times[: len(held)] += held
             held = times
             pairs.append(tokens.pairs())
             n_pairs += len(pairs[-1])
             if len(held) > HELD_WORDS:
-                yield word_rows(vocabulary.words, held)
+                yield word_rows(vocabulary, held)
                 vocabulary, held = Vocabulary(), np.zeros(0, np.int64)
             if n_pairs > HELD_PAIRS:
                 yield pair_rows(pairs)
                 pairs, n_pairs = [], 0
-        yield word_rows(vocabulary.words, held)
+        if len(held):
+            yield word_rows(vocabulary, held)
         if pairs:
             yield pair_rows(pairs)
 
-    def word_rows(found: list[str], held: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.nulls(len(found), pa.int64()), pa.array(held, pa.int64())], names=["word", "pair", "n"])
+    def word_rows(vocabulary: Vocabulary, held: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(vocabulary.hashes[:, 0])
+        return dealt(WORD, parts, vocabulary.hashes[order, 0], vocabulary.hashes[order, 1], held[order])
 
     def pair_rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(pairs), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "pair", "n"])
+        return dealt(PAIR, parts, values, None, counts.astype(np.int64))
 
-    return texts.mapInArrow(counted, "word string, pair long, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(counted, ROWS)
 
 
-def _steps(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the probes of (key, level) start and how far they step."""
+def _probes(keys: np.ndarray, level: int, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The bit of (key, level) for each hash function, within its part of so many bits."""
     with np.errstate(over="ignore"):
-        one = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
-        one ^= one >> np.uint64(32)
-        return one, (one * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(20)) | np.uint64(1)
+        x = (keys + np.uint64(level * _MIX & 0xFFFFFFFFFFFFFFFF)) * _ROUNDS[0]
+        x = (x ^ (x >> np.uint64(33))) * _ROUNDS[1]
+        x ^= x >> np.uint64(29)
+        for i in range(HASHES):
+            yield ((x * _PROBES[i] >> _32) * sizes) >> _32
 
 
-def _offset(one: np.ndarray, two: np.ndarray, i: int) -> np.ndarray:
-    """The bit offset of probe ``i`` within the key's segment."""
-    with np.errstate(over="ignore"):
-        return ((one + np.uint64(i) * two) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+def filled(keys: np.ndarray, levels: np.ndarray, per_entry: int = BITS_PER_ENTRY) -> bytes:
+    """The filter of one part: each key with each of its levels."""
+    size = -(-max(64, int(levels.sum()) * per_entry) // 64) * 64
+    bits = np.zeros(size, np.uint8)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        keys, levels = keys[levels >= level], levels[levels >= level]
+        for at in _probes(keys, level, np.uint64(size)):
+            bits[at.astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+MADE = "kind int, part int, bits binary, high binary, low binary, n binary, total double, distinct long, read double"
+
+
+def made(rows: DataFrame, per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+    """``MADE`` of each part of ``ROWS``: its filter, its sums, the sorted table of a part of words, and of a part of pairs the sums by context."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for kind, part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "high", "low", "n"))):
+                if (kind, part) != at and held:
+                    yield finished(*at, held)
+                    held = []
+                at = kind, part
+                held.append(blobs)
+        if held:
+            yield finished(*at, held)
+
+    def finished(kind: int, part: int, held: list[list[bytes | None]]) -> pa.RecordBatch:
+        high = np.frombuffer(b"".join(h for h, _, _ in held), np.uint64)
+        low = np.frombuffer(b"".join(x for _, x, _ in held), np.uint64) if kind == WORD else None
+        high, low, n = summed(high, low, np.frombuffer(b"".join(x for _, _, x in held), np.float64 if kind == CONTEXT else np.int64))
+        levels = level_of(n, CONTEXT_BASE if kind == CONTEXT else BASE)
+        read = MEANS[levels] if kind != CONTEXT else n
+        blobs: list[bytes | None] = [None] * 3
+        if kind == WORD:
+            blobs = [high.tobytes(), low.tobytes(), n.tobytes()]
+        elif kind == PAIR:
+            halves, _, sums = summed(unmixed(high) >> _32, None, read)
+            blobs = [halves.astype(np.uint32).tobytes(), None, sums.tobytes()]
+        values = [kind, part, filled(high, levels, per_entry), *blobs, float(n.sum()), len(n), float(read.sum())]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.float64(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in MADE.split(", ")])
+
+    return rows.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(parts, MADE)
+
+
+def context_rows(pairs: DataFrame, parts: int) -> DataFrame:
+    """``ROWS`` of the contexts of ``pairs`` (high, n: sums by context)."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves, sums, size = [], [], 0
+        for batch in batches:
+            for high, n in zip(batch.column("high").to_pylist(), batch.column("n").to_pylist()):
+                halves.append(np.frombuffer(high, np.uint32))
+                sums.append(np.frombuffer(n, np.float64))
+                size += len(halves[-1])
+                if size > HELD_PAIRS:
+                    yield rows(halves, sums)
+                    halves, sums, size = [], [], 0
+        if size:
+            yield rows(halves, sums)
+
+    def rows(halves: list[np.ndarray], sums: list[np.ndarray]) -> pa.RecordBatch:
+        high, _, n = summed(context_key(np.concatenate(halves).astype(np.uint64) << _32), None, np.concatenate(sums))
+        return dealt(CONTEXT, parts, high, None, n)
+
+    return pairs.mapInArrow(contexts, ROWS)
 
 
 class LogFrequencyFilter:
-    """A file of segments, or one that Spark sends to every worker's host by name; ``levels`` probes it."""
+    """A file of filters and of exact counts, or one that Spark sends to every worker's host by name.
+
+    For each kind, parts start at ``starts`` (bytes) and have ``sizes`` bits;
+    ``table`` is where the words' hashes and counts begin, and their number.
+    """
 
-    def __init__(self, path: str, segments: int, sent: bool = False) -> None:
-        self.path, self.segments, self.sent = path, segments, sent
-        self._bits: np.ndarray | None = None
+    def __init__(self, path: str, sent: bool, starts: list[np.ndarray], sizes: list[np.ndarray], table: tuple[int, int, int, int]) -> None:
+        self.path, self.sent, self.starts, self.sizes, self.table = path, sent, starts, sizes, table
+        self._file: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_bits": None}
+        return self.__dict__ | {"_file": None}
 
     @property
-    def bits(self) -> np.ndarray:
-        if self._bits is None:
-            self._bits = np.asarray(np.memmap(SparkFiles.get(self.path) if self.sent else self.path, np.uint8, "r"))
-        return self._bits
+    def file(self) -> np.ndarray:
+        if self._file is None:
+            path = SparkFiles.get(self.path) if self.sent else self.path
+            self._file = np.asarray(np.memmap(path, np.uint8, "r")) if os.path.getsize(path) else np.zeros(0, np.uint8)
+        return self._file
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key: the first level that is missing, less one."""
-        out = np.zeros(len(keys), np.int32)
-        live = np.arange(len(keys))
-        bits = self.bits
-        start = home_of(keys, self.segments) * SEGMENT_BITS
+        out = np.zeros(len(keys), np.int64)
+        home = home_of(keys, len(self.starts[kind]))
+        live = np.flatnonzero(self.sizes[kind][home])
+        keys, start, size = keys[live], self.starts[kind][home[live]], self.sizes[kind][home[live]].astype(np.uint64)
         level = 1
         while len(live):
-            one, two = _steps(keys[live], level)
-            for i in range(HASHES):  # most misses end at the first probe
-                at = start[live] + _offset(one, two, i)
-                hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                live, one, two = live[hit], one[hit], two[hit]
+            hit = np.arange(len(live))
+            for k in range(HASHES):  # most misses end at the first probe
+                at = next(islice(_probes(keys[hit], level, size[hit]), k, None)).astype(np.int64)
+                hit = hit[(self.file[start[hit] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            live, keys, start, size = live[hit], keys[hit], start[hit], size[hit]
             out[live] = level
             level += 1
         return out
 
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """The exact count of each word."""
+        at_high, at_low, at_n, rows = self.table
+        high, low, n = (self.file[at : at + 8 * rows].view(kind) for at, kind in ((at_high, np.uint64), (at_low, np.uint64), (at_n, np.int64)))
+        out = np.zeros(len(hashes), np.int64)
+        at, live = np.searchsorted(high, hashes[:, 0]), np.arange(len(hashes))
+        while len(live):  # once, but for words that agree in half of their hash
+            inside = at < rows
+            live, at = live[inside], at[inside]
+            same = high[at] == hashes[live, 0]
+            live, at = live[same], at[same]
+            found = low[at] == hashes[live, 1]
+            out[live[found]] = n[at[found]]
+            live, at = live[~found], at[~found] + 1
+        return out
+
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs on every worker: the filter is mapped, the exact words are broadcast and bounded."""
+    """What scoring needs on every worker; the filter is mapped."""
 
     filter: LogFrequencyFilter
-    exact: Broadcast
     train_tokens: int
     distinct: int
     read_tokens: float
+    smoothing: tuple[float, float] = GRID[0]
+
+
+def parts_for(size: int) -> int:
+    return max(1, min(-(-size // PART_BYTES), max(SMALL_PARTS, -(-size // LARGE_PART_BYTES))))
+
+
+def placed(tables: list[DataFrame], parts: list[int]) -> LogFrequencyFilter:
+    """The file of all parts of ``tables`` (``MADE``): tasks write each part to its place."""
+    spark = tables[0].sparkSession
+    sizes = F.col("kind"), F.col("part"), F.length("bits").alias("bytes"), F.when(F.col("kind") == WORD, F.length("high")).otherwise(0).alias("rows")
+    found = [r for t in tables for r in t.select(*sizes).toLocalIterator()]
+    start, bits, rows = [np.zeros(p, np.int64) for p in parts], [np.zeros(p, np.int64) for p in parts], np.zeros(parts[WORD] + 1, np.int64)
+    for r in found:
+        bits[r.kind][r.part] = r.bytes
+        if r.kind == WORD:
+            rows[r.part + 1] = r.rows
+    end = 0
+    for kind in range(3):
+        start[kind][:] = end + np.cumsum(bits[kind]) - bits[kind]
+        end += int(bits[kind].sum())
+    whole = int(rows.sum())
+    words_at = np.cumsum(rows)
+    table = (end, end + whole, end + 2 * whole)
 
-    @property
-    def whole(self) -> float:
-        return self.train_tokens + ADDED * (self.distinct + 1)
-
-
-def entries_of(counts: DataFrame) -> DataFrame:
-    """(word, pair, kind, level) of all words, pairs and contexts; a context's count is the sum over its pairs as read back."""
-    plain = counts.select("word", "pair", F.lit(0).alias("kind"), level_of(F.col("n"), BASE).alias("level"))
-    sums = counts.where(F.col("word").isNull()).groupBy(F.shiftright("pair", 32).alias("half")).agg(F.sum(read_back(F.col("n"))).alias("n"))
-    contexts = sums.select(F.lit(None).cast("string").alias("word"), F.shiftleft("half", 32).alias("pair"), F.lit(1).alias("kind"), level_of(F.col("n"), CONTEXT_BASE).alias("level"))
-    return plain.union(cut(contexts, "contexts"))
-
-
-def build_filter(counts: DataFrame) -> LogFrequencyFilter:
-    """The filter of all of ``counts`` (word, pair, n)."""
-    spark = counts.sparkSession
-    entries = entries_of(counts)
-    held = entries.agg(F.sum("level")).first()[0] or 0
-    segments = max(1, -(-held * BITS_PER_ENTRY // SEGMENT_BITS))
     folder = shared_folder(spark)
     local = folder.removeprefix("file://") if folder.startswith("file://") else folder.removeprefix("file:")
     mapped = "://" not in local
@@ -268,116 +401,111 @@ def build_filter(counts: DataFrame) -> LogFrequencyFilter:
     os.makedirs(local, exist_ok=True)
     path = f"{local}/gristmill-filter-{uuid.uuid4().hex}"
     with open(path, "wb") as file:
-        file.truncate(segments * SEGMENT_BITS // 8)
+        file.truncate(end + 3 * whole)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(row: dict) -> None:
+        """A task that is run again writes the same bytes to the same place."""
+        with open(path, "r+b") as file:
+            file.seek(start[row["kind"]][row["part"]])
+            file.write(row["bits"])
+            if row["kind"] == WORD:
+                for at, column in zip(table, ("high", "low", "n")):
+                    file.seek(at + words_at[row["part"]])
+                    file.write(row[column])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair = batch.column("pair")
-            keys = pair.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            mine = np.flatnonzero(pair.is_null().to_numpy(zero_copy_only=False))
-            if len(mine):
-                keys = keys.copy()
-                keys[mine] = np.fromiter((word_hash(w) for w in batch.column("word").take(pa.array(mine)).to_pylist()), np.uint64, len(mine))
-            kind = batch.column("kind").to_numpy(zero_copy_only=False) == 1
-            keys = np.where(kind, context_key(keys), keys)
-            home = home_of(keys, segments).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(keys.view(np.int64)), batch.column("level")], names=["segment", "key", "level"])
-
-    def filled(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(SEGMENT_BITS, np.uint8)
-        keys, levels = rows["key"].to_numpy(np.int64).view(np.uint64), rows["level"].to_numpy(np.int32)
-        for k in range(1, int(levels.max()) + 1):
-            steps = _steps(keys[levels >= k], k)
-            for i in range(HASHES):
-                bits[_offset(*steps, i)] = 1
-        home, made = int(rows["segment"].iloc[0]), np.packbits(bits, bitorder="little").tobytes()
+            for k in range(batch.num_rows):
+                put(batch.slice(k, 1).to_pylist()[0])
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    for made_parts in tables:
+        slim = made_parts.select("kind", "part", "bits", *[F.when(F.col("kind") == WORD, F.col(c)).alias(c) for c in ("high", "low", "n")])
         if mapped:
-            put(home, made)
-        return pd.DataFrame({"segment": [home], "bits": [None if mapped else made]})
+            slim.mapInArrow(written, "done boolean").write.format("noop").mode("overwrite").save()
+        else:  # a shared folder that is no mounted path
+            for row in slim.toLocalIterator():
+                put(row.asDict())
+    if not mapped:
+        spark.sparkContext.addFile(path)
+    return LogFrequencyFilter(path if mapped else os.path.basename(path), not mapped, start, [b * 8 for b in bits], (*table, whole // 8))
+
+
+def fit(texts: DataFrame, per_entry: int = BITS_PER_ENTRY) -> Model:
+    """The model of ``texts`` (column text), with the first smoothing of ``GRID``."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = parts_for(size)
+    counted = cut(made(count_ngrams(texts, parts), per_entry), "ngrams")
+    contexts = cut(made(context_rows(counted.where(F.col("kind") == PAIR).select("high", "n"), parts), per_entry), "contexts")
+    total = counted.where(F.col("kind") == WORD).agg(F.sum("total"), F.sum("distinct"), F.sum("read")).first()
+    return Model(placed([counted, contexts], [parts] * 3), int(total[0] or 0), total[1] or 0, total[2] or 0.0)
+
+
+class Reader:
+    """Reads of one task: of words once for many batches, of pairs once a batch."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.vocabulary, self.of_words = model, Vocabulary(), np.empty((3, 0))
+        self.start = UPPER[model.filter.levels(CONTEXT, context_key(np.array([START])))][0]
+
+    def read(self, texts: list[str | None]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, and for each of them its exact count, P(w), c(v, w) and s(v)."""
+        probe = self.model.filter
+        if len(self.vocabulary.hashes) > PROBED_WORDS:
+            self.vocabulary, self.of_words = Vocabulary(), np.empty((3, 0))
+        tokens = Tokens(texts, self.vocabulary)
+        new = self.vocabulary.hashes[self.of_words.shape[1] :]
+        alone = (MEANS[probe.levels(WORD, new[:, 0])] + ADDED) / (self.model.read_tokens + ADDED * (self.model.distinct + 1))
+        self.of_words = np.concatenate([self.of_words, [probe.counts(new), alone, UPPER[probe.levels(CONTEXT, context_key(new[:, 0]))]]], axis=1)
+        pairs, at = np.unique(tokens.pairs(), return_inverse=True)  # frequent ones take the most probes
+        joint = MEANS[probe.levels(PAIR, pairs)][at]
+        known, alone, after = self.of_words
+        total = np.empty(len(tokens.codes))
+        total[1:] = after[tokens.codes[:-1]]
+        total[tokens.starts] = self.start
+        return tokens, known[tokens.codes], alone[tokens.codes], joint, np.maximum(total, joint)
+
+
+def log_likelihood(alone: np.ndarray, joint: np.ndarray, total: np.ndarray, smoothing: tuple[float, float]) -> np.ndarray:
+    weight = smoothing[0] + smoothing[1] * total
+    return np.log10((joint + weight * alone) / (total + weight))
+
+
+def smoothed(model: Model, held_out: DataFrame, grid: tuple[tuple[float, float], ...] = GRID) -> Model:
+    """The model with the smoothing that gives ``held_out`` (column text) the highest probability."""
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, sums = Reader(model), np.zeros(len(grid))
+        for batch in slices(batches):
+            _, _, *read = reader.read(batch.column("text").to_pylist())
+            sums += [log_likelihood(*read, s).sum() for s in grid]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums)], names=["at", "value"])
 
-    def put(home: int, made: bytes) -> None:
-        """A task that is run again writes the same bytes to the same place."""
-        with open(path, "r+b") as file:
-            file.seek(home * SEGMENT_BITS // 8)
-            file.write(made)
-
-    built = entries.mapInArrow(keyed, "segment int, key long, level int").groupBy("segment").applyInPandas(filled, "segment int, bits binary")
-    if mapped:
-        built.write.format("noop").mode("overwrite").save()
-        return LogFrequencyFilter(path, segments)
-    for row in built.toLocalIterator():  # a shared folder that is no mounted path
-        put(row.segment, row.bits)
-    spark.sparkContext.addFile(path)
-    return LogFrequencyFilter(os.path.basename(path), segments, True)
-
-
-def fit(texts: DataFrame, exact_words: int = EXACT_WORDS) -> tuple[Model, DataFrame]:
-    """The model of ``texts`` (column text), and the table of exact word counts (word, n)."""
-    spark = texts.sparkSession
-    counts = cut(count_ngrams(texts), "ngrams")
-    by_word = counts.where(F.col("word").isNotNull()).select("word", "n")
-    total = by_word.agg(F.sum("n"), F.count("*"), F.sum(read_back(F.col("n")))).first()
-    exact = {r.word: r.n for r in frequent(by_word, exact_words).toLocalIterator()}
-    context = spark.sparkContext
-    return Model(build_filter(counts), context.broadcast(exact), total[0] or 0, total[1], total[2] or 0.0), by_word
+    sums = held_out.mapInArrow(tried, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    best = max(sums, key=lambda r: (round(r.value, 3), -r.at), default=None)
+    return model if best is None else replace(model, smoothing=grid[best.at])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` (id, text and others) with n_tokens, score, and the base score but for the words in ``rare``."""
+    """The rows of ``docs`` (text and others) with n_tokens, n_known, base_score and score instead of the text."""
     keep = [f for f in docs.schema.fields if f.name != "text"]
-    means = np.array(MEANS)
-    upper = np.concatenate([[0.0], CONTEXT_BASE ** np.arange(1, 500)])
-    read_whole = model.read_tokens + ADDED * (model.distinct + 1)
+    whole = model.train_tokens + ADDED * (model.distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, exact, whole = model.filter, model.exact.value, model.whole
-        vocabulary, of_words = Vocabulary(), np.empty((3, 0))
+        reader = Reader(model)
         for batch in slices(batches):
-            if len(vocabulary.words) > PROBED_WORDS:
-                vocabulary, of_words = Vocabulary(), np.empty((3, 0))
-            tokens = Tokens(batch.column("text").to_pylist(), vocabulary)
-            new, hashes = tokens.words[of_words.shape[1] :], tokens.hashes[of_words.shape[1] :]
-            counts = np.fromiter((exact.get(w, 0) for w in new), np.float64, len(new))
-            of_words = np.concatenate([of_words, [means[probe.levels(hashes)], upper[probe.levels(context_key(hashes))], counts]], axis=1)
-            single, after, known = of_words
-            before = tokens.before()
-            pairs, at = np.unique(pair_key(before, tokens.hashes[tokens.codes]), return_inverse=True)  # frequent ones take the most probes
-            joint = means[probe.levels(pairs)][at]
-            total = np.empty(len(before))
-            total[1:] = after[tokens.codes[:-1]]
-            total[tokens.starts] = upper[probe.levels(context_key(np.array([START])))]
-            alone = ((single + ADDED) / read_whole)[tokens.codes]
-            likely = np.log10((joint + SMOOTHING * alone) / (np.maximum(total, joint) + SMOOTHING))
-            common = (known > 0)[tokens.codes]
-            base = np.where(common, np.log10((known + ADDED) / whole)[tokens.codes], 0.0)
-            rare = []
-            for low, size in zip(tokens.starts, tokens.sizes):
-                codes = tokens.codes[low : low + size][~common[low : low + size]]
-                rare.append([{"word": tokens.words[c], "times": n} for c, n in Counter(codes.tolist()).items()])
-            arrays = [
-                pa.array(tokens.sizes), pa.array(np.add.reduceat(common.astype(np.int64), tokens.starts)), pa.array(np.add.reduceat(base, tokens.starts)),
-                pa.array(np.add.reduceat(likely, tokens.starts)), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *arrays], names=[*(f.name for f in keep), "n_tokens", "n_common", "common_score", "score", "rare"])
+            tokens, known, *read = reader.read(batch.column("text").to_pylist())
+            values = (known > 0).astype(np.int64), np.log10((known + ADDED) / whole), log_likelihood(*read, model.smoothing)
+            sums = [pa.array(np.add.reduceat(v, tokens.starts)) for v in values]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(tokens.sizes), *sums], names=[*(f.name for f in keep), "n_tokens", "n_known", "base_score", "score"])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
-    return docs.mapInArrow(score, kept + "n_tokens long, n_common long, common_score double, score double, rare array<struct<word:string,times:long>>")
-
-
-def with_base(rows: DataFrame, by_word: DataFrame, model: Model) -> DataFrame:
-    """``rows`` of ``scored`` with n_known and base_score; rare words meet their counts in a join."""
-    named = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
-    single = named.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.times")
-    counted = single.join(by_word, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    part = F.col("times") * F.log10((F.col("n") + ADDED) / F.lit(float(model.whole)))
-    sums = counted.groupBy("_row").agg(F.sum(part).alias("_rare"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"))
-    joined = named.drop("rare").join(sums, "_row", "left")
-    return joined.withColumn("n_known", F.col("n_common") + F.coalesce("_known", F.lit(0))).withColumn("base_score", F.col("common_score") + F.coalesce("_rare", F.lit(0.0))).drop("_row", "_rare", "_known", "n_common", "common_score")
+    return docs.mapInArrow(score, kept + "n_tokens long, n_known long, base_score double, score double")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
     docs = documents(spark, sf_dir).select("doc_id", "text", (fold == HELD_OUT).alias("held_out"))
-    model, by_word = fit(docs.where(~F.col("held_out")).select("text"))
-    out = with_base(scored(docs, model), by_word, model)
+    model = smoothed(fit(docs.where(~F.col("held_out")).select("text")), docs.where("held_out").select("text"))
+    out = scored(docs, model)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

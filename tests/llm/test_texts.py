@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import cache
 from math import log10
 
 import pytest
@@ -216,66 +217,97 @@ def brute_base(rows):
     return out
 
 
-@pytest.mark.parametrize("exact", [1 << 18, 4])
-def test_base_scores_equal_brute_force(spark, folder, empty, monkeypatch, exact):
-    monkeypatch.setattr(language_model.fit, "__defaults__", (exact,))
+def test_base_scores_equal_brute_force(spark, folder, empty):
     rows = language_model.op5_language_model(spark, folder).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == brute_base(cases.rows())
     assert all(r.score < 0 for r in rows)
     assert language_model.op5_language_model(spark, empty).count() == 0
 
 
-def test_filter_never_reads_a_count_too_small(spark):
-    import numpy as np
-
-    counts = spark.createDataFrame([(f"w{k}", None, k + 1) for k in range(3000)], "word string, pair long, n long")
-    built = language_model.build_filter(counts)
-    keys = np.array([language_model.word_hash(f"w{k}") for k in range(3000)], np.uint64)
-    true = 1 + np.floor(np.log(np.arange(1, 3001)) / np.log(language_model.BASE) + 1e-9)
-    read = built.levels(keys)
-    assert (read >= true).all() and (read == true).mean() > 0.95
-    unknown = np.array([language_model.word_hash(f"u{k}") for k in range(3000)], np.uint64)
-    assert (built.levels(unknown) > 0).mean() < 0.05
-
-
-def test_filter_follows_the_entries(spark, monkeypatch):
-    import numpy as np
-
-    monkeypatch.setattr(language_model, "MOST_SEGMENTS", 1, raising=False)
-    counts = spark.range(40000).selectExpr("concat('w', id) AS word", "CAST(NULL AS long) AS pair", "id % 50 + 1 AS n")
-    built = language_model.build_filter(counts)
-    keys = np.array([language_model.word_hash(f"w{k}") for k in range(40000)], np.uint64)
-    true = 1 + np.floor(np.log(np.arange(40000) % 50 + 1) / np.log(language_model.BASE) + 1e-9)
-    assert built.segments > 1 and (built.levels(keys) >= true).all()
+@pytest.mark.parametrize(("part_bytes", "smoothing"), [(1 << 20, (10.0, 0.5)), (50, (1.0, 0.0))])
+def test_scores_equal_brute_force(spark, monkeypatch, part_bytes, smoothing):
+    """With many bits an entry no probe errs, and the score is the formula over exact counts; parts change nothing."""
+    from dataclasses import replace
+
+    texts = [*[t or "" for t in cases.texts(40)], "the end", "the end of the end"]
+    tokens = [[*WORD.findall(low(t)), "\n"] for t in texts]
+    single = Counter(w for t in tokens for w in t)
+    pairs = Counter(p for t in tokens for p in zip(["<s>", *t], t))
+
+    @cache
+    def mean(n):
+        level = next(q for q in range(200) if n < 1.5**q - 1e-6)
+        members = [k for k in range(1, 20000) if 1.5 ** (level - 1) - 1e-6 <= k < 1.5**level - 1e-6] or [0]
+        return (members[0] + members[-1]) / 2
+
+    def upper(total):
+        return 1.2 ** next(q for q in range(1, 500) if total < 1.2**q * (1 - 1e-9)) if total else 0.0
+
+    read = {w: mean(n) for w, n in single.items()}
+    follow = Counter()
+    for (before, _), n in pairs.items():
+        follow[before] += mean(n)
+    whole = sum(read.values()) + 0.5 * (len(single) + 1)
+
+    def brute(t):
+        out = 0.0
+        for p in zip(["<s>", *t], t):
+            joint = mean(pairs[p]) if pairs[p] else 0.0
+            total = max(upper(follow[p[0]]), joint)
+            k = smoothing[0] + smoothing[1] * total
+            out += log10((joint + k * (read.get(p[1], 0.0) + 0.5) / whole) / (total + k))
+        return out
+
+    monkeypatch.setattr(language_model, "PART_BYTES", part_bytes)
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    model = replace(language_model.fit(frame.select("text"), per_entry=2000), smoothing=smoothing)
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "unseen words the word1"])], "id long, text string")
+    got = {r.id: r.score for r in language_model.scored(asked, model).collect()}
+    for k, t in enumerate([*tokens, ["unseen", "words", "the", "word1", "\n"]]):
+        assert got[k] == pytest.approx(brute(t), abs=1e-6)
+
+
+def test_pairs_raise_held_out_probability(spark):
+    """Text with an order of words: the fitted smoothing scores held-out text above the base score."""
+    import random
 
+    rng = random.Random(9)
+    follow = {k: [(7 * k + j) % 50 for j in range(3)] for k in range(50)}
 
-def test_scores_do_not_depend_on_a_bound_of_the_filter(spark, folder, monkeypatch):
-    def scores():
-        return sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in language_model.op5_language_model(spark, folder).collect())
+    def text():
+        at, out = rng.randrange(50), []
+        for _ in range(60):
+            out.append(f"w{at}")
+            at = rng.choice(follow[at])
+        return " ".join(out)
 
-    whole = scores()
-    monkeypatch.setattr(language_model, "MOST_SEGMENTS", 0, raising=False)
-    assert scores() == whole
+    train, held = ([(text(),) for _ in range(n)] for n in (200, 40))
+    model = language_model.smoothed(language_model.fit(spark.createDataFrame(train, "text string")), spark.createDataFrame(held, "text string"))
+    row = language_model.scored(spark.createDataFrame(held, "text string"), model).selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    assert row.s > row.b + 1000
 
 
-def test_filter_holds_pairs_seen_once(spark):
+def test_filter_never_reads_a_count_too_small():
     import numpy as np
 
-    model, _ = language_model.fit(spark.createDataFrame([("alpha beta",), ("gamma delta gamma epsilon",)], "text string"))
-    of = {w: np.array([language_model.word_hash(w)], np.uint64) for w in ("alpha", "beta", "gamma", "delta", "epsilon")}
-    for before, after in (("alpha", "beta"), ("gamma", "delta"), ("gamma", "epsilon")):
-        assert model.filter.levels(language_model.pair_key(of[before], of[after]))[0] >= 1
-    assert model.filter.levels(language_model.context_key(of["alpha"]))[0] >= 1
-    two = 1 + int(np.log(2) / np.log(language_model.CONTEXT_BASE))
-    assert model.filter.levels(language_model.context_key(of["gamma"]))[0] >= two
+    keys = np.sort(language_model.word_hashes([f"w{k}" for k in range(3000)])[:, 0])
+    true = language_model.level_of(np.arange(1, 3001), language_model.BASE)
+    bits = language_model.filled(keys, true)
+    held = language_model.LogFrequencyFilter("", False, [np.zeros(1, np.int64)], [np.array([8 * len(bits)])], (0, 0, 0, 0))
+    held._file = np.frombuffer(bits, np.uint8)
+    read = held.levels(0, keys)
+    assert (read >= true).all() and (read == true).mean() > 0.95
+    unknown = language_model.word_hashes([f"u{k}" for k in range(3000)])[:, 0]
+    assert (held.levels(0, unknown) > 0).mean() < 0.05
 
 
-def test_keys_spread_over_all_segments():
+def test_keys_spread_over_all_parts():
     import numpy as np
 
-    hashes = np.array([language_model.word_hash(f"w{k}") for k in range(20000)], np.uint64)
-    for keys in (hashes, language_model.context_key(hashes), language_model.pair_key(hashes, hashes[:1])):
+    hashes = language_model.word_hashes([f"w{k}" for k in range(20000)])[:, 0]
+    for keys in (hashes, language_model.context_key(hashes), language_model.pair_key(hashes, hashes[:1]), language_model.pair_key(hashes[:1], hashes)):
         assert np.bincount(language_model.home_of(keys, 256), minlength=256).max() < 200
+    assert (language_model.unmixed(language_model.mixed(hashes)) == hashes).all()
 
 
 def test_long_words_and_odd_runs_equal_the_library():
