@@ -33,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, documents, lower_ascii, slices, words
@@ -45,6 +45,8 @@ WORDS = 3
 THRESHOLD = 2
 
 BITS = 64
+#: Hashes whose bits are unpacked at a time.
+VOTE_ROWS = 1 << 17
 MOST_IN_KEY = 2048
 REFINEMENTS = 2
 #: The cost of shuffling a row, in verified candidates.
@@ -71,8 +73,13 @@ def vote(hashes: list[int] | np.ndarray, lengths: list[int]) -> np.ndarray:
         return out
     flat = np.ascontiguousarray(hashes, "<u8")
     starts = (np.cumsum(sizes) - sizes)[full]
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    counts = np.zeros((len(full), BITS), np.int64)
+    for low in range(0, len(flat), VOTE_ROWS):
+        bits = np.unpackbits(flat[low : low + VOTE_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = int(np.searchsorted(starts, low, "right")) - 1
+        inside = starts[first + 1 : int(np.searchsorted(starts, low + len(bits)))] - low
+        runs = np.append(0, inside) if first >= 0 else inside
+        counts[first : first + len(runs)] += np.add.reduceat(bits, runs, axis=0, dtype=np.int64)
     out[full] = np.packbits(2 * counts > sizes[full, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
@@ -99,6 +106,9 @@ def fingerprints(docs: DataFrame, features: Callable[[list[str]], list[str]], se
 NEAR_WORDS = 5
 NEAR_OF, NEAR_IN = 4, 5
 BANDS, BAND_ROWS = 16, 4
+STAR_ROUNDS = 3
+#: Tables of 16 bytes a row are broadcast up to so many rows, after counting; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1 << 19
 _MINHASH = np.random.default_rng(SEED)
 _TIMES = _MINHASH.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 _PLUS = _MINHASH.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64)
@@ -121,19 +131,47 @@ def band_keys(held: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, vertex (a hash of the set), the set of shingle hashes and the keys of its bands."""
+def _with_sets(docs: DataFrame, schema: str, columns: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
+    """The columns of ``docs`` but for text, and those that ``columns`` makes of the texts' shingle sets."""
+    keep = [f for f in docs.schema.fields if f.name != "text"]
+    names = [*(f.name for f in keep), *(c.split()[0] for c in schema.split(", "))]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            vertex = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], np.uint64).view(np.int64)
-            lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (found, map(band_keys, found))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(vertex), *lists], names=["id", "vertex", "held", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *columns(found)], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(made, f"id {kind}, vertex long, held array<long>, keys array<long>").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(made, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), schema]))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """Vertex (a 128-bit hash of the shingle set), n (its size) and the keys of its bands for each row of ``docs`` (text and others)."""
+
+    def columns(found: list[np.ndarray]) -> list[pa.Array]:
+        vertex = pa.array([xxhash.xxh3_128_digest(f.tobytes(), SEED) for f in found], pa.binary())
+        keys = pa.array([band_keys(f).view(np.int64) for f in found], pa.list_(pa.int64()))
+        return [vertex, pa.array(list(map(len, found)), pa.int32()), keys]
+
+    return _with_sets(docs, "vertex binary, n int, keys array<long>", columns)
+
+
+def content(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The name of a row's id and text, 128 bits."""
+    return F.xxhash64(F.lit(1), id_col, text_col), F.xxhash64(F.lit(2), text_col, id_col)
+
+
+def checked(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(vertex, held): the shingle sets of the vertices in ``wanted`` (vertex, one, two: a row that has it), read from the texts again."""
+    one, two = content(id_col, text_col)
+    texts = docs.select(one.alias("one"), two.alias("two"), F.col(text_col).alias("text"))
+    asked = texts.join(checked(wanted, wanted.count()), ["one", "two"]).select("vertex", "text")
+    lists = _with_sets(asked, "held array<long>", lambda found: [pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))])
+    return lists.dropDuplicates(["vertex"])
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -143,43 +181,67 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(NEAR_IN * shared >= NEAR_OF * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_links(sets: DataFrame) -> DataFrame:
-    """(a, b) between ``sets`` (vertex, held, keys): enough of the near pairs to join what they all join.
+def near_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) between vertices of ``rows`` (key, vertex, n): enough of the near pairs to join what they all join.
 
-    Each vertex of a key is held against the key's first one and the one
-    before; what these links do not join yet is then compared pair by pair.
+    In each round, the first vertex of a key is held against the key's other
+    ones, and then the first of those it is not joined with.  Keys whose
+    vertices are joined by then are done; only between what is still apart in
+    a key are all pairs held against each other.
     """
-    rows = sets.select("vertex", F.size("held").alias("n"), F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key").orderBy("vertex")
-    sizes = NEAR_IN * F.least("n", "m") >= NEAR_OF * F.greatest("n", "m")  # no pair of 0.8 is beyond
-    seen = rows.select("vertex", "n", "key", F.first(F.struct("vertex", "n")).over(by_key).alias("first"), F.lag(F.struct("vertex", "n")).over(by_key).alias("last"))
-    chosen = seen.select(F.col("vertex").alias("b"), "n", F.explode(F.array("first", "last")).alias("o")).select(F.col("o.vertex").alias("a"), "b", "n", F.col("o.n").alias("m"))
-    star = cut(alike(chosen.where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct(), sets), "near-star")
-    joined = rows.join(components(star), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    apart = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = cut(joined.join(apart, "key", "left_semi"), "near-left")
-    one = left.select("key", F.col("vertex").alias("a"), "n", F.col("component").alias("c"))
-    other = left.select("key", F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sizes).select("a", "b").distinct()
-    return star.union(alike(rest, sets))
+    near_sizes = NEAR_IN * F.least("n", "m") >= NEAR_OF * F.greatest("n", "m")  # no pair of 0.8 is beyond
+    links, named, left = None, rows.withColumn("component", F.col("vertex")), rows.withColumn("component", F.col("vertex"))
+    for _ in range(STAR_ROUNDS):
+        lead = left.groupBy("key").agg(F.min(F.struct("vertex", "n", "component")).alias("o"))
+        chosen = left.join(lead, "key").where(F.col("component") != F.col("o.component")).select(F.col("o.vertex").alias("a"), F.col("vertex").alias("b"), "n", F.col("o.n").alias("m"))
+        found = cut(alike(chosen.where(near_sizes).select("a", "b").distinct(), sets), "near-star")
+        links = found if links is None else links.union(found)
+        joined = rows.join(components(links), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+        apart = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        named = cut(joined.join(apart, "key", "left_semi"), "near-apart")
+        if named.isEmpty():
+            return links
+        first = named.groupBy("key").agg(F.min(F.struct("vertex", "component")).alias("o"))
+        left = named.join(first, "key").where(F.col("component") != F.col("o.component")).drop("o")
+    one = named.select("key", F.col("vertex").alias("a"), "n", F.col("component").alias("c"))
+    other = named.select("key", F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
+    rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near_sizes).select("a", "b").distinct()
+    return links.union(alike(rest, sets))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for those that are near another of smaller id.
+    """The rows of ``docs`` but for those that are near another of smaller id; of rows that repeat id and text, one.
 
-    Rows that repeat id and text are one document: they stay or go together.
     Rows without an id stay if no document with one is near them.
     """
-    content = F.xxhash64(F.col(id_col), F.col(text_col))
-    named = docs.withColumn("_content", content)
-    ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_content").alias("content"))
-    made = cut(shingle_sets(named.withColumn("_id", ids).select("_id", text_col), "_id", text_col), "shingle-sets")
-    sets = cut(made.dropDuplicates(["vertex"]).select("vertex", "held", "keys"), "distinct-sets")
-    linked = components(near_links(sets))
-    out = made.select("_id", "vertex").join(linked, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    least = out.groupBy("component").agg(F.min("_id").alias("least"))
-    gone = out.join(least, "component").where(F.col("_id") != F.col("least")).select(F.col("_id.content").alias("_gone")).distinct()
-    return named.join(gone, named["_content"] == gone["_gone"], "left_anti").drop("_content")
+    one, two = content(id_col, text_col)
+    ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), one.alias("one"), two.alias("two"))
+    made = cut(signatures(docs.select(ids.alias("id"), F.col(text_col).alias("text"))), "signatures")
+    least = made.groupBy("vertex").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    vertices = cut(least, "vertices")
+    keys = vertices.select("vertex", "n", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    rows = cut(keys.join(shared, "key", "left_semi"), "shared-keys")
+    wanted = vertices.join(rows.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "id.one", "id.two")
+    sets = cut(sets_of(docs, cut(wanted, "wanted"), id_col, text_col), "sets")
+    linked = components(near_links(rows, sets))
+    named = vertices.select("vertex", "id").join(linked, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    stays = named.groupBy("component").agg(F.min("id").alias("stays"))
+    stay = named.join(stays, "component").where(F.col("id") == F.col("stays")).select("vertex", F.lit(True).alias("stay"))
+    contents = made.select("vertex", "id").join(named.select("vertex", F.col("id").alias("first")), "vertex").join(stay, "vertex", "left")
+    goes = F.col("stay").isNull() | (F.col("id") != F.col("first"))
+    marked = contents.groupBy(F.col("id.one").alias("_one"), F.col("id.two").alias("_two")).agg(F.max(goes).alias("_goes"), F.count("*").alias("_times")).where("_goes OR _times > 1")
+    marks = cut(marked.drop("_times"), "marks")
+    return _marked_dropped(docs, marks, one, two)
+
+
+def _marked_dropped(docs: DataFrame, marks: DataFrame, one: Column, two: Column) -> DataFrame:
+    """The rows of ``docs`` that ``marks`` (_one, _two, _goes) does not name, and one of each name that it does not drop."""
+    small = checked(marks, marks.count())
+    named = docs.withColumns({"_one": one, "_two": two})
+    plain = named.join(small, ["_one", "_two"], "left_anti").select(docs.columns)
+    repeats = named.join(small.where("NOT _goes"), ["_one", "_two"], "left_semi").dropDuplicates(["_one", "_two"])
+    return plain.union(repeats.select(docs.columns))
 
 
 def _unpacked(fps: np.ndarray) -> np.ndarray:

@@ -96,7 +96,7 @@ def near_copies(seed=2, groups=40):
 def test_one_document_of_each_near_group_stays(spark):
     rows = near_copies()
     out = simhash.drop_near_duplicates(spark.createDataFrame([*rows, rows[0]], cases.SCHEMA))
-    assert sorted(r.doc_id for r in out.collect()) == sorted([0, *(10 * g for g in range(40))])
+    assert sorted(r.doc_id for r in out.collect()) == [10 * g for g in range(40)]
     clean = [(k, r[1], *r[2:]) for k, r in enumerate(rows) if r[0] % 10 == 0]
     assert simhash.drop_near_duplicates(spark.createDataFrame(clean, cases.SCHEMA)).count() == len(clean)
     assert simhash.drop_near_duplicates(cases.none(spark)).count() == 0
