@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -42,25 +43,38 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import cut, documents, frequent, slices
 from gristmill.llm.lexicon import Lexicon, compile_words
 
-FREQUENT_WORDS = 1 << 16
+FREQUENT_WORDS = 1 << 17
 #: Longer words stay out of the lexicon.
 LEXICON_LETTERS = 64
 #: Words outside the lexicon that a worker remembers, up to twice as many.
 MEMO_WORDS = 1 << 17
 #: Parts from which the merges of a word are kept in a heap.
 HEAP_PARTS = 48
-ENCODE_BYTES = 1 << 22
+ENCODE_BYTES = 1 << 23
+
+#: Fixed value: the pattern of the tokenizer file, and what it is for a lower-case ASCII run.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 #: White space by Unicode; Python's own also has the four separators from 1C to 1F, which the tokenizer keeps.
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def runs(text: str) -> list[str]:
-    """The text cut at white space: no piece of the tokenizer reaches across it."""
-    if _SEPARATORS.search(text):
-        return [r for r in _SPACES.split(text) if r]
-    return text.split()
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The runs between white space of all texts, as numbers of the distinct ones; where each text's begin; the distinct ones.
+
+    No piece of the tokenizer reaches across white space.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+        lists = pa.array([_SPACES.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    flat, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    some = pc.not_equal(flat, "")
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    found = flat.filter(some).dictionary_encode()
+    return np.asarray(found.indices).astype(np.int64), before[offsets - offsets[0]], found.dictionary
 
 
 def byte_characters() -> list[str]:
@@ -76,14 +90,14 @@ class Rules:
     def __init__(self, spec: dict) -> None:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        if pattern != PIECE or any("|" not in s for s in self.special):
+            raise ValueError("a tokenizer file of another kind")
         self.piece = regex.compile(pattern)
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
 
     def pieces(self, text: str) -> list[str]:
         """Special tokens as they stand, and the words and marks between them after normalisation."""
-        if text.isascii() and text.isalpha():
-            return [text.lower()]
-        if not any(s in text for s in self.special):
+        if not self.marks.search(text):
             return self.piece.findall(_normal(text))
         out: list[str] = []
         for part in self.marks.split(text):
@@ -91,6 +105,20 @@ class Rules:
         return out
 
 
+    def of_runs(self, runs: list[str]) -> list[list[str]]:
+        """The pieces of each run without white space; a run of letters is one."""
+        out = []
+        for run in runs:
+            plain = _normal(run)
+            if plain.isalpha():
+                out.append([plain])
+            elif plain.isascii() and "|" not in run:
+                out.append(_ASCII_PIECE.findall(plain))
+            else:
+                out.append(self.pieces(run))
+        return out
+
+
 class Model(Rules):
     """Splitting rules, vocabulary and merge ranks of one tokenizer file."""
 
@@ -212,49 +240,47 @@ class Encoder:
             out.append(entry)
         return out
 
-    def encode(self, texts: list[str]) -> Encoded:
+    def encode(self, texts: pa.Array) -> Encoded:
         """The texts of one slice."""
-        number = Numbers()
-        at = number.__getitem__
-        codes = [list(map(at, runs(t))) for t in texts]
+        order, starts, distinct = numbered(texts)
         known = Numbers()
-        split = [list(map(known.__getitem__, self.model.pieces(r))) for r in number]
+        split = [list(map(known.__getitem__, pieces)) for pieces in self.model.of_runs(distinct.to_pylist())]
         found = self.entries(list(known))
-        return Encoded(codes, [[found[k] for k in s] for s in split])
+        return Encoded(order, starts, [[found[k] for k in s] for s in split])
 
 
 class Encoded:
-    """Encoded texts: numbers of runs, and what each distinct run gives."""
+    """Encoded texts: numbers of runs, where each text's begin, and what each distinct run gives."""
+
+    def __init__(self, order: np.ndarray, starts: np.ndarray, entries: list[list[tuple[list[int], str, str]]]) -> None:
+        self._order, self._starts, self._entries = order, starts, entries
+        self._sizes = np.fromiter((sum([len(x[0]) for x in e]) for e in entries), np.int64, len(entries))
 
-    def __init__(self, codes: list[list[int]], entries: list[list[tuple[list[int], str, str]]]) -> None:
-        self._codes = codes
-        self._ids = [e[0][0] if len(e) == 1 else [i for x in e for i in x[0]] for e in entries]
-        self._decimal = [e[0][1] if len(e) == 1 else " ".join([x[1] for x in e]) for e in entries]
-        self._decoded = [e[0][2] if len(e) == 1 else " ".join([x[2] for x in e]) for e in entries]
+    def _joined(self, at: int) -> pa.Array:
+        parts = pa.array([e[0][at] if len(e) == 1 else " ".join([x[at] for x in e]) for e in self._entries], pa.string())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(self._starts.astype(np.int32)), parts.take(pa.array(self._order))), " ")
 
-    def decimals(self) -> Iterator[str]:
+    def decimals(self) -> pa.Array:
         """The ids of each text in decimal, joined by spaces."""
-        return (" ".join(map(self._decimal.__getitem__, c)) for c in self._codes)
+        return self._joined(1)
 
-    def decoded(self) -> Iterator[str]:
-        return (" ".join(map(self._decoded.__getitem__, c)) for c in self._codes)
+    def decoded(self) -> pa.Array:
+        return self._joined(2)
+
+    def _ends(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self._sizes[self._order])])
 
     def counts(self) -> np.ndarray:
         """Ids of each text."""
-        sizes = np.fromiter(map(len, self._ids), np.int64, len(self._ids))
-        return np.array([int(sizes[c].sum()) if c else 0 for c in self._codes], np.int64)
+        return np.diff(self._ends()[self._starts])
 
     def ids(self) -> pa.ListArray:
         """The ids of each text as one list array."""
-        sizes = np.fromiter(map(len, self._ids), np.int64, len(self._ids))
-        flat = np.fromiter((i for ids in self._ids for i in ids), np.int32, int(sizes.sum()))
-        start = np.cumsum(sizes) - sizes
-        order = np.fromiter((k for c in self._codes for k in c), np.int64, sum(map(len, self._codes)))
-        lengths = sizes[order]
-        ends = np.cumsum(lengths)
-        at = np.repeat(start[order] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
-        offsets = np.concatenate([[0], np.cumsum(self.counts())]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at], pa.int32()))
+        flat = np.fromiter((i for e in self._entries for x in e for i in x[0]), np.int32, int(self._sizes.sum()))
+        start, ends = np.cumsum(self._sizes) - self._sizes, self._ends()
+        lengths = self._sizes[self._order]
+        at = np.repeat(start[self._order] - ends[:-1], lengths) + np.arange(int(ends[-1]))
+        return pa.ListArray.from_arrays(pa.array(ends[self._starts].astype(np.int32)), pa.array(flat[at], pa.int32()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -277,21 +303,20 @@ def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WOR
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, held = Rules(model.value), Counter()
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                held.update(runs(text or ""))
+        for batch in slices(batches, budget=ENCODE_BYTES):
+            order, _, distinct = numbered(batch.column("text"))
+            times = np.bincount(order, minlength=len(distinct)).tolist()
+            for pieces, n in zip(rules.of_runs(distinct.to_pylist()), times):
+                for piece in pieces:
+                    held[piece] += n
             if len(held) > memory:
-                yield pairs(rules, held)
+                yield pairs(held)
                 held = Counter()
-        yield pairs(rules, held)
+        yield pairs(held)
 
-    def pairs(rules: Rules, held: Counter) -> pa.RecordBatch:
-        out: Counter = Counter()
-        for run, n in held.items():
-            for piece in rules.pieces(run):
-                if len(piece) <= LEXICON_LETTERS:
-                    out[piece] += n
-        return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], names=["piece", "n"])
+    def pairs(held: Counter) -> pa.RecordBatch:
+        kept = [(p, n) for p, n in held.items() if len(p) <= LEXICON_LETTERS]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["piece", "n"])
 
     counts = cut(texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
     return [r.piece for r in frequent(counts, limit).collect()]
@@ -308,16 +333,16 @@ def prepare(docs: DataFrame, path: str, text_col: str = "text", limit: int = FRE
     return shared, context.broadcast(compile_words({w: model.merge(w) for w in words}))
 
 
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+def digested(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()], pa.string())
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = FREQUENT_WORDS, digest: bool = False) -> DataFrame:
     """id, n_tokens, ids (array of int) and decoded text of every row, or with ``digest`` its digest as decoded_sha256."""
 
     def body(encoded: Encoded) -> list[pa.Array]:
-        back = map(sha, encoded.decoded()) if digest else encoded.decoded()
-        return [pa.array(encoded.counts()), encoded.ids(), pa.array(list(back), pa.string())]
+        back = digested(encoded.decoded()) if digest else encoded.decoded()
+        return [pa.array(encoded.counts()), encoded.ids(), back]
 
     return _map(docs, path, id_col, text_col, limit, f"n_tokens long, ids array<int>, {'decoded_sha256' if digest else 'decoded'} string", body)
 
@@ -326,7 +351,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """id, n_tokens and the digests of ids and decoded text."""
 
     def body(encoded: Encoded) -> list[pa.Array]:
-        return [pa.array(encoded.counts()), *(pa.array([sha(t) for t in texts], pa.string()) for texts in (encoded.decimals(), encoded.decoded()))]
+        return [pa.array(encoded.counts()), digested(encoded.decimals()), digested(encoded.decoded())]
 
     return _map(docs, path, id_col, text_col, limit, "n_tokens long, ids_sha256 string, decoded_sha256 string", body)
 
@@ -337,7 +362,7 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, limit: int, col
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared, compiled)
         for batch in slices(batches, budget=ENCODE_BYTES):
-            arrays = body(encoder.encode([t or "" for t in batch.column("text").to_pylist()]))
+            arrays = body(encoder.encode(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=names)
 
     key = uuid.uuid4().hex
