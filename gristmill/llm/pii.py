@@ -8,14 +8,15 @@ gradient on the conditional likelihood of ``training_windows()`` made-up
 windows, a fixed number that depends on no data; executors get the weights by
 closure.
 
-A segment must hold a digit or an @, so only tokens within ``LONGEST`` of such
+A segment must hold a digit, an @ or the word dot, so only tokens within ``LONGEST`` of such
 a token can be part of one: decoding these stretches alone gives the best
 labelling of the whole text.  Spans of the patterns stay; segments that
 overlap one are not candidates.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows are
 searched one by one; an empty table gives an empty result; other columns are
-ignored; work on a text is linear in its tokens, however long it is.
+ignored; work on a text is linear in its length, however long it is; a token of more
+than ``LONGEST_TOKEN`` letters is no part of a segment.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ BASE = {
 TYPES = ("email", "ip", "card", "phone", "secret", "national_id", "iban")
 LONGEST = 16
 TOKEN = re.compile(r"[^\W_]+|_+|[^\w\s]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|\bdot\b", re.I)
+#: Longer tokens, and white space longer than that between two, are no part of a segment.
+LONGEST_TOKEN, LONGEST_GAP = 512, 4
 KEY = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|key|auth)\w{0,12}[\"']?\s*(?:=|:|is)\s*[\"']?$", re.I)
 
 Span = tuple[str, int, int]
@@ -80,7 +83,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _finds(kind: str, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
-    """``pattern.finditer``; for mail, only tried where an @ follows the run of characters before it."""
+    """``pattern.finditer`` in linear time.
+
+    Mail is only tried where an @ follows the run of characters before it.
+    Numbers joined by dots are found as whole chains, of which every four
+    in turn are a match.
+    """
+    if kind == "ip":
+        for chain in _CHAIN.finditer(text):
+            ends = [m.span() for m in _NUMBER.finditer(text, chain.start(), chain.end())]
+            for k in range(3, len(ends), 4):
+                yield pattern.match(text, ends[k - 3][0], ends[k][1])
+        return
     if kind != "email":
         yield from pattern.finditer(text)
         return
@@ -96,6 +110,8 @@ def _finds(kind: str, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
             end = m.end()
 
 
+_NUMBER = re.compile("[0-9]+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _LOCAL = frozenset("._%+-0123456789" + UPPER + LOWER)
 
 FEATURES = (
@@ -104,7 +120,9 @@ FEATURES = (
     "loose_edge", "letters_word", "quote_inside", "long_gap", "one_token", "grouped_4", "dots_digits",
 )
 _EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+\Z")
-_EMAIL_WORDS = re.compile(r"[\w.%+-]+\s*[\[(]?\s*(?:@|at)\s*[\])]?\s*[\w-]+(?:\s*[\[(]?\s*(?:\.|dot)\s*[\])]?\s*[\w-]+)+\Z", re.I)
+_AT_WORD = re.compile(r"\s*[\[(]?\s*(?:@|\bat\b)\s*[\])]?\s*", re.I)
+_DOT_WORD = re.compile(r"\s*[\[(]?\s*(?:\.|\bdot\b)\s*[\])]?\s*", re.I)
+_MAIL_NAME, _HOST_NAME = re.compile(r"[\w.%+-]+\Z"), re.compile(r"[\w-]+\Z")
 _FOUR = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}\Z")
 _COLON_HEX = re.compile(r"[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){4,7}\Z", re.I)
 _334 = re.compile(r"\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}\Z")
@@ -115,6 +133,15 @@ _RUN = re.compile(r"[A-Za-z0-9_\-]{16,}\Z")
 _GROUP4 = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}\Z")
 
 
+def _in_words(span: str) -> bool:
+    """A mail address whose marks may be words: name at host dot com."""
+    halves = _AT_WORD.split(span)
+    if len(halves) != 2 or not _MAIL_NAME.match(halves[0]):
+        return False
+    parts = _DOT_WORD.split(halves[1])
+    return len(parts) > 1 and all(map(_HOST_NAME.match, parts))
+
+
 def span_features(text: str, start: int, end: int, tokens: int) -> np.ndarray:
     """0 or 1 for each of ``FEATURES``, of text[start:end] and what stands around it."""
     span = text[start:end]
@@ -125,7 +152,7 @@ def span_features(text: str, start: int, end: int, tokens: int) -> np.ndarray:
     checks = {
         "one": True,
         "email_shape": _EMAIL.match(span),
-        "email_words": "@" in span and _EMAIL_WORDS.match(span),
+        "email_words": _in_words(span),
         "four_parts": _FOUR.match(span),
         "parts_small": _FOUR.match(span) and _valid("ip", span),
         "colon_hex": _COLON_HEX.match(span),
@@ -163,7 +190,7 @@ def lattice(text: str, tokens: list[tuple[int, int]], free: list[bool]) -> tuple
     for i in range(len(tokens)):
         holds = False
         for n in range(1, min(LONGEST, len(tokens) - i) + 1):
-            if not free[i + n - 1]:
+            if not free[i + n - 1] or n > 1 and tokens[i + n - 1][0] - tokens[i + n - 2][1] > LONGEST_GAP:
                 break
             holds |= trigger[i + n - 1]
             if holds:
@@ -237,7 +264,7 @@ def training_windows(count: int = 210, seed: int = 5) -> list[tuple[str, list[Sp
 
     makers = {
         "email": lambda: f"{word()}{rng.choice(['.', '_', ''])}{digits(2)}@{word()}.{rng.choice(['example.com', 'org', 'net'])}",
-        "email ": lambda: f"{word()} [at] {word()}{digits(1)} [dot] com" if rng.random() < 0.5 else f"{word()} @ {word()} . com",
+        "email ": lambda: f"{word()} [at] {word()}{digits(rng.randint(0, 1))} [dot] com" if rng.random() < 0.5 else f"{word()} @ {word()} . com",
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         "ip ": lambda: ":".join("".join(rng.choice(hexes) for _ in range(4)) for _ in range(8)),
         "card": lambda: card(True) if rng.random() < 0.5 else grouped(card(True)),
@@ -253,6 +280,7 @@ def training_windows(count: int = 210, seed: int = 5) -> list[tuple[str, list[Sp
         lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"@{word()}",
         lambda: f"{rng.randint(256, 999)}.{digits(3)}.{digits(2)}.{digits(2)}", lambda: f"{word()}{digits(2)}", lambda: digits(rng.randint(20, 30)),
         lambda: f"{word()} @ {word()}", lambda: f"{digits(4)} {digits(4)}", lambda: f"{digits(3)}x{digits(3)}", lambda: f"{digits(12)}",
+        lambda: f"{word()} dot {word()}", lambda: f"{word()} at {word()} {digits(1)}",
     )
     kinds, out = list(makers), []
     for k in range(count):
@@ -307,7 +335,7 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
         while at < len(taken) and taken[at][0] < b:
             high = max(high, taken[at][1])
             at += 1
-        free.append(a >= high)
+        free.append(a >= high and b - a <= LONGEST_TOKEN)
     near = [k for k, (a, b) in enumerate(tokens) if free[k] and TRIGGER.search(text, a, b)]
     out: list[Span] = []
     stretch = 0
