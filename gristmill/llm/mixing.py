@@ -34,6 +34,7 @@ MOST_COPIES = 3
 SEED = 29
 BUCKETS = 256
 RESERVE = 1 << 16
+MOST_UNITS = 1 << 18
 
 
 def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -43,10 +44,9 @@ def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them."""
-    taken = mix(sizes(docs.withColumnRenamed("size", "_size") if "size" in docs.columns else docs))
-    repeated = taken.where("copies > 0 AND size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    kept = repeated.drop("size", "source_size", "target", "copies", "_copy")
-    return kept.withColumnRenamed("_size", "size").select(docs.columns)
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source"), F.col("text"))
+    taken = mix(sizes(named).drop("text")).where("copies > 0 AND size > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, source_col: str = "source") -> DataFrame:
@@ -84,14 +84,40 @@ def fit(lengths: list[int], counts: list[int], budget: int, reserve: int = RESER
 
     In proportion, rounded down; one more of each length by largest remainder,
     and then whatever fits from the longest down, while over ``reserve`` words
-    would remain; the remainder by bounded-knapsack dynamic programming.
+    would remain; the remainder by bounded-knapsack dynamic programming.  If
+    that misses the budget and there are lengths above ``reserve``, these are
+    also fitted first, by a coarser programme, and the nearer fit is taken.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
-    taken = [0] * len(lengths)
     if budget <= 0 or total == 0:
-        return taken
+        return [0] * len(lengths)
     if budget >= total:
         return list(counts)
+    near = _in_proportion(lengths, counts, budget, total, reserve)
+    rest = budget - sum(n * k for n, k in zip(lengths, near))
+    if rest and max(lengths) > reserve:
+        other = _long_first(lengths, counts, budget, reserve)
+        if budget - sum(n * k for n, k in zip(lengths, other)) < rest:
+            return other
+    return near
+
+
+def _long_first(lengths: list[int], counts: list[int], budget: int, reserve: int) -> list[int]:
+    """Lengths above ``reserve`` by dynamic programming in units that ``MOST_UNITS`` of cover the budget, rounded up; then the others."""
+    unit = -(-budget // MOST_UNITS)
+    long = [i for i, n in enumerate(lengths) if n > reserve]
+    chosen = knapsack([-(-lengths[i] // unit) for i in long], [counts[i] for i in long], budget // unit)
+    taken = [0] * len(lengths)
+    for k, copies in chosen.items():
+        taken[long[k]] = copies
+    rest = budget - sum(n * k for n, k in zip(lengths, taken))
+    short = [0 if n > reserve else c for n, c in zip(lengths, counts)]
+    whole = sum(n * c for n, c in zip(lengths, short))
+    more = short if rest >= whole else _in_proportion(lengths, short, rest, whole, reserve)
+    return [a + b for a, b in zip(taken, more)]
+
+
+def _in_proportion(lengths: list[int], counts: list[int], budget: int, total: int, reserve: int) -> list[int]:
     taken = [c * budget // total for c in counts]
     rest = budget - sum(n * k for n, k in zip(lengths, taken))
     by_remainder = sorted(range(len(lengths)), key=lambda i: (-(counts[i] * budget % total), lengths[i]))
@@ -144,11 +170,11 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, in
     return out
 
 
-def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
+def _fit_source(rows: pd.DataFrame, most: int) -> pd.DataFrame:
     rows = rows.sort_values("size", ignore_index=True)
     target, whole = float(rows["target"].iloc[0]), int(rows["source_size"].iloc[0])
-    copies = min(int(target // whole), MOST_COPIES) if whole else 0
-    budget = 0 if copies >= MOST_COPIES else int(target - copies * whole)
+    copies = min(int(target // whole), most) if whole else 0
+    budget = 0 if copies >= most else int(target - copies * whole)
     chosen = fit([int(n) for n in rows["size"]], [int(c) for c in rows["documents"]], budget)
     return rows[["source", "size", "source_size", "target"]].assign(copies=copies, chosen=chosen)
 
@@ -167,7 +193,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
         .join(by_source.alias("s"), F.col("l.source").eqNullSafe(F.col("s.source")))
         .select("l.source", "l.size", "l.documents", "s.source_size", "s.target")
         .groupBy("source")
-        .applyInPandas(_fit_source, "source string, size long, source_size long, target double, copies long, chosen long")
+        .applyInPandas(lambda rows: _fit_source(rows, most), "source string, size long, source_size long, target double, copies long, chosen long")
     )
     order = Window.partitionBy("source", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     quota = (
