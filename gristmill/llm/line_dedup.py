@@ -17,7 +17,7 @@ Edge cases: a null or empty text is one empty line; rows that repeat are
 documents of their own, so all of them that hold the largest id keep its
 lines; a document without an id keeps no key for others and loses its own when
 another keeps it; an empty table gives an empty result; further columns are
-kept as they are by ``dedup``.
+kept as they are by ``dedup``, which refuses those named like its counts.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ SEGMENT_BITS = 1 << 19
 MOST_BITS = 1 << 30
 MOST_KEYS = 1 << 20
 FLUSH_KEYS = 1 << 21
+DROP = "_lines_to_drop"
 
 
 def line_key(line: str) -> bytes | None:
@@ -168,8 +169,10 @@ def confirmed(found: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     return counts.where((F.col("n") >= least) & F.col("keeper").isNotNull()).drop("n")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCUMENTS, most_keys: int = MOST_KEYS) -> DataFrame:
-    """``docs`` with its text reduced to the lines that stay, and n_lines and n_dropped."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCUMENTS, most_keys: int = MOST_KEYS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with its text reduced to the lines that stay, and two columns ``counts``: lines and dropped lines."""
+    if clash := set(counts) & set(docs.columns):
+        raise ValueError(f"columns that are there already: {sorted(clash)}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     segments = segments_for(lines)
@@ -178,22 +181,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     found = cut(suspects(slim, twice, segments), "line-suspects")
     keys = cut(confirmed(found, least), "line-keys")
     if keys.count() <= most_keys:
-        return _apply_broadcast(docs, keys, id_col, text_col)
-    return _apply_join(docs, found, keys, id_col, text_col)
+        return _apply_broadcast(docs, keys, id_col, text_col, counts)
+    return _apply_join(docs, found, keys, id_col, text_col, counts)
 
 
-def _with_counts(docs: DataFrame) -> str:
-    plain = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain) + ", n_lines long, n_dropped long"
+def _with_counts(docs: DataFrame, counts: tuple[str, str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + "".join(f", `{c}` long" for c in counts)
 
 
-def _reduced(batch: pa.RecordBatch, text_col: str, texts: list[str], n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n not in ("n_lines", "n_dropped", "_drop")]
+def _reduced(batch: pa.RecordBatch, text_col: str, counts: tuple[str, str], texts: list[str], n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
+    names = [n for n in batch.schema.names if n != DROP]
     columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, *counts])
 
 
-def _apply_broadcast(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _apply_broadcast(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, counts: tuple[str, str]) -> DataFrame:
     """One pass over the documents with the confirmed keys at hand: no text is shuffled."""
     table = {np.array([r.high, r.low], np.int64).tobytes(): r.keeper for r in keys.toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -212,29 +214,29 @@ def _apply_broadcast(docs: DataFrame, keys: DataFrame, id_col: str, text_col: st
                         stay.append(line)
                 for column, value in zip(out, ("\n".join(stay), len(lines), len(lines) - len(stay))):
                     column.append(value)
-            yield _reduced(batch, text_col, *out)
+            yield _reduced(batch, text_col, counts, *out)
 
-    return docs.mapInArrow(applied, _with_counts(docs))
+    return docs.mapInArrow(applied, _with_counts(docs, counts))
 
 
-def _apply_join(docs: DataFrame, found: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _apply_join(docs: DataFrame, found: DataFrame, keys: DataFrame, id_col: str, text_col: str, counts: tuple[str, str]) -> DataFrame:
     """The lines to drop of each document, joined to it by its content."""
     lost = found.join(keys, ["high", "low"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-    drops = lost.groupBy("one", "two").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_drop"))
+    drops = lost.groupBy("one", "two").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(DROP))
     named = docs.withColumn("_one", F.xxhash64(F.lit(1), id_col, text_col)).withColumn("_two", F.xxhash64(F.lit(2), text_col, id_col))
-    joined = named.join(drops, (named["_one"] == drops["one"]) & (named["_two"] == drops["two"]), "left").select(*[named[c] for c in docs.columns], "_drop")
+    joined = named.join(drops, (named["_one"] == drops["one"]) & (named["_two"] == drops["two"]), "left").select(*[named[c] for c in docs.columns], DROP)
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             out: tuple[list, list, list] = ([], [], [])
-            for text, drop in zip(batch.column(text_col).to_pylist(), batch.column("_drop").to_pylist()):
+            for text, drop in zip(batch.column(text_col).to_pylist(), batch.column(DROP).to_pylist()):
                 lines, gone = (text or "").split("\n"), set(drop or ())
                 stay = [line for k, line in enumerate(lines) if k not in gone]
                 for column, value in zip(out, ("\n".join(stay), len(lines), len(lines) - len(stay))):
                     column.append(value)
-            yield _reduced(batch, text_col, *out)
+            yield _reduced(batch, text_col, counts, *out)
 
-    return joined.mapInArrow(applied, _with_counts(docs))
+    return joined.mapInArrow(applied, _with_counts(docs, counts))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
