@@ -1,7 +1,7 @@
 """Document fingerprints: every shingle hash below a fixed fraction of the hash range.
 
 A sketch is the sorted set of a text's shingle hashes below the threshold.
-Sketches of the same fraction merge by union, and the share of one in another
+Sketches of the same fraction merge by union (``merged``), and the share of one in another
 estimates containment, however unequal the texts are.  A text none of whose
 hashes lies below the threshold keeps its smallest, so only a text without
 words has an empty sketch.
@@ -33,7 +33,6 @@ HALF_RANGE = 1 << 63
 
 def sketch(text: Column, size: int = WORDS, fraction: float = FRACTION) -> Column:
     """The sorted distinct hashes of runs of ``size`` words below ``fraction`` of the range; fewer words are one run."""
-    limit = int(fraction * 2 * HALF_RANGE) - HALF_RANGE
     lowered = F.translate(text, UPPER, LOWER)
     tokens = F.filter(F.split(lowered, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -41,16 +40,19 @@ def sketch(text: Column, size: int = WORDS, fraction: float = FRACTION) -> Colum
         runs = F.greatest(F.size(t) - (size - 1), F.lit(1))
         return F.transform(F.sequence(F.lit(1), runs), lambda i: F.xxhash64(F.slice(t, i, size)))
 
-    def retained(h: Column) -> Column:
-        below = F.filter(h, lambda x: x < limit)
-        return F.when(F.size(below) > 0, F.array_sort(F.array_distinct(below))).otherwise(F.array(F.array_min(h)))
-
     def of(t: Column) -> Column:
-        return F.when(F.size(t) > 0, _bind(hashed(t), retained)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(t) > 0, _bind(hashed(t), lambda h: _retained(h, fraction))).otherwise(F.array().cast("array<bigint>"))
 
     return _bind(tokens, of)
 
 
+def _retained(hashes: Column, fraction: float) -> Column:
+    """What a sketch keeps of one or more hashes: those below the fraction, or else the smallest.  Unions keep what the whole would."""
+    limit = int(fraction * 2 * HALF_RANGE) - HALF_RANGE
+    below = F.filter(hashes, lambda x: x < limit)
+    return F.when(F.size(below) > 0, F.array_sort(F.array_distinct(below))).otherwise(F.array(F.array_min(hashes)))
+
+
 def _bind(value: Column, use) -> Column:
     """``use`` of a value that is computed once for each row."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -68,9 +70,9 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts together, but for the runs across their border."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of two texts together, but for the runs across their border: below the threshold if either has any there."""
+    return _bind(F.array_union(a, b), lambda h: F.when(F.size(h) > 0, _retained(h, fraction)).otherwise(h))
 
 
 def as_string(hashes: Column) -> Column:
