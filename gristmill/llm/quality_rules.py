@@ -4,7 +4,9 @@ A document is kept when no rule rejects it, so the rules may run in any order.
 ``plan`` times every rule and counts its rejections on a bounded sample, on
 the executors, and orders the rules by rejections per nanosecond; ``apply``
 then stops at a document's first rejection.  The order changes the cost and
-the reason reported, never the verdict.
+the reason reported, never the verdict; costs are times, so that a rerun may
+report another of a document's reasons.  The base test is two rules among the
+others.
 
 Edge cases: a null text counts as empty, has no words and fails the base
 check; a null id is kept; repeated rows are judged one by one; an empty table
@@ -114,6 +116,8 @@ def _few_distinct(text: str, tokens: list[str]) -> bool:
 
 
 RULES = (
+    Rule("few_words", lambda text, tokens: len(tokens) < LEAST_WORDS),
+    Rule("repeated_words", lambda text, tokens: 100 * repeated_words(tokens) > MOST_REPEATED_PERCENT * len(tokens)),
     Rule("symbols", lambda text, tokens: symbol_count(text) * 10 > len(tokens)),
     Rule("shouting", _shouting),
     Rule("mean_word_length", _mean_length),
@@ -175,7 +179,7 @@ def judge(docs: DataFrame, ordered: tuple[Rule, ...], id_col: str = "doc_id", te
                 tokens = words(text)
                 repeat = repeated_words(tokens)
                 failed = base_failed(len(tokens), repeat)
-                reason = "base" if failed else cascade(text, tokens, ordered)
+                reason = cascade(text, tokens, ordered)
                 for key, value in zip(out, (len(tokens), sum(map(len, tokens)), symbol_count(text), duplicate_lines(text), repeat, failed, reason is None, reason)):
                     out[key].append(value)
             arrays = [pa.array(v, t) for v, t in zip(out.values(), (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.string()))]
@@ -197,7 +201,7 @@ def filter_documents(docs: DataFrame, ordered: tuple[Rule, ...], text_col: str =
             for text in batch.column(at).to_pylist():
                 text = text or ""
                 tokens = words(text)
-                keep.append(not base_failed(len(tokens), repeated_words(tokens)) and cascade(text, tokens, ordered) is None)
+                keep.append(cascade(text, tokens, ordered) is None)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     batch_column = text_col
