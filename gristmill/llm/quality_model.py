@@ -5,7 +5,8 @@ evidence for quality and for toxicity.  Host (source) and path (source and langu
 rates are posteriors: a path's expected positives are shrunk toward its host's
 rate and a host's toward the global rate, with prior strengths estimated from
 how rates vary (method of moments).  The document's log odds are its evidence
-plus those of its path.  Sites are summed by grouped aggregation, so a host
+plus those of its path without the document itself, so that nothing counts
+twice.  Sites are summed by grouped aggregation, so a host
 with a third of all rows is one row before it is shuffled; their table is
 joined back.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, documents, lower_ascii, slices, words
@@ -69,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> np.nda
             at = [features(t or "").astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), *(batch.column(c) for c in ("doc_id", *TARGETS))], names=["at", "doc_id", *TARGETS])
 
-    schema = "at array<int>, doc_id long, " + ", ".join(f"{t} {joined.schema[t].dataType.simpleString()}" for t in TARGETS)
+    schema = f"at array<int>, doc_id {joined.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{t} {joined.schema[t].dataType.simpleString()}" for t in TARGETS)
     sample = sorted(((r.doc_id, np.array(r.at, np.int64), *(r[t] for t in TARGETS)) for r in joined.mapInArrow(found, schema).toLocalIterator()), key=lambda r: (r[0], len(r[1])))
     return np.stack([_logistic([(r[1], r[2 + k]) for r in sample if r[2 + k] is not None]) for k in range(len(TARGETS))])
 
@@ -125,18 +126,19 @@ def strength(rates: DataFrame, rate: str, n: str, prior: str) -> float:
     return float(min(1e6, max(1.0, within / between - 1))) if between > 0 else 1e6
 
 
-def posteriors(weighed: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """(host, path, and for each target host_rate and path_rate) of every site.
-
-    A document's positives are its label where it has one, and else the
-    probability that its own evidence gives at the global rate.
-    """
+def expected_positives(weighed: DataFrame, labels: DataFrame) -> DataFrame:
+    """``weighed`` with a column for each target: the document's label, or else the probability that its own evidence gives at the global rate."""
     known = labels.groupBy("doc_id").agg(*[F.max(t).alias(f"_{t}") for t in TARGETS])
     joined = weighed.join(known, "doc_id", "left")
     base = known.agg(*[((F.sum(f"_{t}") + 0.5) / (F.count(f"_{t}") + 1)).alias(t) for t in TARGETS]).first()
     prior = {t: base[t] if base[t] is not None else 0.5 for t in TARGETS}
-    expected = [F.coalesce(F.col(f"_{t}").cast("double"), 1 / (1 + F.exp(-(F.col(f"{t}_evidence") + F.log(F.lit(prior[t] / (1 - prior[t]))))))).alias(t) for t in TARGETS]
-    sites = cut(joined.select(host, path, *expected).groupBy(host, path).agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]), "sites")
+    expected = [F.coalesce(F.col(f"_{t}").cast("double"), 1 / (1 + F.exp(-(F.col(f"{t}_evidence") + F.log(F.lit(prior[t] / (1 - prior[t]))))))).alias(f"{t}_expected") for t in TARGETS]
+    return joined.select(weighed["*"], *expected)
+
+
+def posteriors(expected: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """(host, path, and for each target host_rate and path_rate) of every site, and the sums and strengths that they come from."""
+    sites = cut(expected.groupBy(host, path).agg(F.count("*").alias("n"), *[F.sum(f"{t}_expected").alias(t) for t in TARGETS]), "sites")
     whole = sites.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     hosts = sites.groupBy(host).agg(F.sum("n").alias("host_n"), *[F.sum(t).alias(f"host_{t}") for t in TARGETS])
     for t in TARGETS:
@@ -145,22 +147,32 @@ def posteriors(weighed: DataFrame, labels: DataFrame, host: str = "source", path
         hosts = hosts.withColumn("_world", F.lit(world))
         k = strength(hosts.withColumn("_rate", F.col(f"host_{t}") / F.col("host_n")), "_rate", "host_n", "_world")
         hosts = hosts.withColumn(f"{t}_host_rate", (F.col(f"host_{t}") + k * world) / (F.col("host_n") + k))
-    joined_sites = sites.alias("s").join(hosts.alias("h"), F.col(f"s.{host}").eqNullSafe(F.col(f"h.{host}"))).select("s.*", *[f"h.{t}_host_rate" for t in TARGETS])
+        hosts = hosts.withColumn(f"{t}_host_prior", F.lit(k * world)).withColumn(f"{t}_host_strength", F.lit(k))
+    joined_sites = sites.alias("s").join(hosts.alias("h"), F.col(f"s.{host}").eqNullSafe(F.col(f"h.{host}"))).select("s.*", "h.host_n", *[f"h.{c}" for t in TARGETS for c in (f"host_{t}", f"{t}_host_rate", f"{t}_host_prior", f"{t}_host_strength")])
     for t in TARGETS:
         k = strength(joined_sites.withColumn("_rate", F.col(t) / F.col("n")), "_rate", "n", f"{t}_host_rate")
-        joined_sites = joined_sites.withColumn(f"{t}_path_rate", (F.col(t) + k * F.col(f"{t}_host_rate")) / (F.col("n") + k))
-    return joined_sites.drop("n", *TARGETS)
+        joined_sites = joined_sites.withColumn(f"{t}_path_rate", (F.col(t) + k * F.col(f"{t}_host_rate")) / (F.col("n") + k)).withColumn(f"{t}_path_strength", F.lit(k))
+    return joined_sites
+
+
+def rate_without(target: str) -> Column:
+    """The path's rate for a document of ``expected_positives`` joined with its site, the document itself left out of path and host."""
+    own = F.col(f"{target}_expected")
+    host = (F.col(f"host_{target}") - own + F.col(f"{target}_host_prior")) / (F.col("host_n") - 1 + F.col(f"{target}_host_strength"))
+    strength_ = F.col(f"{target}_path_strength")
+    return (F.col(target) - own + strength_ * host) / (F.col("n") - 1 + strength_)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weighed = cut(evidence(docs, fit(docs, labels), ["doc_id", "source", "lang"]), "evidence")
-    sites = posteriors(weighed, labels)
+    weighed = cut(expected_positives(weighed, labels), "expected")
+    sites = posteriors(weighed)
     same = weighed["source"].eqNullSafe(sites["source"]) & weighed["lang"].eqNullSafe(sites["lang"])
     joined = weighed.join(sites, same).select(weighed["*"], *[sites[c] for c in sites.columns if c not in ("source", "lang")])
     for t in TARGETS:
-        rate = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"{t}_path_rate")))
+        rate = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), rate_without(t)))
         joined = joined.withColumn(f"{t}_probability", 1 / (1 + F.exp(-(F.col(f"{t}_evidence") + F.log(rate / (1 - rate))))))
     kept = (F.col("quality_probability") >= 0.5) & (F.col("toxic_probability") < 0.5)
     return joined.select("doc_id", "source", "lang", *[f"{t}_{part}" for t in TARGETS for part in ("evidence", "host_rate", "path_rate", "probability")], kept.alias("kept"))
