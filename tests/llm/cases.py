@@ -3,8 +3,9 @@
 import random
 
 #: Names that the operators use inside, so that a clash shows.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n_lines long, rank long, key long, id long, vertex long, segment int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n_lines long, rank long, key long, id long, vertex long, segment int, target double, source_size long, copies int, n_dropped long, n int, one long"
 CLASHING = (None, 7, 8, 9, 10, 11, 12)
+MORE = (1, 0.5, 3, 4, 5, 6, 2)
 VOCABULARY = [f"word{k}" for k in range(60)] + ["été", "Straße", "naïve", "ΣΑΣ", "x\xa0y", "日本語", "a\x1cb", "#*$", "it's", "10,000"]
 
 
@@ -19,8 +20,8 @@ def texts(count=60, seed=1):
 
 
 def rows(count=60, seed=1):
-    found = [(k, t, "en" if k % 3 else None, (None, "a", "b", "b", "b")[k % 5], *CLASHING[:1], *CLASHING[1:], 1) for k, t in enumerate(texts(count, seed))]
-    return [*found, found[-1], (None, found[-1][1], None, "b", *CLASHING, 1)]
+    found = [(k, t, "en" if k % 3 else None, (None, "a", "b", "b", "b")[k % 5], *CLASHING, *MORE) for k, t in enumerate(texts(count, seed))]
+    return [*found, found[-1], (None, found[-1][1], None, "b", *CLASHING, *MORE)]
 
 
 def documents(spark, count=60, seed=1):

@@ -67,10 +67,20 @@ def test_fit_of_a_large_budget_stays_near():
     assert all(0 <= k <= c for k, c in zip(got, counts)) and budget - sum(n * k for n, k in zip(lengths, got)) in range(3)
 
 
+def test_fit_of_very_long_documents():
+    assert mixing.fit([3000001, 2999999, 5000003], [1, 1, 1], 5400000) == [0, 0, 1]
+    rng = random.Random(6)
+    lengths = [rng.randint(70_000, 400_000) for _ in range(12)]
+    budget = sum(lengths) // 2
+    got = mixing.fit(lengths, [1] * 12, budget)
+    best = max(s for s in (sum(n for n, k in zip(lengths, ks) if k) for ks in itertools.product((0, 1), repeat=12)) if s <= budget)
+    assert all(k in (0, 1) for k in got) and best - sum(n * k for n, k in zip(lengths, got)) <= 200
+
+
 def test_mixed_documents_keep_columns_and_copies(spark):
     docs = cases.documents(spark, 80)
     out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and out.where("target <> 0.5 OR copies <> 4 OR source_size <> 3 OR size <> 7").isEmpty()
     times = Counter((r.doc_id, r.text) for r in out.collect())
     assert max(times.values()) <= 6 and all(t for (_, t) in times)
 
@@ -89,7 +99,7 @@ def near_copies(seed=2, groups=40):
         changed = [*words]
         changed[rng.randrange(len(words))] = "changed"
         for k, version in enumerate((words, words, changed, [*words, "added", "tail"])):
-            rows.append((10 * g + k, " ".join(version), "en", "s", *cases.CLASHING, 1))
+            rows.append((10 * g + k, " ".join(version), "en", "s", *cases.CLASHING, *cases.MORE))
     return rows
 
 
@@ -131,14 +141,14 @@ def labelled(count, seed):
         quality = rng.random() < {"fine": 0.95, "mixed": 0.5, "poor": 0.05}.get(host, 0.5)
         words = [rng.choice(both) for _ in range(30)] + [rng.choice(good if quality else bad) for _ in range(rng.randint(0, 4))]
         rng.shuffle(words)
-        docs.append((k, " ".join(words), "en" if k % 2 else None, None if host == "small0" else host, *cases.CLASHING, 1))
+        docs.append((k, " ".join(words), "en" if k % 2 else None, None if host == "small0" else host, *cases.CLASHING, *cases.MORE))
         labels.append((k, int(quality), 0))
     return docs, labels
 
 
 def test_quality_on_held_out_labels_and_shrinkage(spark, tmp_path):
     docs, labels = labelled(1500, 8)
-    spark.createDataFrame([*docs, (None, None, None, None, *cases.CLASHING, 1)], cases.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*docs, (None, None, None, None, *cases.CLASHING, *cases.MORE)], cases.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     known = [x for x in labels if x[0] % 3]
     spark.createDataFrame([*known, known[0], (None, 1, 0), (5_000, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = {r.doc_id: r for r in quality_model.op3_quality_classifier(spark, str(tmp_path)).collect()}

@@ -48,6 +48,9 @@ def test_rules_count_as_brute_force(spark, folder, empty):
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows)
     assert got == Counter((r[0], *brute(r[1] or "")) for r in cases.rows())
     assert all(not r.kept for r in rows if r.base_failed)
+    for r in rows:
+        plain = [rule.name for rule in quality_rules.RULES if rule.rejects(dict(cases_by_id())[r.doc_id], WORD.findall(dict(cases_by_id())[r.doc_id]))] if r.doc_id is not None else None
+        assert plain is None or (r.kept == (not plain) and (r.kept or r.rejected_by in plain))
     assert quality_rules.op4_quality_rules(spark, empty).count() == 0
 
 
@@ -67,6 +70,10 @@ def test_plan_puts_rejections_for_the_least_time_first():
     assert [r.name for r in quality_rules.plan({"a": (100, 0.5), "b": (10, 0.2), "c": (1, 0.0)}, rules)] == ["b", "a", "c"]
 
 
+def cases_by_id():
+    return [(r[0], r[1] or "") for r in cases.rows()]
+
+
 def brute_lines(rows):
     def key(line):
         return low(line.strip(" \t\n\v\f\r"))
@@ -88,9 +95,11 @@ def brute_lines(rows):
 def test_line_dedup_equals_brute_force_both_ways(spark, folder, empty):
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.op9_line_dedup(spark, folder).collect())
     assert got == brute_lines(cases.rows())
-    joined = line_dedup.dedup(cases.documents(spark), most_keys=0)
-    assert Counter((r.doc_id, r.n_lines, r.n_dropped, sha(r.text)) for r in joined.collect()) == brute_lines(cases.rows())
-    assert set(joined.columns) == {*cases.documents(spark).columns, "n_dropped"}
+    joined = line_dedup.dedup(cases.documents(spark), most_keys=0, counts=("_n", "_gone"))
+    assert Counter((r.doc_id, r._n, r._gone, sha(r.text)) for r in joined.collect()) == brute_lines(cases.rows())
+    assert joined.columns == [*cases.documents(spark).columns, "_n", "_gone"] and {r.n_lines for r in joined.collect()} == {8}
+    with pytest.raises(ValueError, match="n_lines"):
+        line_dedup.dedup(cases.documents(spark))
     assert line_dedup.op9_line_dedup(spark, empty).count() == 0
 
 
@@ -111,6 +120,44 @@ def test_fingerprints_and_next_documents(spark, tmp_path, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_sketches_equal_plain_python(spark, tmp_path):
+    """Nulls, ties and repeated rows as well; the hash is Spark's, all else plain."""
+    rows = [r for r in cases.rows(30) if r[0] is not None]
+    rows += [(None, t, *rows[0][2:]) for t in ("null id one two three four five six", None)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    runs = {}
+    for r in rows:
+        tokens = WORD.findall(low(r[1] or ""))
+        runs[r[1] or ""] = [tokens[i : i + 5] for i in range(max(1, len(tokens) - 4))] if tokens else []
+    flat = [(t, run) for t, x in runs.items() for run in x]
+    hashed = spark.createDataFrame(flat, "t string, run array<string>").selectExpr("t", "xxhash64(run) AS h").collect()
+    held = {t: set() for t in runs}
+    for r in hashed:
+        held[r.t].add(r.h)
+    limit = int(sketch.FRACTION * 2**64) - 2**63
+    plain = {t: sorted(h for h in x if h < limit) or sorted(x)[:1] for t, x in held.items()}
+    order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in rows))
+    got = Counter((r.doc_id, r.fingerprint, round(r.near_next, 9)) for r in sketch.op7_fingerprints(spark, str(tmp_path)).collect())
+    expected = Counter()
+    for k, (known, i, t) in enumerate(order):
+        a, b = set(plain[t]), set(plain[order[(k + 1) % len(order)][2]])
+        near = len(a & b) / len(a | b) if a | b else 1.0
+        expected[i if known else None, "".join(f"{h % 2**64:016x}" for h in plain[t]), round(near, 9)] += 1
+    assert got == expected
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    from pyspark.sql import functions as F
+
+    one, two = "a b c d e f g h", "p q r s t u v w x y z " * 3
+    df = spark.createDataFrame([(one, two), (one, one), (two, two), ("", one)], "a string, b string").select(*[sketch.sketch(F.col(c)).alias(c) for c in "ab"])
+    for r in df.select("a", "b", sketch.merged(F.col("a"), F.col("b")).alias("m")).collect():
+        limit = int(sketch.FRACTION * 2**64) - 2**63
+        union = set(r.a) | set(r.b)
+        assert r.m == (sorted(h for h in union if h < limit) or [min(union)])
+
+
 def test_containment_of_unequal_documents_and_merging(spark):
     words = [f"w{k}" for k in range(6000)]
     part, whole, other = " ".join(words[:900]), " ".join(words), " ".join(f"v{k}" for k in range(900))
@@ -146,7 +193,7 @@ PERSONAL = [
 
 
 def test_personal_data_base_equals_brute_force_and_the_field_adds(spark, tmp_path, empty):
-    rows = [(k, t, None, None, *cases.CLASHING, 1) for k, t in enumerate([*PERSONAL, None, ""])]
+    rows = [(k, t, None, None, *cases.CLASHING, *cases.MORE) for k, t in enumerate([*PERSONAL, None, ""])]
     spark.createDataFrame([*rows, rows[0]], cases.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in pii.op10_pii(spark, str(tmp_path)).collect()}
     for k, text, *_ in rows:
@@ -158,6 +205,24 @@ def test_personal_data_base_equals_brute_force_and_the_field_adds(spark, tmp_pat
     assert pii.op10_pii(spark, empty).count() == 0
 
 
+def test_personal_data_in_hostile_texts_is_linear_and_equal():
+    import random
+    import time
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice("0127.. -+()@ab_%é") for _ in range(rng.randint(0, 40)))
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_spans(text)) == brute_personal(text), text
+    weights = pii.fitted()
+    for text in ("1" * 1_000_000, "a@" + "dot" * 3000 + "x!", "a@" + " dot x" * 300 + "!", "+" * 300_000, "+1" + "(" * 300_000, "1." * 600, "a" * 300_000 + "@", "5 at" + " " * 300_000 + "dot 5"):
+        began = time.process_time()
+        base = pii.base_spans(text)
+        pii.added_spans(text, base, weights)
+        assert time.process_time() - began < 30
+    assert len(pii.base_spans("1." * 400_000)) == 100_000
+    assert ("email", 6, 30) in pii.added_spans("write jane [at] host [dot] com today", [], weights)
+
+
 def test_field_decodes_the_best_segmentation():
     """The dynamic programme against all segmentations of small windows."""
     import itertools
