@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from gristmill.llm import bpe, chat_format, language_model, line_dedup, mixing, pii, quality_model, quality_rules, simhash, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,7 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": chat_format.op8_chat_formatting,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
