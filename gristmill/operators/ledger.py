@@ -14,7 +14,7 @@ and late reads change nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -87,15 +87,21 @@ def rows_of(source: int, state: State) -> pd.DataFrame:
 def observe(reads: DataFrame) -> DataFrame:
     """The ledger after all reads (source, read_at, key): one row for each source and key; times are epoch seconds.
 
-    A source's reads are first gathered into one row a read, and folded in
-    one task; sources are independent.
+    A source's reads stream through one task in order of time, sorted by the
+    shuffle; only the state of one source is held.
     """
     gathered = reads.groupBy("source", F.unix_timestamp("read_at").alias("at")).agg(F.collect_set("key").alias("keys"))
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        state = State()
-        for at, keys in sorted(zip(frame["at"], frame["keys"]), key=lambda r: r[0]):
-            step(state, int(at), keys)
-        return rows_of(int(frame["source"].iloc[0]), state)
-
-    return gathered.groupBy("source").applyInPandas(fold, SCHEMA)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, state = None, State()
+        for frame in frames:
+            for source, at, keys in zip(frame["source"], frame["at"], frame["keys"]):
+                if of is not None and source != of:
+                    yield rows_of(int(of), state)
+                    state = State()
+                of = source
+                step(state, int(at), keys)
+        if of is not None:
+            yield rows_of(int(of), state)
+
+    return gathered.repartition("source").sortWithinPartitions("source", "at").mapInPandas(fold, SCHEMA)

@@ -54,3 +54,29 @@ def phrase(index_tokens: DataFrame, words: list[str]) -> DataFrame:
 def top_tokens(index: DataFrame, per_doc: int) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(F.desc("times"), "token")
     return index.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_doc)
+
+
+def within_edits(names: DataFrame, name: str, edits: int) -> DataFrame:
+    """Pairs (name < other) of distinct names within ``edits`` edits, by the pigeonhole principle.
+
+    A name is cut into edits + 1 pieces, of which the edits leave one as it
+    is: the other name has it too, at most ``edits`` places away.  Only names
+    that share a piece are compared.
+    """
+    parts = edits + 1
+    size = F.length(name)
+
+    def piece(text: str, k: Column, n: Column, shift: Column) -> Column:
+        start = F.floor(k * n / parts).cast("int")
+        length = F.floor((k + 1) * n / parts).cast("int") - start
+        at = start + shift
+        return F.when(at >= 0, F.substring(F.col(text), at + 1, length)), length
+
+    cuts = names.select(name, size.cast("int").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("k"))
+    cuts = cuts.withColumn("piece", piece(name, F.col("k"), F.col("n"), F.lit(0))[0])
+    others = names.select(F.col(name).alias("other"), F.explode(F.sequence(F.greatest(F.lit(0), size - edits), size + edits)).alias("n"))
+    others = others.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(edits)))).withColumn("shift", F.explode(F.sequence(F.lit(-edits), F.lit(edits))))
+    found, length = piece("other", F.col("k"), F.col("n"), F.col("shift"))
+    others = others.withColumn("piece", found).where(F.col("piece").isNotNull() & (F.length("piece") == length)).select("other", "n", "k", "piece").distinct()
+    near = cuts.join(others, ["n", "k", "piece"]).where(F.col(name) < F.col("other"))
+    return near.select(name, "other").distinct().where(F.levenshtein(name, "other", edits) >= 0)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +57,41 @@ def simultaneous_latest(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
 
 
 def supersede(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Fold a key's rows in order: a repeated value keeps its first row's place, another one replaces it; ``changes`` counts these.
+    """Fold a key's rows in order: a repeated value keeps its first row's place, another one replaces it; ``changes`` counts these."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    changed = F.count_if(F.col("_before") != F.col(value)).cast("int")
+    return df.withColumn("_before", before).groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value), changed.alias("changes"))
+
 
-    The fold keeps one value and a number, so it is a built-in aggregate over
-    a sorted array.
+def running_medians(df: DataFrame, key: str, order: str, value: str, prior: str, copies: int, row_id: str, name: str) -> DataFrame:
+    """``row_id`` and ``name``: the median of a key's values at earlier ``order`` and of ``copies`` copies of ``prior``.
+
+    Rows stream in order within partitions; a task holds the sorted values of
+    one key.
     """
-    row = F.struct(*order, value)
-    kind = df.schema[value].dataType.simpleString()
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(row)),
-        F.struct(F.lit(None).cast(kind).alias("value"), F.lit(0).alias("changes")),
-        lambda state, r: F.struct(r[value].alias("value"), (state["changes"] + F.when(state["value"].isNotNull() & (state["value"] != r[value]), 1).otherwise(0)).alias("changes")),
-    )
-    return df.groupBy(key).agg(folded.alias("_state")).select(key, F.col("_state.value").alias(value), F.col("_state.changes").alias("changes"))
+
+    def medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, waiting, moment = None, [], [], None
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in (key, order, value, prior))
+            for k, when, v, p in zip(*columns):
+                if k != at:
+                    at, held, waiting = k, [], []
+                elif when != moment:
+                    for x in waiting:
+                        insort(held, x)
+                    waiting = []
+                moment = when
+                if v is not None:
+                    waiting.append(v)
+                low, size = bisect_left(held, p), len(held) + copies
+
+                def ranked(r: int) -> float:
+                    return held[r] if r < low else p if r < low + copies else held[r - copies]
+
+                out.append((ranked((size - 1) // 2) + ranked(size // 2)) / 2)
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), pa.array(out, pa.float64())], names=[row_id, name])
+
+    slim = df.select(row_id, key, order, value, prior).repartition(key).sortWithinPartitions(key, order)
+    return slim.mapInArrow(medians, f"{row_id} {df.schema[row_id].dataType.simpleString()}, {name} double")

@@ -73,12 +73,17 @@ def supersede_fold(spark, d):
     ("day",),
 )
 def churn_detect(spark, d):
-    """Reads whose keys are half new while half of the read before is gone. Key sets are of one read each."""
-    keys = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.collect_set("user_id").alias("users"))
-    paired = keys.withColumn("before", F.lag("users").over(Window.partitionBy("event_type").orderBy("day"))).where("before is not null")
-    new, gone = F.size(F.array_except("users", "before")), F.size(F.array_except("before", "users"))
-    churn = (F.size("before") >= 5) & (new >= 0.5 * F.size("users")) & (gone >= 0.5 * F.size("before"))
-    return paired.select("event_type", "day", new.alias("new"), gone.alias("gone"), churn.alias("churn"))
+    """Reads whose keys are half new while half of the read before is gone: rows of keys, counted, never gathered."""
+    keys = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "user_id").distinct()
+    days = keys.groupBy("event_type", "day").agg(F.count("*").alias("now"))
+    by_day = Window.partitionBy("event_type").orderBy("day")
+    days = days.withColumn("before", F.lag("day").over(by_day)).withColumn("was", F.lag("now").over(by_day)).where("before is not null")
+    later = keys.join(days.select("event_type", "day", "before"), ["event_type", "day"])
+    both = later.join(keys.withColumnRenamed("day", "before"), ["event_type", "before", "user_id"]).groupBy("event_type", "day").agg(F.count("*").alias("both"))
+    counted = days.join(both, ["event_type", "day"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    new, gone = (F.col("now") - F.col("both")).cast("int"), (F.col("was") - F.col("both")).cast("int")
+    churn = (F.col("was") >= 5) & (new >= 0.5 * F.col("now")) & (gone >= 0.5 * F.col("was"))
+    return counted.select("event_type", "day", new.alias("new"), gone.alias("gone"), churn.alias("churn"))
 
 
 @query(
@@ -93,13 +98,9 @@ def usual_value_prior_only(spark, d):
     """The median of a customer's earlier values and three copies of its segment's median."""
     joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment", "o_orderdate", "o_totalprice")
     pool = joined.groupBy("c_mktsegment").agg(F.median("o_totalprice").alias("middle"))
-    by_day = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    earlier = Window.partitionBy("o_custkey").orderBy(by_day).rangeBetween(Window.unboundedPreceding, -1)
-    own = joined.withColumn("own", F.collect_list("o_totalprice").over(earlier)).join(F.broadcast(pool), "c_mktsegment")
-    ranked = F.array_sort(F.concat("own", F.array_repeat("middle", 3)))
-    size = F.size("ranked")
-    middle = (F.element_at("ranked", F.floor((size + 1) / 2).cast("int")) + F.element_at("ranked", F.floor((size + 2) / 2).cast("int"))) / 2
-    return own.withColumn("ranked", ranked).select("o_orderkey", F.round(middle, 6).alias("usual"))
+    placed = joined.join(pool, "c_mktsegment")
+    out = sequences.running_medians(placed, "o_custkey", "o_orderdate", "o_totalprice", "middle", 3, "o_orderkey", "usual")
+    return out.select("o_orderkey", F.round("usual", 6).alias("usual"))
 
 
 @query(
@@ -218,6 +219,6 @@ def gap_statistics(spark, d):
 
 @query("first_seen_ledger")
 def first_seen_ledger(spark, d):
-    """Events as reads of sources: a read is a user's day, its keys are event types. No SQL: an ordered state machine."""
+    """Events as reads of sources: a read is a user's hour, its keys are event types. No SQL: an ordered state machine."""
     reads = table(spark, d, "events").select(F.col("user_id").alias("source"), F.date_trunc("hour", "ts").cast("timestamp").alias("read_at"), F.col("event_type").alias("key"))
     return ledger.observe(reads)

@@ -128,27 +128,31 @@ def asof_latest_within(spark, d):
 
 @query(
     "interval_overlap",
-    """SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem
-        ON o_orderdate < l_shipdate + INTERVAL 2 DAY AND l_shipdate < CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate + INTERVAL 3 DAY END
-    WHERE o_orderpriority = '1-URGENT' AND l_quantity = 50 AND o_orderstatus <> 'P' GROUP BY 1""",
+    """WITH a AS (SELECT o_orderkey, o_orderdate AS s, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 3 DAY END AS e FROM orders),
+    c AS (SELECT l_shipdate AS t, sum(count(*)) OVER (ORDER BY l_shipdate) AS c FROM lineitem GROUP BY 1), w AS (SELECT count(*) AS whole FROM lineitem)
+    SELECT o_orderkey, CAST(CASE WHEN e IS NULL THEN whole ELSE coalesce(b.c, 0) END - coalesce(d.c, 0) AS BIGINT) AS n FROM a CROSS JOIN w
+    ASOF LEFT JOIN c b ON a.e > b.t ASOF LEFT JOIN c d ON a.s - INTERVAL 2 DAY >= d.t""",
 )
 def interval_overlap(spark, d):
-    a = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderdate").alias("a_start"), (F.col("o_orderdate") + F.expr("interval 3 days")).alias("a_end"))
-    b = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_shipdate").alias("b_start"), (F.col("l_shipdate") + F.expr("interval 2 days")).alias("b_end"))
-    return joins.overlap_join(a, b, 8).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    """For each order, the shipments of two days each that meet its three days; pending orders have no end."""
+    end = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.expr("interval 3 days"))
+    spans = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("start"), end.alias("end"))
+    others = table(spark, d, "lineitem").select(F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.expr("interval 2 days")).alias("end"))
+    return joins.overlap_counts(spans, others, "o_orderkey").select("o_orderkey", "n")
 
 
 @query(
     "open_interval_overlap",
-    """WITH s AS (SELECT l_suppkey AS k, l_shipdate AS a, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_shipdate + INTERVAL 5 DAY END AS b FROM lineitem WHERE l_linenumber = 7)
+    """WITH s AS (SELECT l_suppkey AS k, l_shipdate AS a, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_shipdate + INTERVAL 5 DAY END AS b FROM lineitem)
     SELECT x.k AS l_suppkey, count(*) AS n FROM s x JOIN s y ON x.k = y.k AND (y.b IS NULL OR x.a < y.b) AND (x.b IS NULL OR y.a < x.b) GROUP BY 1""",
 )
 def open_interval_overlap(spark, d):
+    """Pairs of a supplier's shipments whose spans overlap, each with itself as well; returned ones have no end."""
     end = F.when(F.col("l_returnflag") != "A", F.col("l_shipdate") + F.expr("interval 5 days"))
-    spans = table(spark, d, "lineitem").where("l_linenumber = 7").select("l_suppkey", F.col("l_shipdate").alias("start"), end.alias("end"))
-    a = spans.withColumnsRenamed({"start": "a_start", "end": "a_end"})
-    b = spans.withColumnsRenamed({"start": "b_start", "end": "b_end"})
-    return joins.overlap_join(a, b, 180, keys=["l_suppkey"]).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    spans = table(spark, d, "lineitem").select("l_suppkey", F.col("l_shipdate").alias("start"), end.alias("end"))
+    same = spans.groupBy("l_suppkey", "start", "end").agg(F.count("*").alias("times")).withColumn("id", F.struct("start", "end", "times"))
+    counted = joins.overlap_counts(same, spans, "id", ["l_suppkey"])
+    return counted.groupBy("l_suppkey").agg(F.sum(F.col("id.times") * F.col("n")).alias("n"))
 
 
 @query(

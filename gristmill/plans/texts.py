@@ -88,15 +88,10 @@ def search_topk(spark, d):
     return search.search(search.postings(docs, "doc_id", "text"), ["license", "the"], weights, 20)
 
 
-@query(
-    "fuzzy_tokens",
-    "SELECT DISTINCT a.p_name AS name, b.p_name AS other FROM part a JOIN part b ON a.p_name < b.p_name AND left(a.p_name, 1) = left(b.p_name, 1) AND levenshtein(a.p_name, b.p_name) <= 3",
-)
+@query("fuzzy_tokens", "SELECT DISTINCT a.p_name AS name, b.p_name AS other FROM part a JOIN part b ON a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 3")
 def fuzzy_tokens(spark, d):
-    """Distinct names of one first letter within three edits; the bounded distance stops early."""
-    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("first", F.substring("name", 1, 1))
-    other = names.select(F.col("name").alias("other"), "first")
-    return names.join(other, "first").where((F.col("name") < F.col("other")) & (F.levenshtein("name", "other", 3) >= 0)).select("name", "other")
+    """Distinct names within three edits."""
+    return search.within_edits(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), "name", 3).select("name", "other")
 
 
 @query(
