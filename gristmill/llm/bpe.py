@@ -47,10 +47,10 @@ FREQUENT_WORDS = 1 << 17
 #: Longer words stay out of the lexicon.
 LEXICON_LETTERS = 64
 #: Words outside the lexicon that a worker remembers, up to twice as many.
-MEMO_WORDS = 1 << 17
+MEMO_WORDS = 1 << 16
 #: Parts from which the merges of a word are kept in a heap.
 HEAP_PARTS = 48
-ENCODE_BYTES = 1 << 23
+ENCODE_BYTES = 1 << 22
 
 #: Fixed value: the pattern of the tokenizer file, and what it is for a lower-case ASCII run.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -65,7 +65,6 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
     No piece of the tokenizer reaches across white space.
     """
-    texts = pc.fill_null(texts.cast(pa.string()), "")
     if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
         lists = pa.array([_SPACES.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
     else:
@@ -105,18 +104,22 @@ class Rules:
         return out
 
 
-    def of_runs(self, runs: list[str]) -> list[list[str]]:
-        """The pieces of each run without white space; a run of letters is one."""
+    def prepared(self, texts: pa.Array) -> pa.Array:
+        """The texts after normalisation; a special token is a run of its number after a capital, which no other run has."""
+        marks = [*self.special]
         out = []
-        for run in runs:
-            plain = _normal(run)
-            if plain.isalpha():
-                out.append([plain])
-            elif plain.isascii() and "|" not in run:
-                out.append(_ASCII_PIECE.findall(plain))
+        for text in texts.to_pylist():
+            if text and any(s in text for s in marks):
+                out.append(" ".join(f"S{self.special[p]}" if p in self.special else _normal(p) for p in self.marks.split(text)))
             else:
-                out.append(self.pieces(run))
-        return out
+                out.append(_normal(text or ""))
+        return pa.array(out, pa.string())
+
+    def of_run(self, run: str) -> list[str]:
+        """The pieces of a run of ``prepared`` without white space; a run of letters is one."""
+        if run[0] == "S":
+            return [next(s for s, i in self.special.items() if i == int(run[1:]))]
+        return _ASCII_PIECE.findall(run) if run.isascii() else self.piece.findall(run)
 
 
 class Model(Rules):
@@ -209,14 +212,14 @@ class Encoder:
 
     def __init__(self, model: Model, compiled: bytes) -> None:
         self.model, self.lexicon = model, Lexicon(compiled)
-        self._accepted: list[tuple[list[int], str, str] | None] = [None] * self.lexicon.words
-        self._memo: dict[str, tuple[list[int], str, str]] = {}
-        self._older: dict[str, tuple[list[int], str, str]] = {}
+        self._accepted: list[tuple[bytes, str, str] | None] = [None] * self.lexicon.words
+        self._memo: dict[str, tuple[bytes, str, str]] = {}
+        self._older: dict[str, tuple[bytes, str, str]] = {}
 
-    def _entry(self, ids: list[int]) -> tuple[list[int], str, str]:
-        return ids, " ".join(map(str, ids)), self.model.decode(ids)
+    def _entry(self, ids: list[int]) -> tuple[bytes, str, str]:
+        return np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)), self.model.decode(ids)
 
-    def _unseen(self, piece: str) -> tuple[list[int], str, str]:
+    def _unseen(self, piece: str) -> tuple[bytes, str, str]:
         entry = self._memo.get(piece)
         if entry is None:
             entry = self._older.get(piece) or self._entry(self.model.merge(piece))
@@ -226,7 +229,7 @@ class Encoder:
                 self._memo[piece] = entry
         return entry
 
-    def entries(self, pieces: list[str]) -> list[tuple[list[int], str, str]]:
+    def entries(self, pieces: list[str]) -> list[tuple[bytes, str, str]]:
         """Ids, ids in decimal and decoded text of each piece: the transducer's output, or else merges."""
         out = []
         accepted = self._accepted
@@ -242,22 +245,34 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Encoded:
         """The texts of one slice."""
-        order, starts, distinct = numbered(texts)
+        order, starts, distinct = numbered(self.model.prepared(texts))
         known = Numbers()
-        split = [list(map(known.__getitem__, pieces)) for pieces in self.model.of_runs(distinct.to_pylist())]
+        single, several = [], {}
+        for k, run in enumerate(distinct.to_pylist()):
+            if run.isalpha():
+                single.append(known[run])
+            else:
+                pieces = self.model.of_run(run)
+                single.append(known[pieces[0]])
+                if len(pieces) > 1:
+                    several[k] = [known[p] for p in pieces]
         found = self.entries(list(known))
-        return Encoded(order, starts, [[found[k] for k in s] for s in split])
+        entries = [found[k] for k in single]
+        for k, pieces in several.items():
+            parts = [found[p] for p in pieces]
+            entries[k] = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        return Encoded(order, starts, entries)
 
 
 class Encoded:
     """Encoded texts: numbers of runs, where each text's begin, and what each distinct run gives."""
 
-    def __init__(self, order: np.ndarray, starts: np.ndarray, entries: list[list[tuple[list[int], str, str]]]) -> None:
+    def __init__(self, order: np.ndarray, starts: np.ndarray, entries: list[tuple[bytes, str, str]]) -> None:
         self._order, self._starts, self._entries = order, starts, entries
-        self._sizes = np.fromiter((sum([len(x[0]) for x in e]) for e in entries), np.int64, len(entries))
+        self._sizes = np.fromiter((len(e[0]) for e in entries), np.int64, len(entries)) // 4
 
     def _joined(self, at: int) -> pa.Array:
-        parts = pa.array([e[0][at] if len(e) == 1 else " ".join([x[at] for x in e]) for e in self._entries], pa.string())
+        parts = pa.array([e[at] for e in self._entries], pa.string())
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(self._starts.astype(np.int32)), parts.take(pa.array(self._order))), " ")
 
     def decimals(self) -> pa.Array:
@@ -276,7 +291,7 @@ class Encoded:
 
     def ids(self) -> pa.ListArray:
         """The ids of each text as one list array."""
-        flat = np.fromiter((i for e in self._entries for x in e for i in x[0]), np.int32, int(self._sizes.sum()))
+        flat = np.frombuffer(b"".join([e[0] for e in self._entries]), np.int32)
         start, ends = np.cumsum(self._sizes) - self._sizes, self._ends()
         lengths = self._sizes[self._order]
         at = np.repeat(start[self._order] - ends[:-1], lengths) + np.arange(int(ends[-1]))
@@ -304,11 +319,14 @@ def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WOR
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, held = Rules(model.value), Counter()
         for batch in slices(batches, budget=ENCODE_BYTES):
-            order, _, distinct = numbered(batch.column("text"))
+            order, _, distinct = numbered(rules.prepared(batch.column("text")))
             times = np.bincount(order, minlength=len(distinct)).tolist()
-            for pieces, n in zip(rules.of_runs(distinct.to_pylist()), times):
-                for piece in pieces:
-                    held[piece] += n
+            for run, n in zip(distinct.to_pylist(), times):
+                if run.isalpha():
+                    held[run] += n
+                else:
+                    for piece in rules.of_run(run):
+                        held[piece] += n
             if len(held) > memory:
                 yield pairs(held)
                 held = Counter()
