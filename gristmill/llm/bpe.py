@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import cut, documents, frequent, slices
 from gristmill.llm.lexicon import Lexicon, compile_words
 
-FREQUENT_WORDS = 1 << 17
+FREQUENT_WORDS = 1 << 16
 #: Longer words stay out of the lexicon.
 LEXICON_LETTERS = 64
 #: Words outside the lexicon that a worker remembers, up to twice as many.
@@ -216,6 +216,12 @@ class Encoder:
         self._memo: dict[str, tuple[bytes, str, str]] = {}
         self._older: dict[str, tuple[bytes, str, str]] = {}
 
+    def forget(self) -> None:
+        """Drop what has been met, and hand back memory: workers stay when their task ends."""
+        self._accepted = [None] * self.lexicon.words
+        self._memo, self._older = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def _entry(self, ids: list[int]) -> tuple[bytes, str, str]:
         return np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)), self.model.decode(ids)
 
@@ -331,6 +337,7 @@ def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WOR
                 yield pairs(held)
                 held = Counter()
         yield pairs(held)
+        pa.default_memory_pool().release_unused()
 
     def pairs(held: Counter) -> pa.RecordBatch:
         kept = [(p, n) for p, n in held.items() if len(p) <= LEXICON_LETTERS]
@@ -382,6 +389,7 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, limit: int, col
         for batch in slices(batches, budget=ENCODE_BYTES):
             arrays = body(encoder.encode(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=names)
+        encoder.forget()
 
     key = uuid.uuid4().hex
     names = ["id", *(c.split()[0] for c in columns.split(", "))]
