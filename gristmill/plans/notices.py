@@ -8,7 +8,8 @@ from gristmill.functions import notices, text
 from gristmill.plans.registry import query
 from gristmill.session import table
 
-_NORMAL = r"trim(regexp_replace(regexp_replace(translate(lower(text), '‘’`“”–—−', '''''''""---'), '\s+', ' ', 'g'), ' ?- ?', '-', 'g'))"
+_MARKS = "'''''''" + '""---' + "'"
+_NORMAL = rf"trim(regexp_replace(regexp_replace(translate(lower(text), '‘’`“”–—−', {_MARKS}), '\s+', ' ', 'g'), ' ?- ?', '-', 'g'))"
 RULES = {"question": r"wh(?:o|at|en|ere)\b", "answer": r"an(?:d|swer)\b", "article": r"th(?:e|at|is)\b"}
 _ALL = "|".join(sorted(RULES.values(), key=len, reverse=True))
 _KINDS = "list_transform(regexp_extract_all(lower(text), '(" + _ALL + ")', 1), lambda w: CASE " + " ".join(f"WHEN regexp_full_match(w, '{p.removesuffix(chr(92) + 'b')}') THEN '{n}'" for n, p in RULES.items()) + " END)"
