@@ -6,7 +6,8 @@ is broadcast and memory-mapped.  Their number and ``LEXICON_LETTERS`` bound
 what is broadcast.  A slice of texts is cut at white space and its runs are
 numbered; each distinct run is split by the tokenizer's pattern once, all
 distinct words go through the transducer together, and what it does not accept
-is merged by rank, exactly.  Ids and decoded texts are put together by number.
+is merged by rank, exactly.  Ids are put together by number of the run, and
+what they decode to by id, so a worker remembers ids alone.
 
 The vocabulary file is JSON of the tokenizers library: NFC, lower case and
 white space removed, words and marks by pattern, bytes as printable
@@ -29,6 +30,7 @@ import json
 import re
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,7 +52,7 @@ LEXICON_LETTERS = 64
 MEMO_WORDS = 1 << 16
 #: Parts from which the merges of a word are kept in a heap.
 HEAP_PARTS = 48
-ENCODE_BYTES = 1 << 22
+ENCODE_BYTES = 1 << 20
 
 #: Fixed value: the pattern of the tokenizer file, and what it is for a lower-case ASCII run.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -212,9 +214,12 @@ class Encoder:
 
     def __init__(self, model: Model, compiled: bytes) -> None:
         self.model, self.lexicon = model, Lexicon(compiled)
-        self._accepted: list[tuple[bytes, str, str] | None] = [None] * self.lexicon.words
-        self._memo: dict[str, tuple[bytes, str, str]] = {}
-        self._older: dict[str, tuple[bytes, str, str]] = {}
+        self._accepted: list[bytes | None] = [None] * self.lexicon.words
+        self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        known = range(max(model.strings) + 1)
+        self._strings = pa.array([model.strings.get(i) for i in known], pa.string())
+        self._decimals = pa.array([str(i) for i in known], pa.string())
 
     def forget(self) -> None:
         """Drop what has been met, and hand back memory: workers stay when their task ends."""
@@ -222,21 +227,18 @@ class Encoder:
         self._memo, self._older = {}, {}
         pa.default_memory_pool().release_unused()
 
-    def _entry(self, ids: list[int]) -> tuple[bytes, str, str]:
-        return np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)), self.model.decode(ids)
-
-    def _unseen(self, piece: str) -> tuple[bytes, str, str]:
+    def _unseen(self, piece: str) -> bytes:
         entry = self._memo.get(piece)
         if entry is None:
-            entry = self._older.get(piece) or self._entry(self.model.merge(piece))
+            entry = self._older.get(piece) or array("i", self.model.merge(piece)).tobytes()
             if len(self._memo) >= MEMO_WORDS:
                 self._older, self._memo = self._memo, {}
             if len(piece) <= LEXICON_LETTERS:
                 self._memo[piece] = entry
         return entry
 
-    def entries(self, pieces: list[str]) -> list[tuple[bytes, str, str]]:
-        """Ids, ids in decimal and decoded text of each piece: the transducer's output, or else merges."""
+    def entries(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as bytes: the transducer's output, or else merges."""
         out = []
         accepted = self._accepted
         for piece, rank in zip(pieces, self.lexicon.ranks(pieces).tolist()):
@@ -245,7 +247,7 @@ class Encoder:
                 continue
             entry = accepted[rank]
             if entry is None:
-                entry = accepted[rank] = self._entry(self.lexicon.output(rank))
+                entry = accepted[rank] = array("i", self.lexicon.output(rank)).tobytes()
             out.append(entry)
         return out
 
@@ -265,43 +267,39 @@ class Encoder:
         found = self.entries(list(known))
         entries = [found[k] for k in single]
         for k, pieces in several.items():
-            parts = [found[p] for p in pieces]
-            entries[k] = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-        return Encoded(order, starts, entries)
+            entries[k] = b"".join([found[p] for p in pieces])
+        return Encoded(order, starts, entries, self._decimals, self._strings)
 
 
 class Encoded:
-    """Encoded texts: numbers of runs, where each text's begin, and what each distinct run gives."""
+    """Encoded texts: the ids of all in one array, and where each text's begin."""
+
+    def __init__(self, order: np.ndarray, starts: np.ndarray, entries: list[bytes], decimals: pa.Array, strings: pa.Array) -> None:
+        self._decimals, self._strings = decimals, strings
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        lengths = sizes[order]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[order] - ends[:-1], lengths) + np.arange(int(ends[-1]))
+        self._flat = pa.array(np.frombuffer(b"".join(entries), np.int32)[at], pa.int32())
+        self._starts = ends[starts]
 
-    def __init__(self, order: np.ndarray, starts: np.ndarray, entries: list[tuple[bytes, str, str]]) -> None:
-        self._order, self._starts, self._entries = order, starts, entries
-        self._sizes = np.fromiter((len(e[0]) for e in entries), np.int64, len(entries)) // 4
+    def ids(self) -> pa.ListArray:
+        """The ids of each text as one list array."""
+        return self._listed(self._flat)
 
-    def _joined(self, at: int) -> pa.Array:
-        parts = pa.array([e[at] for e in self._entries], pa.string())
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(self._starts.astype(np.int32)), parts.take(pa.array(self._order))), " ")
+    def counts(self) -> np.ndarray:
+        """Ids of each text."""
+        return np.diff(self._starts)
 
     def decimals(self) -> pa.Array:
         """The ids of each text in decimal, joined by spaces."""
-        return self._joined(1)
+        return pc.binary_join(self._listed(self._decimals.take(self._flat)), " ")
 
     def decoded(self) -> pa.Array:
-        return self._joined(2)
+        return pc.binary_join(self._listed(self._strings.take(self._flat)), " ")
 
-    def _ends(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(self._sizes[self._order])])
-
-    def counts(self) -> np.ndarray:
-        """Ids of each text."""
-        return np.diff(self._ends()[self._starts])
-
-    def ids(self) -> pa.ListArray:
-        """The ids of each text as one list array."""
-        flat = np.frombuffer(b"".join([e[0] for e in self._entries]), np.int32)
-        start, ends = np.cumsum(self._sizes) - self._sizes, self._ends()
-        lengths = self._sizes[self._order]
-        at = np.repeat(start[self._order] - ends[:-1], lengths) + np.arange(int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends[self._starts].astype(np.int32)), pa.array(flat[at], pa.int32()))
+    def _listed(self, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self._starts.astype(np.int32)), values)
 
 
 _encoders: dict[str, Encoder] = {}
