@@ -1,6 +1,6 @@
 """The catalogue of queries over the tables."""
 
-from gristmill.plans import days, feeds, live, models, notices, ordered, places, relational, statistics, texts  # noqa: F401
+from gristmill.plans import days, feeds, live, models, notices, ordered, places, relational, statistics, studies, texts  # noqa: F401
 from gristmill.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
