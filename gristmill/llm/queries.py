@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe, chat_format, language_model, line_dedup, mixing, pii, quality_model, quality_rules, simhash, sketch
+from gristmill.llm import bpe, chat_format, decontaminate, fim, language_model, line_dedup, mixing, pii, quality_model, quality_rules, simhash, sketch, tandem
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,9 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": chat_format.op8_chat_formatting,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_periodic_runs": tandem.op12_periodic_runs,
+    "op13_decontamination": decontaminate.op13_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": chat_format.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_fill_in_middle": fim.ORACLE_SQL,
+    "op13_decontamination": decontaminate.ORACLE_SQL,
 }
