@@ -17,11 +17,13 @@ P(w | v) = (c(v, w) + K P(w)) / (s(v) + K), with P(w) = (c(w) + 0.5) / (M +
 sums those over all words, and s(v), an entry of the filter as well and read
 at the upper end of a finer level, sums those over the pairs of v.  So the
 probabilities after a word sum to at most 1.  K = a + b s(v), with the a and b
-of ``GRID`` that give all held-out texts the highest probability.
+of ``GRID`` that give an inner fold of the training texts the highest
+probability when each of them is left out of the counts that score it.
+Held-out texts decide nothing.
 
 Edge cases: a null text counts as empty and has one token, its end; a null id
 counts as an empty string and trains; repeated rows train and are scored one
-by one; with no training row every word is unknown; with no held-out row the
+by one; with no training row every word is unknown; with an empty inner fold the
 first of ``GRID`` is taken; an empty table gives an empty result; other columns
 are ignored; a very long text is scored alone.
 """
@@ -48,6 +50,9 @@ from gristmill.llm.common import cut, documents, lower_ascii, shared_folder, sli
 FOLDS, HELD_OUT = 5, 1
 ADDED = 0.5
 
+#: The training texts on which the smoothing is chosen.
+INNER_FOLD = 2
+
 END = "\n"  # no word holds white space
 BASE = 1.5
 CONTEXT_BASE = 1.2
@@ -395,9 +400,9 @@ def placed(tables: list[DataFrame], parts: list[int]) -> LogFrequencyFilter:
     table = (end, end + whole, end + 2 * whole)
 
     folder = shared_folder(spark)
-    local = folder.removeprefix("file://") if folder.startswith("file://") else folder.removeprefix("file:")
-    mapped = "://" not in local
-    local = local if mapped else tempfile.mkdtemp()
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    mapped = at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"  # a path without a scheme is the default file system's
+    local = at.toUri().getPath() if mapped else tempfile.mkdtemp()
     os.makedirs(local, exist_ok=True)
     path = f"{local}/gristmill-filter-{uuid.uuid4().hex}"
     with open(path, "wb") as file:
@@ -471,17 +476,40 @@ def log_likelihood(alone: np.ndarray, joint: np.ndarray, total: np.ndarray, smoo
     return np.log10((joint + weight * alone) / (total + weight))
 
 
-def smoothed(model: Model, held_out: DataFrame, grid: tuple[tuple[float, float], ...] = GRID) -> Model:
-    """The model with the smoothing that gives ``held_out`` (column text) the highest probability."""
+def _times(*columns: np.ndarray) -> np.ndarray:
+    """How often each row of the columns occurs among them."""
+    order = np.lexsort(columns[::-1])
+    new = np.append(True, np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0))
+    group = np.cumsum(new) - 1
+    out = np.empty(len(order), np.int64)
+    out[order] = np.bincount(group)[group]
+    return out
+
+
+def without_own(tokens: Tokens, alone: np.ndarray, joint: np.ndarray, total: np.ndarray, whole: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(w), c(v, w) and s(v) less what each token's own text has added to them."""
+    text = np.repeat(np.arange(len(tokens.sizes)), tokens.sizes)
+    before = np.append(-1, tokens.codes[:-1])
+    before[tokens.starts] = -1
+    joint_left = np.maximum(joint - _times(text, tokens.pairs()), 0.0)
+    left = np.maximum(alone - _times(text, tokens.codes) / whole, ADDED / whole)
+    return left, joint_left, np.maximum(total - _times(text, before), joint_left)
+
+
+def smoothed(model: Model, texts: DataFrame, grid: tuple[tuple[float, float], ...] = GRID, counted: bool = False) -> Model:
+    """The model with the smoothing that gives ``texts`` (column text) the highest probability; ``counted``: the model has counted them, and each is left out of its own score."""
+    whole = model.read_tokens + ADDED * (model.distinct + 1)
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, sums = Reader(model), np.zeros(len(grid))
         for batch in slices(batches):
-            _, _, *read = reader.read(batch.column("text").to_pylist())
+            tokens, _, *read = reader.read(batch.column("text").to_pylist())
+            if counted:
+                read = without_own(tokens, *read, whole)
             sums += [log_likelihood(*read, s).sum() for s in grid]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums)], names=["at", "value"])
 
-    sums = held_out.mapInArrow(tried, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    sums = texts.mapInArrow(tried, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     best = max(sums, key=lambda r: (round(r.value, 3), -r.at), default=None)
     return model if best is None else replace(model, smoothing=grid[best.at])
 
@@ -506,6 +534,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
     docs = documents(spark, sf_dir).select("doc_id", "text", (fold == HELD_OUT).alias("held_out"))
-    model = smoothed(fit(docs.where(~F.col("held_out")).select("text")), docs.where("held_out").select("text"))
+    model = fit(docs.where(~F.col("held_out")).select("text"))
+    model = smoothed(model, documents(spark, sf_dir).where(fold == INNER_FOLD).select("text"), counted=True)
     out = scored(docs, model)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,7 +7,9 @@ from collections import Counter
 from functools import cache
 from math import log10
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.llm import bpe, language_model, lexicon, line_dedup, pii, quality_rules, sketch
 from tests.llm import cases
@@ -98,6 +100,12 @@ def test_line_dedup_equals_brute_force_both_ways(spark, folder, empty):
     joined = line_dedup.dedup(cases.documents(spark), most_keys=0, counts=("_n", "_gone"))
     assert Counter((r.doc_id, r._n, r._gone, sha(r.text)) for r in joined.collect()) == brute_lines(cases.rows())
     assert joined.columns == [*cases.documents(spark).columns, "_n", "_gone"] and {r.n_lines for r in joined.collect()} == {8}
+    names = {f"_{n}": F.lit(n) for n in ("one", "two", "goes", "times", "lines_to_drop", "rank", "range")} | {n: F.lit(n) for n in ("next", "row", "drop", "before", "dropped", "high")}
+    for most in (0, 1 << 20):
+        clashing = line_dedup.dedup(cases.documents(spark).withColumns(names), most_keys=most, counts=("_n", "_gone"))
+        rows = clashing.collect()
+        assert Counter((r.doc_id, r._n, r._gone, sha(r.text)) for r in rows) == brute_lines(cases.rows())
+        assert all(r[n] == n.removeprefix("_") for r in rows for n in names)
     with pytest.raises(ValueError, match="n_lines"):
         line_dedup.dedup(cases.documents(spark))
     assert line_dedup.op9_line_dedup(spark, empty).count() == 0
@@ -289,6 +297,25 @@ def test_base_scores_equal_brute_force(spark, folder, empty):
     assert language_model.op5_language_model(spark, empty).count() == 0
 
 
+def test_held_out_texts_change_no_training_score(spark, tmp_path, folder):
+    """The smoothing comes from an inner fold of the training texts."""
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in cases.rows()]
+    rows = [(r[0], "entirely other words " * 50, *r[2:]) if h else r for r, h in zip(cases.rows(), held)]
+    spark.createDataFrame(rows, cases.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    scores = [Counter((r.doc_id, r.score) for r in language_model.op5_language_model(spark, path).collect() if not r.held_out) for path in (folder, str(tmp_path))]
+    assert any(held) and scores[0] == scores[1]
+
+
+def test_own_text_is_taken_out_of_the_counts():
+    texts = ["a b a b", "b", ""]
+    tokens = language_model.Tokens(texts, language_model.Vocabulary())
+    n = len(tokens.codes)
+    plain = language_model.without_own(tokens, np.full(n, 10 / 100), np.full(n, 5.0), np.full(n, 9.0), 100.0)
+    assert plain[0].round(6).tolist() == [0.08, 0.08, 0.08, 0.08, 0.09, 0.09, 0.09, 0.09]
+    assert plain[1].tolist() == [4, 3, 4, 3, 4, 4, 4, 4]
+    assert plain[2].tolist() == [8, 7, 7, 7, 7, 8, 8, 8]
+
+
 @pytest.mark.parametrize(("part_bytes", "smoothing"), [(1 << 20, (10.0, 0.5)), (50, (1.0, 0.0))])
 def test_scores_equal_brute_force(spark, monkeypatch, part_bytes, smoothing):
     """With many bits an entry no probe errs, and the score is the formula over exact counts; parts change nothing."""
