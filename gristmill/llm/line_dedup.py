@@ -23,14 +23,15 @@ kept as they are by ``dedup``, which refuses those named like its counts.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm.common import cut, documents, lower_ascii, slices
 
@@ -45,7 +46,6 @@ SEGMENT_BITS = 1 << 19
 MOST_BITS = 1 << 30
 MOST_KEYS = 1 << 20
 FLUSH_KEYS = 1 << 21
-DROP = "_lines_to_drop"
 
 
 def line_key(line: str) -> bytes | None:
@@ -176,7 +176,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     segments = segments_for(lines)
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), id_col, text_col).alias("one"), F.xxhash64(F.lit(2), text_col, id_col).alias("two"), F.col(text_col).alias("text"))
+    slim = _rows(docs, id_col, text_col).select("id", "one", "two", "text")
     twice = broadcast_filter(twice_seen(slim.select("text"), segments), segments)
     found = cut(suspects(slim, twice, segments), "line-suspects")
     keys = cut(confirmed(found, least), "line-keys")
@@ -185,58 +185,61 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return _apply_join(docs, found, keys, id_col, text_col, counts)
 
 
-def _with_counts(docs: DataFrame, counts: tuple[str, str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + "".join(f", `{c}` long" for c in counts)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text, one, two): what else a row holds travels in a struct, so no name of ours meets one of its own."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    return docs.select(rest.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[h.alias(n) for h, n in zip(_content(id_col, text_col), ("one", "two"))])
 
 
-def _reduced(batch: pa.RecordBatch, text_col: str, counts: tuple[str, str], texts: list[str], n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n != DROP]
-    columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, *counts])
+def _content(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The name of a row's id and text, 128 bits."""
+    return F.xxhash64(F.lit(1), id_col, text_col), F.xxhash64(F.lit(2), text_col, id_col)
 
 
-def _apply_broadcast(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, counts: tuple[str, str]) -> DataFrame:
-    """One pass over the documents with the confirmed keys at hand: no text is shuffled."""
-    table = {np.array([r.high, r.low], np.int64).tobytes(): r.keeper for r in keys.toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def _reduced(rows: DataFrame, gone: Callable[[pa.RecordBatch, int, list[str]], set[int]], docs: DataFrame, text_col: str, counts: tuple[str, str]) -> DataFrame:
+    """The columns of ``docs`` and ``counts``; ``gone`` gives the numbers of the lines that a row of a batch loses."""
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keeper = shared.value.get
-        for batch in slices(batches, text_col):
+        for batch in slices(batches):
             out: tuple[list, list, list] = ([], [], [])
-            for number, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()):
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 lines = (text or "").split("\n")
-                stay = []
-                for line in lines:
-                    key = line_key(line)
-                    owner = keeper(key) if key else None
-                    if owner is None or owner == number:
-                        stay.append(line)
+                lost = gone(batch, row, lines)
+                stay = [line for k, line in enumerate(lines) if k not in lost] if lost else lines
                 for column, value in zip(out, ("\n".join(stay), len(lines), len(lines) - len(stay))):
                     column.append(value)
-            yield _reduced(batch, text_col, counts, *out)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(x, kind) for x, kind in zip(out, (pa.string(), pa.int64(), pa.int64())))], names=["row", "text", "before", "dropped"])
+
+    kinds = (T.StringType(), T.LongType(), T.LongType())
+    made = rows.mapInArrow(applied, T.StructType([rows.schema["row"], *(T.StructField(n, k) for n, k in zip(("text", "before", "dropped"), kinds))]))
+    columns = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return made.select(*columns, F.col("before").alias(counts[0]), F.col("dropped").alias(counts[1]))
+
+
+def _apply_broadcast(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, counts: tuple[str, str]) -> DataFrame:
+    """One pass over the documents with the confirmed keys at hand: no text is shuffled."""
+    table = {np.array([r.high, r.low], np.int64).tobytes(): r.keeper for r in keys.toLocalIterator()}
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    return docs.mapInArrow(applied, _with_counts(docs, counts))
+    def gone(batch: pa.RecordBatch, row: int, lines: list[str]) -> set[int]:
+        keeper, number = shared.value.get, None
+        lost = set()
+        for k, line in enumerate(lines):
+            if (key := line_key(line)) and (owner := keeper(key)) is not None:
+                number = batch.column("id")[row].as_py() if number is None else number
+                if owner != number:
+                    lost.add(k)
+        return lost
+
+    return _reduced(_rows(docs, id_col, text_col), gone, docs, text_col, counts)
 
 
 def _apply_join(docs: DataFrame, found: DataFrame, keys: DataFrame, id_col: str, text_col: str, counts: tuple[str, str]) -> DataFrame:
     """The lines to drop of each document, joined to it by its content."""
     lost = found.join(keys, ["high", "low"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-    drops = lost.groupBy("one", "two").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(DROP))
-    named = docs.withColumn("_one", F.xxhash64(F.lit(1), id_col, text_col)).withColumn("_two", F.xxhash64(F.lit(2), text_col, id_col))
-    joined = named.join(drops, (named["_one"] == drops["one"]) & (named["_two"] == drops["two"]), "left").select(*[named[c] for c in docs.columns], DROP)
-
-    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            out: tuple[list, list, list] = ([], [], [])
-            for text, drop in zip(batch.column(text_col).to_pylist(), batch.column(DROP).to_pylist()):
-                lines, gone = (text or "").split("\n"), set(drop or ())
-                stay = [line for k, line in enumerate(lines) if k not in gone]
-                for column, value in zip(out, ("\n".join(stay), len(lines), len(lines) - len(stay))):
-                    column.append(value)
-            yield _reduced(batch, text_col, counts, *out)
-
-    return joined.mapInArrow(applied, _with_counts(docs, counts))
+    drops = lost.groupBy("one", "two").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("drop"))
+    joined = _rows(docs, id_col, text_col).join(drops, ["one", "two"], "left").select("row", "text", "drop")
+    return _reduced(joined, lambda batch, row, lines: set(batch.column("drop")[row].as_py() or ()), docs, text_col, counts)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

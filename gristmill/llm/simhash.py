@@ -230,18 +230,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stay = named.join(stays, "component").where(F.col("id") == F.col("stays")).select("vertex", F.lit(True).alias("stay"))
     contents = made.select("vertex", "id").join(named.select("vertex", F.col("id").alias("first")), "vertex").join(stay, "vertex", "left")
     goes = F.col("stay").isNull() | (F.col("id") != F.col("first"))
-    marked = contents.groupBy(F.col("id.one").alias("_one"), F.col("id.two").alias("_two")).agg(F.max(goes).alias("_goes"), F.count("*").alias("_times")).where("_goes OR _times > 1")
-    marks = cut(marked.drop("_times"), "marks")
+    marked = contents.groupBy("id.one", "id.two").agg(F.max(goes).alias("goes"), F.count("*").alias("times")).where("goes OR times > 1")
+    marks = cut(marked.drop("times"), "marks")
     return _marked_dropped(docs, marks, one, two)
 
 
 def _marked_dropped(docs: DataFrame, marks: DataFrame, one: Column, two: Column) -> DataFrame:
-    """The rows of ``docs`` that ``marks`` (_one, _two, _goes) does not name, and one of each name that it does not drop."""
+    """The rows of ``docs`` that ``marks`` (one, two, goes) does not name, and one of each name that it does not drop."""
     small = checked(marks, marks.count())
-    named = docs.withColumns({"_one": one, "_two": two})
-    plain = named.join(small, ["_one", "_two"], "left_anti").select(docs.columns)
-    repeats = named.join(small.where("NOT _goes"), ["_one", "_two"], "left_semi").dropDuplicates(["_one", "_two"])
-    return plain.union(repeats.select(docs.columns))
+    named = docs.select(one.alias("one"), two.alias("two"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    plain = named.join(small, ["one", "two"], "left_anti").select("row.*")
+    repeats = named.join(small.where("NOT goes"), ["one", "two"], "left_semi").dropDuplicates(["one", "two"])
+    return plain.union(repeats.select("row.*"))
 
 
 def _unpacked(fps: np.ndarray) -> np.ndarray:

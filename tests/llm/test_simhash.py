@@ -120,3 +120,7 @@ def test_near_duplicates_equal_brute_force(spark):
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(root))
+    names = {f"_{n}": F.lit(n) for n in ("one", "two", "goes", "times")} | {n: F.lit(n) for n in ("row", "one", "two", "goes", "vertex", "key", "keys", "n")}
+    twice = docs.union(docs.limit(5)).withColumns(names)
+    rows = simhash.drop_near_duplicates(twice).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(set(root)) and all(r[n] == n.removeprefix("_") for r in rows for n in names)
