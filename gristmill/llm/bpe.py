@@ -49,7 +49,7 @@ FREQUENT_WORDS = 1 << 16
 #: Longer words stay out of the lexicon.
 LEXICON_LETTERS = 64
 #: Words outside the lexicon that a worker remembers, up to twice as many.
-MEMO_WORDS = 1 << 16
+MEMO_WORDS = 1 << 15
 #: Parts from which the merges of a word are kept in a heap.
 HEAP_PARTS = 48
 ENCODE_BYTES = 1 << 20
@@ -309,11 +309,11 @@ def _encoder(key: str, model: Broadcast, compiled: Broadcast) -> Encoder:
     """One for each worker process and lexicon."""
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(Model(model.value), compiled.value)
+        _encoders[key] = Encoder(Model(json.loads(model.value)), compiled.value)
     return _encoders[key]
 
 
-def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WORDS, memory: int = 200_000) -> list[str]:
+def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WORDS, memory: int = 100_000) -> list[str]:
     """The most frequent pieces over all texts, at most ``limit``: as many whole levels of the count's logarithm as fit.
 
     Tasks add up pieces before anything is shuffled and hand on what they
@@ -346,14 +346,14 @@ def frequent_words(texts: DataFrame, model: Broadcast, limit: int = FREQUENT_WOR
 
 
 def prepare(docs: DataFrame, path: str, text_col: str = "text", limit: int = FREQUENT_WORDS) -> tuple[Broadcast, Broadcast]:
-    """The tokenizer's tables and the compiled lexicon of ``docs``, both broadcast."""
+    """The tokenizer's file and the compiled lexicon of ``docs``, both broadcast; a worker keeps no more of the file than its tables."""
     with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(spec)
+        source = file.read()
+    context, spec = docs.sparkSession.sparkContext, json.loads(source)
+    splitting = context.broadcast({k: spec[k] for k in ("added_tokens", "pre_tokenizer")})
     model = Model(spec)
-    words = frequent_words(docs.select(F.col(text_col).alias("text")), shared, limit)
-    return shared, context.broadcast(compile_words({w: model.merge(w) for w in words}))
+    words = frequent_words(docs.select(F.col(text_col).alias("text")), splitting, limit)
+    return context.broadcast(source.encode()), context.broadcast(compile_words({w: model.merge(w) for w in words}))
 
 
 def digested(texts: pa.Array) -> pa.Array:
