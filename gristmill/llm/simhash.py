@@ -107,6 +107,8 @@ NEAR_WORDS = 5
 NEAR_OF, NEAR_IN = 4, 5
 BANDS, BAND_ROWS = 16, 4
 STAR_ROUNDS = 3
+#: Words of a parity sketch: each shingle flips one of its bits.
+PARITY = 8
 #: Tables of 16 bytes a row are broadcast up to so many rows, after counting; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1 << 19
 _MINHASH = np.random.default_rng(SEED)
@@ -131,6 +133,23 @@ def band_keys(held: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
 
 
+def parity(held: np.ndarray) -> np.ndarray:
+    """For each bit of a sketch, whether the set has an odd number of the hashes that fall on it.
+
+    The bits in which two sketches differ are at most as many as the hashes
+    that only one of the sets has.
+    """
+    odd = np.bincount((held % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def may_be_near(n: Column, m: Column, one: Column, other: Column) -> Column:
+    """False only for sets of n and m hashes whose sketches show that they are below 0.8; no pair of 0.8 is left out."""
+    apart = sum((F.bit_count(one[k].bitwiseXOR(other[k])) for k in range(1, PARITY)), F.bit_count(one[0].bitwiseXOR(other[0])))
+    sizes = NEAR_IN * F.least(n, m) >= NEAR_OF * F.greatest(n, m)
+    return sizes & ((NEAR_IN + NEAR_OF) * apart <= (NEAR_IN - NEAR_OF) * (n + m))
+
+
 def _with_sets(docs: DataFrame, schema: str, columns: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
     """The columns of ``docs`` but for text, and those that ``columns`` makes of the texts' shingle sets."""
     keep = [f for f in docs.schema.fields if f.name != "text"]
@@ -145,14 +164,15 @@ def _with_sets(docs: DataFrame, schema: str, columns: Callable[[list[np.ndarray]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Vertex (a 128-bit hash of the shingle set), n (its size) and the keys of its bands for each row of ``docs`` (text and others)."""
+    """Vertex (a 128-bit hash of the shingle set), n (its size), the keys of its bands and its parity sketch for each row of ``docs`` (text and others)."""
 
     def columns(found: list[np.ndarray]) -> list[pa.Array]:
         vertex = pa.array([xxhash.xxh3_128_digest(f.tobytes(), SEED) for f in found], pa.binary())
         keys = pa.array([band_keys(f).view(np.int64) for f in found], pa.list_(pa.int64()))
-        return [vertex, pa.array(list(map(len, found)), pa.int32()), keys]
+        sketches = pa.array([parity(f) for f in found], pa.list_(pa.int64()))
+        return [vertex, pa.array(list(map(len, found)), pa.int32()), keys, sketches]
 
-    return _with_sets(docs, "vertex binary, n int, keys array<long>", columns)
+    return _with_sets(docs, "vertex binary, n int, keys array<long>, parity array<long>", columns)
 
 
 def content(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -182,19 +202,20 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) between vertices of ``rows`` (key, vertex, n): enough of the near pairs to join what they all join.
+    """(a, b) between vertices of ``rows`` (key, vertex, n, parity): enough of the near pairs to join what they all join.
 
     In each round, the first vertex of a key is held against the key's other
     ones, and then the first of those it is not joined with.  Keys whose
     vertices are joined by then are done; only between what is still apart in
-    a key are all pairs held against each other.
+    a key are all pairs held against each other.  Sizes and parity sketches
+    decide inside the join which pairs come out of it with their sets.
     """
-    near_sizes = NEAR_IN * F.least("n", "m") >= NEAR_OF * F.greatest("n", "m")  # no pair of 0.8 is beyond
+    near = may_be_near(F.col("n"), F.col("m"), F.col("p"), F.col("q"))
     links, named, left = None, rows.withColumn("component", F.col("vertex")), rows.withColumn("component", F.col("vertex"))
     for _ in range(STAR_ROUNDS):
-        lead = left.groupBy("key").agg(F.min(F.struct("vertex", "n", "component")).alias("o"))
-        chosen = left.join(lead, "key").where(F.col("component") != F.col("o.component")).select(F.col("o.vertex").alias("a"), F.col("vertex").alias("b"), "n", F.col("o.n").alias("m"))
-        found = cut(alike(chosen.where(near_sizes).select("a", "b").distinct(), sets), "near-star")
+        lead = left.groupBy("key").agg(F.min(F.struct("vertex", "n", "component", "parity")).alias("o"))
+        chosen = left.join(lead, "key").where(F.col("component") != F.col("o.component")).select(F.col("o.vertex").alias("a"), F.col("vertex").alias("b"), "n", F.col("o.n").alias("m"), F.col("parity").alias("p"), F.col("o.parity").alias("q"))
+        found = cut(alike(chosen.where(near).select("a", "b").distinct(), sets), "near-star")
         links = found if links is None else links.union(found)
         joined = rows.join(components(links), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
         apart = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
@@ -203,9 +224,9 @@ def near_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
             return links
         first = named.groupBy("key").agg(F.min(F.struct("vertex", "component")).alias("o"))
         left = named.join(first, "key").where(F.col("component") != F.col("o.component")).drop("o")
-    one = named.select("key", F.col("vertex").alias("a"), "n", F.col("component").alias("c"))
-    other = named.select("key", F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near_sizes).select("a", "b").distinct()
+    one = named.select("key", F.col("vertex").alias("a"), "n", F.col("component").alias("c"), F.col("parity").alias("p"))
+    other = named.select("key", F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("parity").alias("q"))
+    rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near).select("a", "b").distinct()
     return links.union(alike(rest, sets))
 
 
@@ -217,9 +238,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one, two = content(id_col, text_col)
     ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), one.alias("one"), two.alias("two"))
     made = cut(signatures(docs.select(ids.alias("id"), F.col(text_col).alias("text"))), "signatures")
-    least = made.groupBy("vertex").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    least = made.groupBy("vertex").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", "parity")])
     vertices = cut(least, "vertices")
-    keys = vertices.select("vertex", "n", F.explode("keys").alias("key"))
+    keys = vertices.select("vertex", "n", "parity", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
     rows = cut(keys.join(shared, "key", "left_semi"), "shared-keys")
     wanted = vertices.join(rows.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "id.one", "id.two")

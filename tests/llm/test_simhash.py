@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -124,3 +125,15 @@ def test_near_duplicates_equal_brute_force(spark):
     twice = docs.union(docs.limit(5)).withColumns(names)
     rows = simhash.drop_near_duplicates(twice).collect()
     assert sorted(r.doc_id for r in rows) == sorted(set(root)) and all(r[n] == n.removeprefix("_") for r in rows for n in names)
+
+
+def test_parity_sketches_leave_out_no_near_pair(spark):
+    rng = np.random.default_rng(4)
+    pairs = []
+    for _ in range(300):
+        shared, one, two = (rng.integers(1 << 63, size=n, dtype=np.uint64) for n in (rng.integers(0, 900), rng.integers(0, 120), rng.integers(0, 120)))
+        pairs.append((np.union1d(shared, one), np.union1d(shared, two)))
+    rows = [(len(a), len(b), simhash.parity(a).tolist(), simhash.parity(b).tolist(), bool(5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)))) for a, b in pairs]
+    frame = spark.createDataFrame(rows, "n int, m int, p array<long>, q array<long>, near boolean")
+    got = frame.select("near", simhash.may_be_near(F.col("n"), F.col("m"), F.col("p"), F.col("q")).alias("may")).collect()
+    assert all(r.may for r in got if r.near) and sum(r.may and not r.near for r in got) < 60 and any(r.near for r in got)
