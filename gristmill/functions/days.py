@@ -27,13 +27,18 @@ def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
 
 
 def likely_break(day: Column) -> Column:
-    """Days on which schools are mostly closed: late December, Thanksgiving's end of week, the Friday before Easter and the Monday after, Veterans Day, the third Mondays of January and February."""
-    year = F.year(day)
+    """Days that many schools take off though they teach: 18 December to 3 January, Monday to Wednesday of Thanksgiving's week, the third Mondays of January and February,
+    Columbus Day, the general election, Veterans Day as observed and the Friday before Easter."""
+    year, number = F.year(day), F.month(day) * 100 + F.day(day)
     thanks = nth_weekday(year, 11, 3, 4)
-    sunday = easter(year)
-    fixed = ((F.month(day) == 12) & (F.day(day) >= 24)) | ((F.month(day) == 1) & (F.day(day) == 1)) | ((F.month(day) == 11) & (F.day(day) == 11))
-    moved = (day == thanks) | (day == F.date_add(thanks, 1)) | (day == F.date_sub(sunday, 2)) | (day == F.date_add(sunday, 1))
-    return fixed | moved | (day == nth_weekday(year, 1, 0, 3)) | (day == nth_weekday(year, 2, 0, 3))
+    eleventh = F.make_date(year, F.lit(11), F.lit(11))
+    observed = F.date_add(eleventh, F.when(F.weekday(eleventh) == 5, -1).when(F.weekday(eleventh) == 6, 1).otherwise(0))
+    election = F.date_add(nth_weekday(year, 11, 0, 1), 1)
+    moved = [F.date_sub(easter(year), 2), observed, election, nth_weekday(year, 1, 0, 3), nth_weekday(year, 2, 0, 3), nth_weekday(year, 10, 0, 2)]
+    fixed = (number >= 1218) | (number <= 103) | ((day >= F.date_sub(thanks, 3)) & (day < thanks))
+    for other in moved:
+        fixed = fixed | (day == other)
+    return fixed
 
 
 def school_day(day: Column) -> Column:

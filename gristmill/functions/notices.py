@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.text import ACCENTED, PLAIN
 
 #: Fixed value: the form of an event code, as the public standard of event codes has it.
-EVENT_CODE = r"/([OTEX])\.([A-Z]{3})\.([A-Z]{4})\.([A-Z]{2})\.([A-Z])\.(\d{4})\.(\d{6}T\d{4}Z)-(\d{6}T\d{4}Z)/"
+EVENT_CODE = r"/([OTEX])\.([A-Z]{3})\.([A-Z0-9]{4})\.([A-Z0-9]{2})\.([A-Z])\.(\d{4})\.(\d{6}T\d{4}Z)-(\d{6}T\d{4}Z)/"
 #: Look-alikes and the letter that each stands for.
 ALIKE, LETTER = "0134578@$!", "oieastbasi"
 

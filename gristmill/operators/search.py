@@ -1,16 +1,120 @@
-"""Ranked token search over a postings table.
-
-The index is a DataFrame (token, doc_id, places), so building it is one
-explode and a combine, and a query reads the postings of its tokens only.
+"""Ranked token search over a stored index.
+
+``store`` writes the postings (token, doc_id, times, first), dealt to folders
+by a hash of the token and sorted by it there, and the dictionary with its
+pieces: each token is cut into 2 k + 1 pieces for k = 1 and 2.  An edit, or a
+swap of two neighbours, spoils two pieces at most, so of a token within k edits
+of a word one piece is found in the word, at most k places away.  A search
+joins its words' pieces to the dictionary's, checks those tokens alone, and
+reads the postings of the tokens that it keeps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import tokens
 
+FOLDERS = 64
+MOST_EDITS = 2
+#: Tokens that a word may stand for and that the postings are filtered by; with more, they are joined.
+MOST_NAMED = 1000
+
+
+def near(word: str, token: str) -> tuple[int, int, int]:
+    """(distance, prefix distance, prefix length): optimal string alignment of ``word`` with ``token`` and with its closest prefix, the longest of equally close ones."""
+    before, last = [], list(range(len(word) + 1))
+    best, length = len(word), 0
+    for i, c in enumerate(token, 1):
+        row = [i]
+        for j, q in enumerate(word, 1):
+            v = min(last[j - 1] + (q != c), last[j] + 1, row[j - 1] + 1)
+            if i > 1 and j > 1 and q == token[i - 2] and word[j - 2] == c:
+                v = min(v, before[j - 2] + 1)
+            row.append(v)
+        before, last = last, row
+        if row[-1] <= best:
+            best, length = row[-1], i
+    return last[-1], best, length
+
+
+def alignments(pairs: DataFrame, word: str, token: str) -> DataFrame:
+    """``pairs`` with distance, prefix_distance and prefix_length of ``word`` and ``token``."""
+    names = "distance int, prefix_distance int, prefix_length int"
+
+    @F.pandas_udf(names)
+    def aligned(words: pd.Series, others: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([near(w, t) for w, t in zip(words, others)], columns=["distance", "prefix_distance", "prefix_length"])
+
+    return pairs.withColumn("_a", aligned(word, token)).select(*pairs.columns, "_a.*")
+
+
+def cut_at(n: int, parts: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a token of ``n`` letters."""
+    return [(k * n // parts, (k + 1) * n // parts - k * n // parts) for k in range(parts)]
+
+
+def pieces(dictionary: DataFrame) -> DataFrame:
+    """(edits, n, part, piece, token): the pieces of every token, for each number of edits."""
+    n = F.length("token")
+
+    def cut(edits: int) -> Column:
+        parts = 2 * edits + 1
+
+        def piece(k: Column) -> Column:
+            start = F.floor(k * n / parts).cast("int")
+            return F.struct(F.lit(edits).alias("edits"), n.alias("n"), k.alias("part"), F.substring(F.col("token"), start + 1, F.floor((k + 1) * n / parts).cast("int") - start).alias("piece"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), piece)
+
+    rows = F.explode(F.concat(*[cut(k) for k in range(1, MOST_EDITS + 1)]))
+    return dictionary.select(rows.alias("r"), "token").select("r.*", "token")
+
+
+def asked_pieces(words: list[str]) -> list[tuple[str, int, int, int, str]]:
+    """(word, edits, n, part, piece): where a token of n letters within a word's edits may have a piece of its own."""
+    out = set()
+    for word in words:
+        edits = budget(word)
+        for n in range(max(1, len(word) - edits), len(word) + edits + 1) if edits else ():
+            for part, (start, length) in enumerate(cut_at(n, 2 * edits + 1)):
+                for at in range(max(0, start - edits), min(len(word) - length, start + edits) + 1):
+                    out.add((word, edits, n, part, word[at : at + length]))
+    return sorted(out)
+
+
+def budget(word: str) -> int:
+    """None for numbers; two edits from eight letters, one from four."""
+    return 0 if any(c.isdigit() for c in word) else 2 if len(word) >= 8 else 1 if len(word) >= 4 else 0
+
+
+@dataclass
+class Index:
+    """A stored index; reading it costs nothing until a search asks for rows."""
+
+    postings: DataFrame
+    dictionary: DataFrame
+    pieces: DataFrame
+
+
+def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Write the index of ``docs`` to ``folder``."""
+    home = F.pmod(F.xxhash64("token"), F.lit(FOLDERS)).cast("int")
+    placed = postings(docs, doc_id, text).withColumn("home", home)
+    placed.repartition("home").sortWithinPartitions("home", "token").write.partitionBy("home").parquet(f"{folder}/postings")
+    words = dictionary(docs.sparkSession.read.parquet(f"{folder}/postings"))
+    words.sort("token").write.parquet(f"{folder}/dictionary")
+    cut = pieces(docs.sparkSession.read.parquet(f"{folder}/dictionary"))
+    cut.repartitionByRange("edits", "n", "part", "piece").sortWithinPartitions("edits", "n", "part", "piece").write.parquet(f"{folder}/pieces")
+
+
+def opened(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "dictionary", "pieces")])
+
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(token, doc_id, times, first): how often and where first each token stands in each document."""
@@ -23,37 +127,49 @@ def dictionary(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("documents"), F.sum("times").alias("times"))
 
 
-def typo_budget(token: Column) -> Column:
-    """None for numbers; two from eight letters, one from four."""
-    return F.when(token.rlike("[0-9]"), 0).when(F.length(token) >= 8, 2).when(F.length(token) >= 4, 1).otherwise(0)
-
-
-def expand(words: list[str], vocabulary: DataFrame) -> DataFrame:
-    """(word, token, level): 0 equal, 1 prefix, 2 within the word's typo budget."""
-    asked = vocabulary.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    distance = F.levenshtein("token", "word")
-    level = F.when(F.col("token") == F.col("word"), 0).when(F.startswith("token", "word"), 1).when(distance <= typo_budget(F.col("word")), 2)
-    return vocabulary.select("token").join(F.broadcast(asked)).withColumn("level", level).where("level is not null").select("word", "token", "level")
-
-
-def search(index: DataFrame, words: list[str], weights: DataFrame, limit: int) -> DataFrame:
+def expand(words: list[str], index: Index) -> DataFrame:
+    """(word, token, level): 0 equal, 1 prefix, 2 within the word's typo budget by optimal string alignment."""
+    spark = index.dictionary.sparkSession
+    begins = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith("token", w))
+    any_of = F.lit(False)
+    for w in words:
+        any_of = any_of | F.startswith("token", F.lit(w))
+    found = index.dictionary.where(any_of).select(F.explode(begins).alias("word"), "token").select("word", "token", F.when(F.col("token") == F.col("word"), 0).otherwise(1).alias("level"))
+    rows = asked_pieces(words)
+    if not rows:
+        return found
+    asked = spark.createDataFrame(rows, "word string, edits int, n int, part int, piece string")
+    sizes = sorted({(r[1], r[2]) for r in rows})
+    fits = F.lit(False)
+    for edits, n in sizes:
+        fits = fits | ((F.col("edits") == edits) & (F.col("n") == n))
+    tried = index.pieces.where(fits).join(F.broadcast(asked), ["edits", "n", "part", "piece"]).select("word", "token", "edits").distinct()
+    typos = alignments(tried, "word", "token").where("distance <= edits").select("word", "token", F.lit(2).alias("level"))
+    return found.union(typos).groupBy("word", "token").agg(F.min("level").alias("level"))
+
+
+def rows_of(index: Index, expanded: DataFrame) -> DataFrame:
+    """The postings of the tokens of ``expanded``, with word and level: read by folder and token where they are few."""
+    first = [r.token for r in expanded.select("token").distinct().limit(MOST_NAMED + 1).collect()]
+    if len(first) > MOST_NAMED:
+        return index.postings.join(expanded, "token")
+    spark = index.postings.sparkSession
+    homes = [r.home for r in spark.createDataFrame([(t,) for t in first], "token string").select(F.pmod(F.xxhash64("token"), F.lit(FOLDERS)).cast("int").alias("home")).distinct().collect()] if first else []
+    return index.postings.where(F.col("home").isin(homes) & F.col("token").isin(first)).join(F.broadcast(expanded), "token")
+
+
+def search(index: Index, words: list[str], weights: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best documents that match every word: by the worst level of a word, then weight, then id."""
-    matched = index.join(F.broadcast(expand(words, index.select("token").distinct())), "token")
+    matched = rows_of(index, expand(words, index))
     per_word = matched.groupBy("doc_id", "word").agg(F.min("level").alias("level"))
-    scored = per_word.groupBy("doc_id").agg(F.count("*").alias("words"), F.max("level").alias("level")).where(F.col("words") == len(words))
+    scored = per_word.groupBy("doc_id").agg(F.count("*").alias("words"), F.max("level").alias("level")).where(F.col("words") == len(set(words)))
     return scored.join(weights, "doc_id").orderBy("level", F.desc("weight"), "doc_id").limit(limit).select("doc_id", "level", "weight")
 
 
 def phrase(index_tokens: DataFrame, words: list[str]) -> DataFrame:
-    """Ids of documents (doc_id, tokens) in which the words stand side by side in order."""
-    width = len(words)
-    at = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - width + 1)), lambda i: F.slice("tokens", i, width) == F.array(*map(F.lit, words)))
-    return index_tokens.where(at).select("doc_id")
-
-
-def top_tokens(index: DataFrame, per_doc: int) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy(F.desc("times"), "token")
-    return index.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_doc)
+    """Ids of documents (doc_id, tokens) in which the words stand side by side in order; no token holds a blank."""
+    whole = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+    return index_tokens.where(F.contains(whole, F.lit(f" {' '.join(words)} "))).select("doc_id")
 
 
 def within_edits(names: DataFrame, name: str, edits: int) -> DataFrame:

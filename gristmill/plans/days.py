@@ -73,7 +73,8 @@ def _nth(month: int, weekday: int, n: int) -> str:
     f"""WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), y AS (SELECT DISTINCT CAST(year(day) AS BIGINT) AS year FROM t), a AS (SELECT year, year % 19 AS a, year // 100 AS b, year % 100 AS c FROM y),
     h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a), r AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS r FROM h),
     m AS (SELECT year, h + r - 7 * ((a + 11 * h + 22 * r) // 451) + 114 AS m FROM r), s AS (SELECT year, make_date(year, m // 31, m % 31 + 1) AS sunday FROM m)
-    SELECT day, (month(day) = 12 AND day(day) >= 24) OR (month(day) = 1 AND day(day) = 1) OR (month(day) = 11 AND day(day) = 11) OR day IN ({_nth(11, 3, 4)}, {_nth(11, 3, 4)} + 1, sunday - 2, sunday + 1, {_nth(1, 0, 3)}, {_nth(2, 0, 3)}) AS off
+    SELECT day, month(day) * 100 + day(day) >= 1218 OR month(day) * 100 + day(day) <= 103 OR (day >= {_nth(11, 3, 4)} - 3 AND day < {_nth(11, 3, 4)})
+        OR day IN (sunday - 2, {_nth(11, 0, 1)} + 1, {_nth(1, 0, 3)}, {_nth(2, 0, 3)}, {_nth(10, 0, 2)}, CASE isodow(make_date(year(day), 11, 11)) WHEN 6 THEN make_date(year(day), 11, 10) WHEN 7 THEN make_date(year(day), 11, 12) ELSE make_date(year(day), 11, 11) END) AS off
     FROM t JOIN s ON year(day) = year""",
     ("day",),
 )

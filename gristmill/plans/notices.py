@@ -44,7 +44,7 @@ _CODES = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no code' ELSE
 
 @query(
     "event_codes",
-    rf"""WITH c AS ({_CODES}), p AS (SELECT o_orderkey, regexp_extract(code, '/([OTEX])\.([A-Z]{{3}})\.([A-Z]{{4}})\.([A-Z]{{2}})\.([A-Z])\.(\d{{4}})\.(\d{{6}}T\d{{4}}Z)-(\d{{6}}T\d{{4}}Z)/', ['status', 'action', 'office', 'phenomena', 'significance', 'number', 'b', 'e']) AS p FROM c)
+    rf"""WITH c AS ({_CODES}), p AS (SELECT o_orderkey, regexp_extract(code, '/([OTEX])\.([A-Z]{{3}})\.([A-Z0-9]{{4}})\.([A-Z0-9]{{2}})\.([A-Z])\.(\d{{4}})\.(\d{{6}}T\d{{4}}Z)-(\d{{6}}T\d{{4}}Z)/', ['status', 'action', 'office', 'phenomena', 'significance', 'number', 'b', 'e']) AS p FROM c)
     SELECT o_orderkey, p.action, p.office, p.significance, CAST(p.number AS INTEGER) AS number, try_strptime('20' || p.b, '%Y%m%dT%H%MZ') AS begins, try_strptime('20' || p.e, '%Y%m%dT%H%MZ') AS ends FROM p WHERE p.action <> ''""",
 )
 def event_codes(spark, d):

@@ -219,6 +219,7 @@ def gap_statistics(spark, d):
 
 @query("first_seen_ledger")
 def first_seen_ledger(spark, d):
-    """Events as reads of sources: a read is a user's hour, its keys are event types. No SQL: an ordered state machine."""
-    reads = table(spark, d, "events").select(F.col("user_id").alias("source"), F.date_trunc("hour", "ts").cast("timestamp").alias("read_at"), F.col("event_type").alias("key"))
-    return ledger.observe(reads)
+    """Events as reads of sources: a read is a user's hour, its keys are event types and hundreds of the value, and a type is what a row is about. No SQL: an ordered state machine."""
+    listed = F.concat_ws("-", "event_type", F.floor(F.col("value") / 100).cast("string"))
+    rows = table(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").cast("timestamp").alias("read_at"), listed.alias("listed"), "event_type")
+    return ledger.observe(ledger.reads_of(rows, "user_id", "read_at", "listed", "event_type"))

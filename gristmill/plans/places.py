@@ -160,9 +160,8 @@ def albers_cells(spark, d):
 @query(
     "bilinear_heights",
     f"""WITH p AS (SELECT c_custkey, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, x - floor(x) AS fx, y - floor(y) AS fy FROM ({_POINTS})),
-    g AS (SELECT i, j, CAST((i * i + 3 * j + i * j) % 97 AS DOUBLE) AS z FROM (SELECT unnest(range(-130, -60)) AS i) a, (SELECT unnest(range(20, 60)) AS j) b)
-    SELECT c_custkey, round(a.z * (1 - fx) * (1 - fy) + b.z * fx * (1 - fy) + c.z * (1 - fx) * fy + e.z * fx * fy, 6) AS height FROM p
-    JOIN g a ON a.i = p.i AND a.j = p.j JOIN g b ON b.i = p.i + 1 AND b.j = p.j JOIN g c ON c.i = p.i AND c.j = p.j + 1 JOIN g e ON e.i = p.i + 1 AND e.j = p.j + 1""",
+    z AS (SELECT *, (i * i + 3 * j + i * j) % 97 AS a, ((i + 1) * (i + 1) + 3 * j + (i + 1) * j) % 97 AS b, (i * i + 3 * (j + 1) + i * (j + 1)) % 97 AS c, ((i + 1) * (i + 1) + 3 * (j + 1) + (i + 1) * (j + 1)) % 97 AS e FROM p)
+    SELECT c_custkey, round(a * (1 - fx) * (1 - fy) + b * fx * (1 - fy) + c * (1 - fx) * fy + e * fx * fy, 6) AS height FROM z""",
 )
 def bilinear_heights(spark, d):
     """Heights between the four grid values around a place: one join with each cell's corners."""
@@ -185,15 +184,21 @@ def membership_lists(spark, d):
 
 @query(
     "target_expansion",
-    """WITH t AS (SELECT s_suppkey, unnest([s_nationkey, (s_nationkey + 1) % 25]) AS nation FROM supplier)
-    SELECT DISTINCT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey FROM t JOIN customer ON nation = c_nationkey UNION ALL SELECT s_suppkey, s_suppkey FROM supplier)""",
+    """WITH t AS (SELECT s_suppkey, unnest([s_nationkey, (s_nationkey + 1) % 25]) AS nation FROM supplier), m AS (SELECT c_nationkey AS nation, count(*) AS members FROM customer GROUP BY 1)
+    SELECT s_suppkey, CAST(sum(coalesce(members, 0)) AS BIGINT) + 1 AS reached, string_agg(nation, ',' ORDER BY nation) AS classes FROM (SELECT DISTINCT * FROM t) LEFT JOIN m USING (nation) GROUP BY 1""",
 )
 def target_expansion(spark, d):
-    """A match stands for every member of its groups, and for itself."""
-    supplier = table(spark, d, "supplier")
-    targets = supplier.select("s_suppkey", F.explode(F.array("s_nationkey", (F.col("s_nationkey") + 1) % 25)).alias("c_nationkey"))
-    members = targets.join(table(spark, d, "customer"), "c_nationkey").select("s_suppkey", "c_custkey")
-    return members.union(supplier.select("s_suppkey", "s_suppkey")).distinct()
+    """A match stands for every member of its groups, and for itself: the classes that it reaches and how many members they have; members are those of ``target_members``."""
+    targets = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array("s_nationkey", (F.col("s_nationkey") + 1) % 25)).alias("c_nationkey")).distinct()
+    members = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("members"))
+    classes = F.array_join(F.transform(F.array_sort(F.collect_set("c_nationkey")), lambda n: n.cast("string")), ",")
+    return targets.join(members, "c_nationkey", "left").groupBy("s_suppkey").agg((F.coalesce(F.sum("members"), F.lit(0)) + 1).alias("reached"), classes.alias("classes"))
+
+
+@query("target_members", "SELECT c_nationkey AS class, c_custkey FROM customer")
+def target_members(spark, d):
+    """The members of each class, one row each, so that no pair of a match and a member is made."""
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("class"), "c_custkey")
 
 
 @query("alias_keys", r"SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM customer")

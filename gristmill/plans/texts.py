@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import numeric, text
 from gristmill.operators import search
 from gristmill.plans.registry import query
-from gristmill.session import table
+from gristmill.session import stored, table
 
 KEY = b"a fixed key for row hashes"
 _INNER, _OUTER = (bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
@@ -69,23 +69,68 @@ _INDEX = f"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex({_F
     i AS (SELECT token, doc_id, count(*) AS times FROM t GROUP BY 1, 2)"""
 
 
+def _index(spark, d):
+    """The index of the documents, written once for each application."""
+    return search.opened(spark, stored(spark, f"index of {d}", lambda folder: search.store(table(spark, d, "documents"), folder)))
+
+
 @query("token_index", f"{_INDEX} SELECT token, count(*) AS documents, CAST(sum(times) AS BIGINT) AS times FROM i GROUP BY 1")
 def token_index(spark, d):
-    return search.dictionary(search.postings(table(spark, d, "documents"), "doc_id", "text"))
+    return _index(spark, d).dictionary
+
+
+_ASKED = ["licnese", "the"]
 
 
 @query(
     "search_topk",
-    f"""{_INDEX}, w AS (SELECT unnest(['license', 'the']) AS word),
-    v AS (SELECT DISTINCT token FROM i), e AS (SELECT word, token, CASE WHEN token = word THEN 0 WHEN starts_with(token, word) THEN 1 WHEN levenshtein(token, word) <= CASE WHEN length(word) >= 8 THEN 2 WHEN length(word) >= 4 THEN 1 ELSE 0 END THEN 2 END AS level FROM v, w),
+    f"""{_INDEX}, w AS (SELECT unnest({_ASKED}) AS word),
+    v AS (SELECT DISTINCT token FROM i), e AS (SELECT word, token, CASE WHEN token = word THEN 0 WHEN starts_with(token, word) THEN 1 WHEN damerau_levenshtein(token, word) <= CASE WHEN length(word) >= 8 THEN 2 WHEN length(word) >= 4 THEN 1 ELSE 0 END THEN 2 END AS level FROM v, w),
     m AS (SELECT doc_id, word, min(level) AS level FROM i JOIN e USING (token) WHERE level IS NOT NULL GROUP BY 1, 2),
     s AS (SELECT doc_id, max(level) AS level FROM m GROUP BY 1 HAVING count(*) = 2)
     SELECT doc_id, level, CAST(least(4095, round(log2(1 + n_chars) * 128)) AS INTEGER) AS weight FROM s JOIN documents USING (doc_id) ORDER BY level, weight DESC, doc_id LIMIT 20""",
 )
 def search_topk(spark, d):
-    docs = table(spark, d, "documents")
-    weights = docs.select("doc_id", text.quantised_weight(F.col("n_chars")).alias("weight"))
-    return search.search(search.postings(docs, "doc_id", "text"), ["license", "the"], weights, 20)
+    """A word with two letters swapped is one edit away."""
+    weights = table(spark, d, "documents").select("doc_id", text.quantised_weight(F.col("n_chars")).alias("weight"))
+    return search.search(_index(spark, d), _ASKED, weights, 20)
+
+
+@query(
+    "token_typos",
+    f"""{_INDEX}, v AS (SELECT DISTINCT token FROM i), w AS (SELECT unnest(['license', 'becuase', 'elaborte', 'nterest', 'the', '2024']) AS word)
+    SELECT word, token FROM v, w WHERE token = word OR starts_with(token, word) OR damerau_levenshtein(token, word) <= CASE WHEN regexp_matches(word, '[0-9]') THEN 0 WHEN length(word) >= 8 THEN 2 WHEN length(word) >= 4 THEN 1 ELSE 0 END""",
+)
+def token_typos(spark, d):
+    """The tokens that words stand for: as they are, longer, or within their typo budget."""
+    return search.expand(["license", "becuase", "elaborte", "nterest", "the", "2024"], _index(spark, d)).select("word", "token")
+
+
+@query(
+    "prefix_distances",
+    """WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), w AS (SELECT name, substring(name, 1, 3) || substring(name, 5, 1) || substring(name, 4, 1) AS typed FROM n WHERE length(name) > 6),
+    c AS (SELECT name, typed, unnest(range(0, length(name) + 1)) AS size FROM w), l AS (SELECT name, typed, size, damerau_levenshtein(typed, substring(name, 1, size)) AS distance FROM c)
+    SELECT name, typed, CAST(min(distance) AS INTEGER) AS distance, CAST(arg_min(size, (distance, -size)) AS INTEGER) AS length FROM l GROUP BY 1, 2""",
+)
+def prefix_distances(spark, d):
+    """How far five letters with two of them swapped are from the closest prefix of each name, and the longest such prefix."""
+    name = F.lower("p_name")
+    names = table(spark, d, "part").select(name.alias("name")).distinct().where(F.length("name") > 6)
+    typed = names.withColumn("typed", F.concat(F.substring("name", 1, 3), F.substring("name", 5, 1), F.substring("name", 4, 1)))
+    return search.alignments(typed, "typed", "name").select("name", "typed", F.col("prefix_distance").alias("distance"), F.col("prefix_length").alias("length"))
+
+
+@query(
+    "phrase_search",
+    f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda x: x <> '') AS tokens FROM documents)
+    SELECT doc_id FROM t WHERE contains(' ' || array_to_string(tokens, ' ') || ' ', ' of the ')""",
+)
+def phrase_search(spark, d):
+    """Documents in which two words stand side by side: only those whose postings have both are read."""
+    words = ["of", "the"]
+    both = _index(spark, d).postings.where(F.col("token").isin(words)).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(words))
+    docs = table(spark, d, "documents").join(both, "doc_id", "left_semi").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
+    return search.phrase(docs, words)
 
 
 @query("fuzzy_tokens", "SELECT DISTINCT a.p_name AS name, b.p_name AS other FROM part a JOIN part b ON a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 3")

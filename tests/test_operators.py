@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gristmill.functions import days
-from gristmill.operators import fits, graph, ledger, search, spatial
+from gristmill.operators import fits, graph, search, spatial
 
 
 def test_greedy_cover_equals_plain_python(spark):
@@ -95,12 +95,28 @@ def test_inside_equals_plain_ray_casting(spark):
     assert got == {k for k, x, y in points if holds(x, y)} and got
 
 
-def test_ledger_reads_one_by_one(spark):
-    hour = 3600
-    reads = [(0, "ab"), (hour, "abc"), (2 * hour, "a"), (3 * hour, "a"), (4 * hour, "abc"), (1, "z"), (5 * hour, "abd"), (9 * hour, "abd")]
-    state = ledger.State()
-    assert [ledger.step(state, at, keys) for at, keys in reads] == ["good", "good", "partial", "good", "good", "late", "good", "good"]
-    assert (state.keys["c"].lo, state.keys["c"].hi, state.keys["a"].started) == (0, hour, "cold") and state.keys["c"].gone
-    rows = [(s, datetime.fromtimestamp(at, ZoneInfo("UTC")), k) for s in (1, 2) for at, keys in reads if at != 1 for k in keys]
-    out = ledger.observe(spark.createDataFrame(rows, "source long, read_at timestamp, key string")).collect()
-    assert {(r.source, r.key, r.hi, r.gone) for r in out} == {(s, k, v.hi, v.gone) for s in (1, 2) for k, v in state.keys.items()}
+def test_alignment_counts_swaps_and_finds_prefixes(spark):
+    assert [search.near(*p)[0] for p in (("ca", "ac"), ("ca", "abc"), ("", "ab"), ("abcd", "acbd"), ("kitten", "sitting"))] == [1, 3, 2, 1, 3]
+    assert search.near("lancastr", "lancaster")[1:] == (1, 9) and search.near("the", "theory")[1:] == (0, 3) and search.near("ab", "")[1:] == (2, 0)
+
+
+def test_search_finds_every_token_within_its_budget(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    tokens_ = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 11))) for _ in range(500)})
+    docs = spark.createDataFrame([(k, " ".join(tokens_[k::7])) for k in range(7)] + [(8, None), (9, "")], "doc_id long, text string")
+    search.store(docs, str(tmp_path / "index"))
+    index = search.opened(spark, str(tmp_path / "index"))
+    words = ["abca", "abcabcab", "cabbacabca", "ab", "aab1", "bbbbbbbb"]
+    got = {(r.word, r.token): r.level for r in search.expand(words, index).collect()}
+    want = {}
+    for w in words:
+        for t in tokens_:
+            if t == w or t.startswith(w):
+                want[w, t] = int(t != w)
+            elif search.near(w, t)[0] <= search.budget(w):
+                want[w, t] = 2
+    assert got == want and sum(v == 2 for v in got.values()) > 5
+    plan = search.search(index, ["abca", "ab"], docs.selectExpr("doc_id", "1 AS weight"), 5)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
