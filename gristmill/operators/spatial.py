@@ -54,3 +54,31 @@ def albers(lon: Column, lat: Column, low: float = 29.5, high: float = 45.5, lon0
 def bilinear(z00: Column, z10: Column, z01: Column, z11: Column, fx: Column, fy: Column) -> Column:
     """The height between four neighbours at fractions fx and fy."""
     return z00 * (1 - fx) * (1 - fy) + z10 * fx * (1 - fy) + z01 * (1 - fx) * fy + z11 * fx * fy
+
+
+def side_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """How far a point is from the side between two corners; of a side without length, from its corner."""
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / length))).otherwise(0.0)
+    return F.sqrt(F.pow(x - ax - t * dx, 2) + F.pow(y - ay - t * dy, 2))
+
+
+def near_outlines(points: DataFrame, vertices: DataFrame, ring: str, tolerance: float, cell: float, by: list[str], point_id: str) -> DataFrame:
+    """(point_id, by, ring, distance): the ring that holds each of ``points`` (x, y, by), at distance 0, else the nearest whose outline is within ``tolerance``; the smallest ring on a tie.
+
+    A side stands in the cells that its box, wider by the tolerance, touches,
+    and a point in one; so a point meets the sides near it and the rings over
+    it, and no others.  Points without either are left out.
+    """
+    reach = lambda c: F.explode(F.sequence(F.floor((F.least(F.col(f"a{c}"), F.col(f"b{c}")) - tolerance) / cell), F.floor((F.greatest(F.col(f"a{c}"), F.col(f"b{c}")) + tolerance) / cell)))
+    named = vertices.withColumn("_ring", F.struct(*by, F.col(ring).alias("ring")))
+    sides = edges(named, "_ring").select("_ring", F.explode("sides").alias("s")).select("_ring", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    placed = sides.withColumn("_cx", reach("x")).withColumn("_cy", reach("y")).select("_cx", "_cy", "ax", "ay", "bx", "by", *[F.col(f"_ring.{c}").alias(c) for c in by], F.col("_ring.ring").alias("ring"))
+    celled = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    far = F.round(side_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 9)
+    beside = celled.join(placed, [*by, "_cx", "_cy"]).select(point_id, *by, "ring", far.alias("distance")).where(F.col("distance") <= tolerance)
+    held = inside(points.withColumn("_by", F.struct(*by)), named, "_ring", cell).where(F.col("_by") == F.struct(*[F.col(f"_ring.{c}") for c in by]))
+    zero = held.select(point_id, *by, F.col("_ring.ring").alias("ring"), F.lit(0.0).alias("distance"))
+    best = zero.union(beside).groupBy(point_id, *by).agg(F.min(F.struct("distance", "ring")).alias("b"))
+    return best.select(point_id, *by, "b.ring", "b.distance")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gristmill.operators import joins
 from gristmill.plans.registry import query
 from gristmill.session import table
 
@@ -130,10 +131,9 @@ def first_day_maps(spark, d):
 
 @query("shard_of", "WITH s AS (SELECT c_custkey AS first, row_number() OVER (ORDER BY c_custkey) - 1 AS shard FROM customer WHERE c_custkey % 40 = 0) SELECT c_custkey, CAST(shard AS INTEGER) AS shard FROM customer ASOF JOIN s ON c_custkey >= first")
 def shard_of(spark, d):
-    """The shard of an id among shards named by their first ids, by one pass in order of id."""
-    firsts = table(spark, d, "customer").where("c_custkey % 40 = 0").agg(F.array_sort(F.collect_list("c_custkey")).alias("firsts"))
-    shard = F.size(F.filter("firsts", lambda f: f <= F.col("c_custkey"))) - 1
-    return table(spark, d, "customer").join(firsts, F.lit(True)).select("c_custkey", shard.alias("shard")).where("shard >= 0")
+    """The shard of an id among shards named by their first ids: both sides in order within ranges of ids."""
+    ids = table(spark, d, "customer").select("c_custkey")
+    return joins.rank_among(ids, ids.where("c_custkey % 40 = 0"), "c_custkey", "c_custkey", 100_000, "shard").where("shard >= 0")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
-from gristmill.operators import fits, graph, search, spatial
+from gristmill.operators import fits, graph, joins, search, spatial
 from gristmill.plans.registry import query
 from gristmill.session import table
 
@@ -229,7 +229,45 @@ def bounded_fit(spark, d):
     return spark.createDataFrame([(t, round(float(b), 6)) for t, b in zip(("one", "discount", "quantity"), beta)], "term string, coefficient double")
 
 
-@query("bootstrap_upper")
+@query(
+    "bootstrap_upper",
+    """WITH s AS (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1), u AS (SELECT s, n, draw, ('0x' || md5('7:' || draw || ':' || o_custkey)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM s, (SELECT unnest(range(0, 200)) AS draw)),
+    t AS (SELECT draw, s, n, len(list_filter(list_transform(range(0, 8), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-1) / gamma(j + 1)))), lambda c: u >= c)) AS t FROM u), m AS (SELECT draw, round(sum(t * s) / sum(t * n), 6) AS mean FROM t GROUP BY 1)
+    SELECT quantile_disc(mean, 0.95) AS upper FROM m""",
+)
 def bootstrap_upper(spark, d):
-    """The 95th of 200 draws of whole customers: no SQL, the draws follow Spark's hash."""
+    """The 95th of 200 draws of whole customers."""
     return fits.bootstrap_upper(table(spark, d, "orders"), "o_custkey", "o_totalprice", 200, 0.95, 7)
+
+
+_YEARS = f"""SELECT year, ring, seq, x + 0.2 * (year - 2020) AS x, y FROM ({_CORNERS}), (SELECT unnest([2020, 2021, 2022]) AS year)"""
+
+
+@query(
+    "place_near_outline",
+    f"""WITH p AS ({_POINTS}), v AS ({_YEARS}), s AS (SELECT a.year, a.ring, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by" FROM v a JOIN v b ON a.year = b.year AND a.ring = b.ring AND b.seq = (a.seq + 1) % 7),
+    t AS (SELECT p.*, s.*, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * ("by" - ay)) / (pow(bx - ax, 2) + pow("by" - ay, 2)))) AS t FROM p, s),
+    m AS (SELECT c_custkey, year, ring, min(round(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * ("by" - ay), 2)), 9)) AS far,
+        count(*) FILTER ((ay > y) <> ("by" > y) AND x < (bx - ax) * (y - ay) / nullif("by" - ay, 0) + ax) % 2 = 1 AS held FROM t GROUP BY 1, 2, 3),
+    d AS (SELECT c_custkey, year, ring, CASE WHEN held THEN 0 ELSE far END AS distance FROM m WHERE held OR far <= 0.5)
+    SELECT c_custkey, year, arg_min(ring, (distance, ring)) AS ring, min(distance) AS distance FROM d GROUP BY 1, 2""",
+)
+def place_near_outline(spark, d):
+    """The ring that holds a place in each of three years, else the nearest within half a degree of its outline."""
+    years = F.explode(F.array(*[F.lit(y) for y in (2020, 2021, 2022)])).alias("year")
+    rings = _corners(spark, d).select("*", years).withColumn("x", F.col("x") + 0.2 * (F.col("year") - 2020))
+    points = _points(spark, d).select("*", years)
+    return spatial.near_outlines(points, rings, "ring", 0.5, 2.0, ["year"], "c_custkey")
+
+
+@query(
+    "nearest_light",
+    f"""WITH p AS ({_POINTS}), l AS (SELECT p.* FROM p JOIN customer USING (c_custkey) WHERE c_acctbal < 0)
+    SELECT p.c_custkey, round(min(sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2))), 9) AS distance FROM p JOIN l ON p.c_custkey <> l.c_custkey AND sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)) <= 1.5 GROUP BY 1""",
+)
+def nearest_light(spark, d):
+    """How far the nearest other place in the red is, within a degree and a half: only the nine cells around a place are met."""
+    places = _points(spark, d)
+    lit = places.join(table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey"), "c_custkey", "left_semi").select(F.col("c_custkey").alias("other"), "x", "y")
+    near = joins.grid_pairs(places, lit, 1.5, "c_custkey", "other")
+    return near.groupBy("c_custkey").agg(F.round(F.min("distance"), 9).alias("distance"))

@@ -164,10 +164,8 @@ def open_interval_overlap(spark, d):
 )
 def effective_dated_join(spark, d):
     orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
-    dim = joins.effective_ranges(orders.select("o_custkey", F.col("o_orderdate").alias("valid_from"), "o_orderpriority", "o_orderkey"), "o_custkey", "valid_from", "o_orderkey").drop("o_orderkey")
     facts = items.join(orders.select("o_orderkey", "o_custkey"), items.l_orderkey == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_shipdate", "o_custkey")
-    held = (F.col("l_shipdate") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("l_shipdate") < F.col("valid_to")))
-    return facts.join(dim, "o_custkey").where(held).drop("valid_from", "valid_to")
+    return joins.asof_latest(facts, orders, "o_custkey", "l_shipdate", "o_orderdate", "o_orderkey", ["o_orderpriority"])
 
 
 _POINTS = "SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings"
