@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gristmill.operators import joins
+from gristmill.operators import blocks, joins
 from gristmill.plans.registry import query
 from gristmill.session import table
 
@@ -111,13 +111,13 @@ def flag_lists(spark, d):
 
 @query("sparse_decode", "SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN value END AS shift FROM events")
 def sparse_decode(spark, d):
-    """A column kept only for the rows that have it, as one list a user, put back to its rows by rank."""
+    """A column kept only for the rows that have it, as lists of a user's thousand values, put back to its rows by rank."""
     events = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     shifted = F.col("event_type") == "error"
     ranked = events.withColumn("pos", F.when(shifted, F.sum(shifted.cast("int")).over(order) - 1))
-    lists = ranked.where("pos is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("packed"))
-    unpacked = lists.select("user_id", F.posexplode(F.col("packed.value")).alias("pos", "shift"))
+    lists = ranked.where("pos is not null").groupBy("user_id", blocks.block_of(F.col("pos"), 1000).alias("base")).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("packed"))
+    unpacked = lists.select("user_id", "base", F.posexplode(F.col("packed.value")).alias("at", "shift")).select("user_id", (F.col("base") + F.col("at")).alias("pos"), "shift")
     return ranked.join(unpacked, ["user_id", "pos"], "left").select("user_id", "event_id", "shift")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gristmill.operators import ledger, sequences
+from gristmill.operators import blocks, ledger, sequences
 from gristmill.plans.registry import query
 from gristmill.session import table
 
@@ -174,11 +174,13 @@ def delta_gap_encode(spark, d):
 
 @query("delta_gap_roundtrip", 'SELECT o_custkey, o_orderkey AS "index" FROM orders')
 def delta_gap_roundtrip(spark, d):
-    """Gap arrays of each customer and back: the columnar form of a file, and its rows again."""
-    coded = sequences.index_gaps(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
-    arrays = coded.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "gap"))), lambda r: r["gap"]).alias("gaps"))
-    rows = arrays.select("o_custkey", F.posexplode("gaps").alias("pos", "gap"))
-    return sequences.from_gaps(rows, "o_custkey").select("o_custkey", "index")
+    """Gap arrays of each customer's block of 10,000 numbers and back: the columnar form of a file, and its rows again."""
+    base = blocks.block_of(F.col("o_orderkey"), 10_000)
+    numbers = table(spark, d, "orders").select(F.struct("o_custkey", base.alias("base")).alias("part"), (F.col("o_orderkey") - base).alias("offset"))
+    coded = sequences.index_gaps(numbers, "part", "offset")
+    arrays = coded.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("offset", "gap"))), lambda r: r["gap"]).alias("gaps"))
+    rows = arrays.select("part", F.posexplode("gaps").alias("pos", "gap"))
+    return sequences.from_gaps(rows, "part").select("part.o_custkey", (F.col("part.base") + F.col("index")).alias("index"))
 
 
 @query(
@@ -187,7 +189,7 @@ def delta_gap_roundtrip(spark, d):
     SELECT o_orderstatus, min(o_custkey) AS first, max(o_custkey) AS last FROM r GROUP BY o_orderstatus, run""",
 )
 def range_runs(spark, d):
-    return sequences.index_runs(table(spark, d, "orders"), "o_orderstatus", "o_custkey")
+    return blocks.runs(table(spark, d, "orders"), ["o_orderstatus"], "o_custkey", 100_000)
 
 
 @query(
@@ -212,9 +214,12 @@ def peak_window(spark, d):
     SELECT event_type, quantile_disc(gap, 0.95) AS p95, max(gap) AS longest FROM g WHERE gap IS NOT NULL GROUP BY 1""",
 )
 def gap_statistics(spark, d):
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = table(spark, d, "events").select("event_type", (at - F.lag(at).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))).alias("gap"))
-    return gaps.where("gap is not null").groupBy("event_type").agg(F.expr("percentile_disc(0.95) within group (order by gap)").cast("long").alias("p95"), F.max("gap").alias("longest"))
+    """Gaps between an event and the one before of its type: windows of a type's hour, and a quantile that sorts no type whole."""
+    events = table(spark, d, "events").select("event_type", "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    after = blocks.lagged(events, ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"], "at", "before")
+    gaps = after.select("event_type", (F.col("at") - F.col("before")).alias("gap")).where("gap is not null")
+    longest = gaps.groupBy("event_type").agg(F.max("gap").alias("longest"))
+    return blocks.nearest_rank(gaps, ["event_type"], "gap", 0.95, "p95").drop("n").join(longest, "event_type")
 
 
 @query("first_seen_ledger")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
-from gristmill.operators import fits, graph, joins, search, spatial
+from gristmill.operators import blocks, fits, graph, joins, search, spatial
 from gristmill.plans.registry import query
 from gristmill.session import table
 
@@ -176,10 +176,11 @@ def bilinear_heights(spark, d):
     return placed.select("c_custkey", F.round(height, 6).alias("height"))
 
 
-@query("membership_lists", f"{_INSIDE} SELECT ring, list(c_custkey ORDER BY c_custkey) AS members, count(*) AS n FROM i GROUP BY 1")
+@query("membership_lists", f"{_INSIDE} SELECT ring, c_custkey - c_custkey % 1000 AS block, list(c_custkey ORDER BY c_custkey) AS members, count(*) AS n FROM i GROUP BY 1, 2")
 def membership_lists(spark, d):
+    """The members of a ring as lists, one for each thousand of ids, so that no list grows with a ring."""
     found = spatial.inside(_points(spark, d), _corners(spark, d), "ring", 2.0)
-    return found.groupBy("ring").agg(F.array_sort(F.collect_list("c_custkey")).alias("members"), F.count("*").alias("n"))
+    return found.groupBy("ring", blocks.block_of(F.col("c_custkey"), 1000).alias("block")).agg(F.array_sort(F.collect_list("c_custkey")).alias("members"), F.count("*").alias("n"))
 
 
 @query(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gristmill.operators import aggregates, hierarchy
+from gristmill.operators import aggregates, blocks, hierarchy
 from gristmill.plans.registry import query
 from gristmill.session import table
 
@@ -306,8 +306,9 @@ def largest_remainder(spark, d):
 def stratified_sample(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     seats = aggregates.largest_remainder(docs.groupBy("source").agg(F.count("*").alias("n")), "n", 100, "source")
-    order = Window.partitionBy("source").orderBy(F.md5(F.concat_ws(":", "doc_id", F.lit("7"))), "doc_id")
-    return docs.withColumn("place", F.row_number().over(order)).join(seats, "source").where("place <= seats").select("doc_id", "source")
+    """Seats of each source by its least digests: those of 64 parts of a source first, then of what is left."""
+    drawn = docs.join(seats, "source").withColumn("draw", F.md5(F.concat_ws(":", "doc_id", F.lit("7"))))
+    return blocks.least(drawn, ["source"], ["draw", "doc_id"], "seats", F.pmod(F.xxhash64("doc_id"), F.lit(64))).select("doc_id", "source")
 
 
 @query(
