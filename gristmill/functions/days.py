@@ -86,3 +86,8 @@ def night_slot(at: Column) -> Column:
     """The three-hour slot of a moment between 18:00 and 15:00, 0 to 6; null in the afternoon."""
     hours = F.pmod(F.hour(at) - 18, F.lit(24))
     return F.when(hours < 21, F.floor(hours / 3))
+
+
+def local_day(instant: Column, zone: Column) -> Column:
+    """The date that an instant of UTC falls on in a zone."""
+    return F.to_date(F.from_utc_timestamp(instant, zone))
