@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text
 from gristmill.operators import blocks, fits, graph, joins, search, spatial
+from gristmill.operators import places as guard
 from gristmill.plans.registry import query
 from gristmill.session import table
 
@@ -272,3 +273,24 @@ def nearest_light(spark, d):
     lit = places.join(table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey"), "c_custkey", "left_semi").select(F.col("c_custkey").alias("other"), "x", "y")
     near = joins.grid_pairs(places, lit, 1.5, "c_custkey", "other")
     return near.groupBy("c_custkey").agg(F.round(F.min("distance"), 9).alias("distance"))
+
+
+@query(
+    "place_guard",
+    f"""WITH r AS (SELECT c_custkey AS record, c_nationkey AS state, c_mktsegment AS town, x, y FROM ({_POINTS}) JOIN customer USING (c_custkey)), m AS (SELECT o_orderkey, state AS "at", x, y FROM orders JOIN r ON record = o_custkey),
+    s AS (SELECT DISTINCT l_orderkey AS o_orderkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_nationkey END AS state, r.town FROM lineitem JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN r ON r.record = s_suppkey AND r.state = s_nationkey),
+    p AS (SELECT s.*, m."at", m.x, m.y, coalesce(s.state = m."at", s.state IS NULL) AS there, row_number() OVER () AS id FROM s JOIN m USING (o_orderkey) WHERE s.state IS NOT NULL OR s.town IS NOT NULL),
+    n AS (SELECT p.id, count(*) > 0 AS known, bool_or(sqrt(pow(p.x - r.x, 2) + pow(p.y - r.y, 2)) <= 2.0) AS near FROM p JOIN r ON p.there AND r.state = p."at" AND r.town = p.town GROUP BY 1),
+    v AS (SELECT o_orderkey, CASE WHEN NOT there THEN 'conflict' WHEN near THEN 'agrees' WHEN known THEN 'conflict' WHEN state IS NOT NULL THEN 'agrees' ELSE 'unknown' END AS v FROM p LEFT JOIN n USING (id))
+    SELECT o_orderkey, coalesce(min(v), 'unknown') AS verdict FROM m LEFT JOIN v USING (o_orderkey) GROUP BY 1""",
+)
+def place_guard(spark, d):
+    """Whether the places of an order's suppliers agree with its customer's; towns are the segments of a nation's customers, suppliers in the red state no nation."""
+    customers = table(spark, d, "customer").join(_points(spark, d), "c_custkey")
+    records = customers.select(F.col("c_custkey").alias("record"), F.col("c_nationkey").alias("state"), "x", "y")
+    towns = customers.select(F.col("c_nationkey").alias("state"), F.col("c_mktsegment").alias("town"), "x", "y")
+    home = customers.select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_mktsegment").alias("town"))
+    suppliers = table(spark, d, "supplier").join(home, ["s_suppkey", "s_nationkey"], "left").select(F.col("s_suppkey").alias("l_suppkey"), F.when(~F.coalesce(F.col("s_acctbal") < 0, F.lit(False)), F.col("s_nationkey")).alias("state"), "town")
+    stated = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").join(suppliers, "l_suppkey").select("o_orderkey", "state", "town")
+    matches = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("record"))
+    return guard.place_verdicts(matches, stated, records, towns, 2.0, "o_orderkey")
