@@ -58,6 +58,11 @@ def event_code(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(EVENT_CODE)), whole)
 
 
+def event_codes(text: Column) -> Column:
+    """The parts of every event code in a text, in order; null of a null.  An open time is written as zeros and comes out null."""
+    return F.transform(F.regexp_extract_all(text, F.lit(EVENT_CODE), F.lit(0)), event_code)
+
+
 def county_key(name: Column) -> Column:
     """A county's name without accents, case, marks and its kind."""
     plain = F.regexp_replace(F.translate(F.lower(name), ACCENTED, PLAIN), r"[^a-z ]", "")
