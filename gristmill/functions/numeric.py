@@ -32,6 +32,11 @@ def terrarium_metres(red: Column, green: Column, blue: Column) -> Column:
     return red * 256 + green + blue / 256 - 32768
 
 
+def natural_log(x: Column) -> Column:
+    """The logarithm of ``x`` as a double; minus infinity for 0, where Spark's own is null and would leave the row out of a mean."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
 def logit(p: Column, guard: float = 1e-6) -> Column:
     q = F.greatest(F.lit(guard), F.least(F.lit(1 - guard), p))
     return F.log(q / (1 - q))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import numeric
 from gristmill.operators import aggregates, blocks, hierarchy
 from gristmill.plans.registry import query
 from gristmill.session import table
@@ -170,7 +171,7 @@ def grid_tune_shrinkage(spark, d):
     above = by_season.select("season", ((F.sum("ys").over(whole) - F.col("ys")) / (F.sum("ns").over(whole) - F.col("ns"))).alias("above"))
     rows = own.join(above, "season").withColumn("m", F.explode(F.array(*map(F.lit, GRID))))
     p = (F.col("y_others") + F.col("m") * F.col("above")) / (F.col("n_others") + F.col("m"))
-    loss = -F.sum(F.col("y") * F.log("p") + (F.col("n") - F.col("y")) * F.log(1 - F.col("p"))) / F.sum("n")
+    loss = -F.sum(F.col("y") * numeric.natural_log(F.col("p")) + (F.col("n") - F.col("y")) * numeric.natural_log(1 - F.col("p"))) / F.sum("n")
     return rows.withColumn("p", p).groupBy("m").agg(F.round(loss, 6).alias("loss"))
 
 
@@ -271,7 +272,7 @@ def reliability_bins(spark, d):
 )
 def brier_logloss(spark, d):
     p, y = F.col("p"), F.col("y")
-    return _scored(spark, d).agg(F.round(F.avg((p - y) * (p - y)), 9).alias("brier"), F.round(F.avg(-y * F.log(p) - (1 - y) * F.log(1 - p)), 9).alias("log_loss"), F.count_if((p >= 0.5) & (y == 1)).alias("caught"), F.count_if(p >= 0.5).alias("called"))
+    return _scored(spark, d).agg(F.round(F.avg((p - y) * (p - y)), 9).alias("brier"), F.round(F.avg(-y * numeric.natural_log(p) - (1 - y) * numeric.natural_log(1 - p)), 9).alias("log_loss"), F.count_if((p >= 0.5) & (y == 1)).alias("caught"), F.count_if(p >= 0.5).alias("called"))
 
 
 @query("ece", f"{_BINS} SELECT round(sum(n * abs(mean_p - observed)) / sum(n), 9) AS ece FROM b")
