@@ -182,9 +182,8 @@ def _points(spark, d):
 )
 def knn_radius(spark, d):
     points = _points(spark, d)
-    pairs = joins.grid_pairs(points.where("vec_id % 20 = 0"), points.select(F.col("vec_id").alias("near_id"), "x", "y"), 0.05, "vec_id", "near_id")
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "near_id"))
-    return pairs.withColumn("rank", rank).where("rank <= 4").drop("distance")
+    near = joins.nearest_within(points.where("vec_id % 20 = 0"), points.select(F.col("vec_id").alias("near_id"), "x", "y"), 0.05, 4, "vec_id", "near_id")
+    return near.drop("distance")
 
 
 @query(
@@ -194,8 +193,7 @@ def knn_radius(spark, d):
 )
 def nearest_with_limit(spark, d):
     points = _points(spark, d)
-    pairs = joins.grid_pairs(points, points.where("label = 1").select(F.col("vec_id").alias("near_id"), "x", "y"), 0.02, "vec_id", "near_id")
-    nearest = pairs.groupBy("vec_id").agg(F.min(F.struct("distance", "near_id")).alias("best")).select("vec_id", F.col("best.near_id").alias("near_id"))
+    nearest = joins.nearest_within(points, points.where("label = 1").select(F.col("vec_id").alias("near_id"), "x", "y"), 0.02, 1, "vec_id", "near_id").select("vec_id", "near_id")
     return points.select("vec_id").join(nearest, "vec_id", "left")
 
 
