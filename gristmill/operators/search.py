@@ -1,19 +1,25 @@
 """Ranked token search over a stored index.
 
-``store`` writes the postings (token, doc_id, times, first), dealt to folders
-by a hash of the token and sorted by it there, and the dictionary with its
-pieces: each token is cut into 2 k + 1 pieces for k = 1 and 2.  An edit, or a
-swap of two neighbours, spoils two pieces at most, so of a token within k edits
-of a word one piece is found in the word, at most k places away.  A search
-joins its words' pieces to the dictionary's, checks those tokens alone, and
-reads the postings of the tokens that it keeps.
+``store`` counts each document's tokens where the document is read and writes
+the postings (token, doc_id, times, first), packed by token and batch of
+documents, dealt to folders by a hash of the token and sorted by it there, and
+the dictionary.  A typo is found by pieces: each token of the dictionary is
+cut into 2 k + 1 pieces for k = 1 and 2.  An edit, or a swap of two
+neighbours, spoils two pieces at most, so of a token within k edits of a word
+one piece is found in the word, at most k places away.  A search cuts the
+tokens of its words' lengths as it reads the dictionary, checks those alone
+that share a piece, and reads the postings of the tokens that it keeps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +29,8 @@ FOLDERS = 64
 MOST_EDITS = 2
 #: Tokens that a word may stand for and that the postings are filtered by; with more, they are joined.
 MOST_NAMED = 1000
+#: Tokens that are counted at a time; a longer document is alone.
+SLICE_TOKENS = 1 << 20
 
 
 def near(word: str, token: str) -> tuple[int, int, int]:
@@ -98,33 +106,77 @@ class Index:
 
     postings: DataFrame
     dictionary: DataFrame
-    pieces: DataFrame
 
 
 def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the index of ``docs`` to ``folder``."""
     home = F.pmod(F.xxhash64("token"), F.lit(FOLDERS)).cast("int")
-    placed = postings(docs, doc_id, text).withColumn("home", home)
-    placed.repartition("home").sortWithinPartitions("home", "token").write.partitionBy("home").parquet(f"{folder}/postings")
-    words = dictionary(docs.sparkSession.read.parquet(f"{folder}/postings"))
-    words.sort("token").write.parquet(f"{folder}/dictionary")
-    cut = pieces(docs.sparkSession.read.parquet(f"{folder}/dictionary"))
-    cut.repartitionByRange("edits", "n", "part", "piece").sortWithinPartitions("edits", "n", "part", "piece").write.parquet(f"{folder}/pieces")
+    packed = packed_postings(docs, doc_id, text)
+    if not docs.groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        packed = _merged(packed)
+    packed.withColumn("home", home).repartition("home").sortWithinPartitions("home", "token").write.partitionBy("home").parquet(f"{folder}/postings")
+    dictionary(docs.sparkSession.read.parquet(f"{folder}/postings")).sort("token").write.parquet(f"{folder}/dictionary")
 
 
 def opened(spark: SparkSession, folder: str) -> Index:
-    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "dictionary", "pieces")])
-
-
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(token, doc_id, times, first): how often and where first each token stands in each document."""
-    placed = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(tokens(F.col(text))).alias("place", "token"))
-    return placed.groupBy("token", "doc_id").agg(F.count("*").alias("times"), F.min("place").alias("first"))
-
-
-def dictionary(index: DataFrame) -> DataFrame:
+    return Index(unpacked(spark.read.parquet(f"{folder}/postings")), spark.read.parquet(f"{folder}/dictionary"))
+
+
+def packed_postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(token, doc_ids, times, firsts, documents, whole): how often and where first each token stands in each row of ``docs``; a token comes once for each slice of rows that holds it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, ids = batch.column("tokens"), batch.column("doc_id")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(lengths)
+            low = 0
+            while low < len(lengths):
+                before = ends[low] - lengths[low]
+                high = max(low + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+                flat = lists.slice(low, high - low).flatten()
+                if len(flat):
+                    yield packed(flat, lengths[low:high], ids.slice(low, high - low))
+                low = high
+
+    def packed(flat: pa.Array, lengths: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+        named = flat.dictionary_encode()
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = named.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(lengths) + row
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        times = np.diff(np.append(starts, len(key)))
+        code = key[starts] // len(lengths)
+        tokens_at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        offsets = pa.array(np.append(tokens_at, len(code)), pa.int32())
+        columns = [ids.take(pa.array(key[starts] % len(lengths))), pa.array(times, pa.int64()), pa.array(place[order[starts]], pa.int32())]
+        totals = [pa.array(np.diff(np.append(tokens_at, len(code))), pa.int64()), pa.array(np.add.reduceat(times, tokens_at), pa.int64())]
+        return pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(code[tokens_at])), *(pa.ListArray.from_arrays(offsets, c) for c in columns), *totals], names=names)
+
+    names = ["token", "doc_ids", "times", "firsts", "documents", "whole"]
+    kind = docs.schema[doc_id].dataType.simpleString()
+    slim = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
+    return slim.mapInArrow(counted, f"token string, doc_ids array<{kind}>, times array<long>, firsts array<int>, documents long, whole long")
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """The other columns of ``packed`` and doc_id, times and first: a row for each token and document."""
+    others = [c for c in packed.columns if c not in ("doc_ids", "times", "firsts", "documents", "whole")]
+    each = packed.select(*others, F.explode(F.arrays_zip("doc_ids", "times", "firsts")).alias("p"))
+    return each.select(*others, F.col("p.doc_ids").alias("doc_id"), F.col("p.times").alias("times"), F.col("p.firsts").alias("first"))
+
+
+def _merged(packed: DataFrame) -> DataFrame:
+    """``packed`` with one posting for each token and document, where rows repeat a document's id."""
+    once = unpacked(packed).groupBy("token", "doc_id").agg(F.sum("times").alias("times"), F.min("first").alias("first"))
+    return once.select("token", F.array("doc_id").alias("doc_ids"), F.array("times").alias("times"), F.array("first").alias("firsts"), F.lit(1).cast("long").alias("documents"), F.col("times").alias("whole"))
+
+
+def dictionary(packed: DataFrame) -> DataFrame:
     """(token, documents, times) for every token."""
-    return index.groupBy("token").agg(F.count("*").alias("documents"), F.sum("times").alias("times"))
+    return packed.groupBy("token").agg(F.sum("documents").alias("documents"), F.sum("whole").alias("times"))
 
 
 def expand(words: list[str], index: Index) -> DataFrame:
@@ -143,7 +195,8 @@ def expand(words: list[str], index: Index) -> DataFrame:
     fits = F.lit(False)
     for edits, n in sizes:
         fits = fits | ((F.col("edits") == edits) & (F.col("n") == n))
-    tried = index.pieces.where(fits).join(F.broadcast(asked), ["edits", "n", "part", "piece"]).select("word", "token", "edits").distinct()
+    lengths = sorted({n for _, n in sizes})
+    tried = pieces(index.dictionary.where(F.length("token").isin(lengths))).where(fits).join(F.broadcast(asked), ["edits", "n", "part", "piece"]).select("word", "token", "edits").distinct()
     typos = alignments(tried, "word", "token").where("distance <= edits").select("word", "token", F.lit(2).alias("level"))
     return found.union(typos).groupBy("word", "token").agg(F.min("level").alias("level"))
 
