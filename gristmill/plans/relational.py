@@ -148,11 +148,9 @@ def interval_overlap(spark, d):
 )
 def open_interval_overlap(spark, d):
     """Pairs of a supplier's shipments whose spans overlap, each with itself as well; returned ones have no end."""
-    end = F.when(F.col("l_returnflag") != "A", F.col("l_shipdate") + F.expr("interval 5 days"))
+    end = F.when(F.col("l_returnflag") == "A", None).otherwise(F.col("l_shipdate") + F.expr("interval 5 days"))
     spans = table(spark, d, "lineitem").select("l_suppkey", F.col("l_shipdate").alias("start"), end.alias("end"))
-    same = spans.groupBy("l_suppkey", "start", "end").agg(F.count("*").alias("times")).withColumn("id", F.struct("start", "end", "times"))
-    counted = joins.overlap_counts(same, spans, "id", ["l_suppkey"])
-    return counted.groupBy("l_suppkey").agg(F.sum(F.col("id.times") * F.col("n")).alias("n"))
+    return joins.overlapping_pairs(spans, "l_suppkey")
 
 
 @query(
