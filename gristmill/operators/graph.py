@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.session import shared_folder
+
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, component) of an edge table (a, b): the smallest node that is reachable.
@@ -29,13 +33,18 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 def greedy_cover(pairs: DataFrame, weights: DataFrame, steps: int) -> list[tuple]:
     """(family, gain, elements) of each step: the family of ``pairs`` (family, element) that adds most weight (element, weight).
 
-    Ties go to more elements and then to the smallest family.  Each step is
-    one aggregate over what is left; the driver holds the chosen names only.
+    Ties go to more elements and then to the smallest family.  The weighed
+    pairs are written once; each step is one aggregate over those that are
+    left, and what is covered meets them by shuffle, so the driver gets the
+    chosen names only.
     """
-    weighed = pairs.distinct().join(weights, "element")
+    spark = pairs.sparkSession
+    path = f"{shared_folder(spark)}/gristmill-cover-{uuid4().hex}"
+    pairs.distinct().join(weights, "element").write.parquet(path)
+    weighed = spark.read.parquet(path)
     chosen: list[tuple] = []
     for _ in range(steps):
-        covered = weighed.where(F.col("family").isin([c[0] for c in chosen])).select("element").distinct()
+        covered = weighed.where(F.col("family").isin([c[0] for c in chosen])).select("element").distinct().hint("merge")
         left = weighed.join(covered, "element", "left_anti") if chosen else weighed
         gains = left.groupBy("family").agg(F.sum("weight").alias("gain"), F.count("*").alias("elements"))
         best = gains.orderBy(F.desc(F.round("gain", 6)), F.desc("elements"), "family").first()
