@@ -26,17 +26,20 @@ def alias_join(rows: DataFrame, aliases: DataFrame, market: str, text: str, targ
 def agreed(stated: DataFrame, groups: DataFrame, unit: list[str], row: list[str], detail: str, group: str) -> DataFrame:
     """(unit, group, detail): the details of a unit in groups on which all rows that state something of the group state the same.
 
-    ``groups`` names the group of each detail; details of no group are left
-    out.  Rows agree where each detail of the group comes in every row that
-    states one, so two counts decide and no row's details are gathered.
-    Repeated statements count once; rows of a null unit are left out.
+    ``groups`` names the group of each detail and is sent to all tasks: a join
+    by shuffle would put each detail's rows in one task.  Details of no group
+    are left out.  Rows agree where each detail of the group comes in every
+    row that states one, so two counts decide and no row's details are
+    gathered; a unit's rows are shuffled once.  Repeated statements count
+    once; rows of a null unit are left out.
     """
-    said = stated.select(*unit, *row, detail).join(groups, detail).select(*unit, *row, group, detail).distinct()
-    speakers = said.select(*unit, *row, group).distinct().groupBy(*unit, group).agg(F.count("*").alias("_rows"))
-    each = said.groupBy(*unit, group, detail).agg(F.count("*").alias("_said"))
-    least = each.groupBy(*unit, group).agg(F.min("_said").alias("_least"))
-    whole = speakers.join(least, [*unit, group]).where("_least = _rows").drop("_rows", "_least")
-    return each.drop("_said").join(whole, [*unit, group], "left_semi")
+    known = stated.dropna(subset=unit).select(*unit, *row, detail).join(F.broadcast(groups), detail).select(*unit, *row, group, detail)
+    said = known.repartition(*unit).distinct()
+    speaker = F.dense_rank().over(Window.partitionBy(*unit, group).orderBy(*row))
+    each = said.withColumn("_speaker", speaker).groupBy(*unit, group, detail).agg(F.count("*").alias("_said"), F.max("_speaker").alias("_speaker"))
+    whole = Window.partitionBy(*unit, group)
+    counted = each.withColumns({"_least": F.min("_said").over(whole), "_rows": F.max("_speaker").over(whole)})
+    return counted.where("_least = _rows").select(*unit, group, detail)
 
 
 def slot_runs(reads: DataFrame, source: str, slot: str, member: str) -> DataFrame:
