@@ -24,7 +24,7 @@ _DAY = (
 _OTHER_DAY = r"\b(?:tonight|yesterday|overnight|weekend|week|through|thru|until|till)\b|\d\s*-\s*\d"
 
 
-def _flat(text: Column) -> Column:
+def flat_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
@@ -39,28 +39,46 @@ def amounts(text: Column) -> Column:
     A range of snow goes before an upper bound, and that before one figure; a
     range of ice before one figure.
     """
-    flat = _flat(text)
+    return flat_amounts(flat_text(text))
+
+
+def flat_amounts(flat: Column) -> Column:
+    """``amounts`` of a text that ``flat_text`` made; a column of it keeps Spark from flattening a text for each figure.
+
+    A figure's pattern is tried only where its fixed words stand and no figure before it decides.
+    """
+    snowy = flat.contains(" inch") & (flat.contains("snow") | flat.contains("accumulation"))
+    icy, chilly = flat.contains("inch") & flat.contains("ice"), flat.contains("wind chill")
 
     def first(pattern: str, group: int = 1) -> Column:
         return _number(F.regexp_extract(flat, pattern, group))
 
     between = rf"{_SNOW}(?:of|between) {_N} (?:to|and|-) {_N} inch"
-    up_to, one = first(rf"{_SNOW}(?:up to|less than) {_N} inch"), first(rf"{_SNOW}(?:of|around|near) {_N} inch")
-    low, high = F.least(first(between), first(between, 2)), F.greatest(first(between), first(between, 2))
     ice_between = rf"ice accumulations?[^.]*?(?:of|between) {_N} (?:to|and|-) {_N} (?:of an )?inch"
-    ice = F.coalesce(F.greatest(first(ice_between), first(ice_between, 2)), first(rf"{_N} (?:of an )?inch(?:es)? (?:of )?ice"))
+
+    def pair(pattern: str) -> Column:
+        """The figures of a range in a text: the pattern is searched once, and then in what it found."""
+        found = F.array(F.regexp_extract(flat, pattern, 0))
+        number = lambda x, group: _number(F.regexp_extract(x, pattern, group))
+        return F.get(F.transform(found, lambda x: F.when(x != "", F.struct(F.least(number(x, 1), number(x, 2)).alias("low"), F.greatest(number(x, 1), number(x, 2)).alias("high")))), F.lit(0))
+
+    def snow(found: Column) -> Column:
+        up_to = F.array(first(rf"{_SNOW}(?:up to|less than) {_N} inch"))
+        one = F.array(first(rf"{_SNOW}(?:of|around|near) {_N} inch"))
+        single = F.get(F.transform(one, lambda x: F.struct(x.alias("low"), x.alias("high"))), F.lit(0))
+        bounded = F.get(F.transform(up_to, lambda x: F.when(x.isNotNull(), F.struct(F.lit(0.0).alias("low"), x.alias("high")))), F.lit(0))
+        return F.coalesce(found, bounded, single)
+
+    ranges = F.when(snowy, snow(pair(between)))
+    ice = F.when(icy, F.coalesce(F.when(flat.contains("ice accumulation"), pair(ice_between)["high"]), first(rf"{_N} (?:of an )?inch(?:es)? (?:of )?ice")))
     chills = F.regexp_extract_all(flat, F.lit(r"(wind chills?[^.]*?(?:as low as|to|of|near|around) (?:minus )?\d+ ?(?:below|above)?)"), F.lit(1))
 
     def degrees(said: Column) -> Column:
         value = F.regexp_extract(said, r"(\d+) ?(?:below|above)?$", 1).try_cast("int")
         return F.when(said.rlike(r"minus \d+|below$"), -value).otherwise(value)
 
-    return F.struct(
-        F.coalesce(low, F.when(up_to.isNotNull(), 0.0), one).alias("snow_low"),
-        F.coalesce(high, up_to, one).alias("snow_high"),
-        ice.alias("ice"),
-        F.array_min(F.transform(chills, degrees)).alias("wind_chill"),
-    )
+    both = F.transform(F.array(ranges), lambda r: F.struct(r["low"].alias("snow_low"), r["high"].alias("snow_high"), ice.alias("ice"), F.when(chilly, F.array_min(F.transform(chills, degrees))).alias("wind_chill")))
+    return F.get(both, F.lit(0))
 
 
 def open_days(text: Column, posted: Column) -> Column:
@@ -70,7 +88,7 @@ def open_days(text: Column, posted: Column) -> Column:
     ``OPEN_AHEAD`` days.  Where a word names a day in another way, or a day
     lies out of reach, there are none; so too without a text or a posting day.
     """
-    flat = _flat(text)
+    flat = flat_text(text)
 
     def soon(month: Column, day: Column) -> Column:
         dates = [F.try_to_date(F.concat_ws("-", F.year(F.add_months(posted, months)).cast("string"), month.cast("string"), day), "yyyy-M-d") for months in (0, 12)]

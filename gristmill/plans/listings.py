@@ -59,7 +59,8 @@ def alert_amounts(spark, d):
         F.concat(F.lit("Wind chills of 20 above early. Wind chill to MINUS "), "r", F.lit(" later.")),
     ]
     text = F.coalesce(*[F.when(F.col("f") == k, form) for k, form in enumerate(forms)])
-    return rows.select("l_orderkey", "l_linenumber", bulletins.amounts(text).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
+    flat = rows.select("l_orderkey", "l_linenumber", bulletins.flat_text(text).alias("flat"))
+    return flat.select("l_orderkey", "l_linenumber", bulletins.flat_amounts(F.col("flat")).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
 
 
 @query(
