@@ -16,6 +16,13 @@ bits are split into threshold + 1 groups, one of which must agree as well.
 What is still too large after ``REFINEMENTS`` rounds is dealt in pairs of
 blocks, so no task holds more than two blocks of a key.
 
+The pipeline's stage takes near copies by Jaccard similarity instead.  A pair
+of 0.8 differs in 15 % of the bits on average, so its fingerprints are longer
+and cut into many parts (``near_parts``): those that differ in fewer bits than
+there are parts agree in one by the pigeonhole principle, most of the others
+by chance.  What agrees in a part and is close in further bits is verified by
+the exact similarity.
+
 Edge cases: a null text counts as empty; no words make fingerprint 0, which
 links like any other; fewer words than a shingle make one shingle; rows that
 repeat share a fingerprint; a null id is never a component's name unless all
@@ -28,10 +35,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,19 +109,22 @@ def fingerprints(docs: DataFrame, features: Callable[[list[str]], list[str]], se
     return slim.mapInArrow(made, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:])).withColumnRenamed("id", id_col)
 
 
-#: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 (4 in 5) and more.  A pair of 0.8 shares
-#: none of the bands of least hashes with chance (1 - 0.8^4)^16 = 0.0002.
+#: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 (4 in 5) and more.  A bit of their SimHash
+#: fingerprints agrees with chance 1 - acos(8/9) / pi = 0.85; a pair of 0.8 agrees in no part with chance MISSED.
 NEAR_WORDS = 5
 NEAR_OF, NEAR_IN = 4, 5
-BANDS, BAND_ROWS = 16, 4
+AGREE = 1 - acos(2 * NEAR_OF / (NEAR_IN + NEAR_OF)) / pi
+MISSED = 0.0002
+#: Sets of fewer hashes are near only if they are equal; those of 4 and 5 are near only if one holds the other.
+NEAR_LEAST = 4
+#: Words of a fingerprint beyond its parts that rows carry, and the bits that may differ there: 5 deviations above a
+#: pair of 0.8 and 6 below unrelated ones.
+CARRIED, CARRIED_APART = 3, 54
 STAR_ROUNDS = 3
 #: Words of a parity sketch: each shingle flips one of its bits.
 PARITY = 8
 #: Tables of 16 bytes a row are broadcast up to so many rows, after counting; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1 << 19
-_MINHASH = np.random.default_rng(SEED)
-_TIMES = _MINHASH.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
-_PLUS = _MINHASH.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -121,16 +132,30 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in shingles(words(lower_ascii(text or "")), NEAR_WORDS)], np.uint64))
 
 
-def band_keys(held: np.ndarray) -> np.ndarray:
-    """A key for each band, of the least hash under each of its permutations."""
-    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for low in range(0, len(held), 2048):
-            x = held[low : low + 2048] * _TIMES[:, None] + _PLUS[:, None]
-            x ^= x >> np.uint64(32)
-            np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=1), out=least)
-    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+def near_parts(n: int) -> tuple[int, int]:
+    """(parts, bits of a part) of the fingerprints of ``n`` sets, at the least estimated cost in rows and candidates.
+
+    Fingerprints that differ in fewer bits than there are parts agree in one;
+    those further apart do by chance, for which there are enough parts.
+    """
+    width = min(range(8, 33), key=lambda w: AGREE**-w * (ROW_COST + n / 2 ** (w + 1)))
+    return ceil(log(1 / MISSED) / AGREE**width), width
+
+
+def near_fingerprint(held: np.ndarray, size: int) -> np.ndarray:
+    """The SimHash of a set of hashes in ``size`` words: bits set in over half of the hashes, mixed anew for each word."""
+    counts = np.zeros(BITS * size, np.int64)
+    salts = np.arange(1, size + 1, dtype=np.uint64)
+    for low in range(0, len(held), 255):
+        bits = np.unpackbits(_mixed_by(held[low : low + 255, None], salts).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(held), bitorder="little").view("<u8")
+
+
+def small_keys(held: np.ndarray) -> list[int]:
+    """Keys that sets of 4 and 5 hashes share if one holds the other: all, and all but one."""
+    subsets = [held] if len(held) == 4 else [np.delete(held, k) for k in range(5)] if len(held) == 5 else []
+    return [-1 - (xxhash.xxh64_intdigest(x.tobytes(), SEED) >> 1) for x in subsets]
 
 
 def parity(held: np.ndarray) -> np.ndarray:
@@ -163,16 +188,93 @@ def _with_sets(docs: DataFrame, schema: str, columns: Callable[[list[np.ndarray]
     return docs.mapInArrow(made, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), schema]))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Vertex (a 128-bit hash of the shingle set), n (its size), the keys of its bands and its parity sketch for each row of ``docs`` (text and others)."""
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """Vertex (a 128-bit hash of the shingle set), n (its size), its fingerprint in ``size`` words, the keys of small sets and its parity sketch for each row of ``docs`` (text and others)."""
 
     def columns(found: list[np.ndarray]) -> list[pa.Array]:
         vertex = pa.array([xxhash.xxh3_128_digest(f.tobytes(), SEED) for f in found], pa.binary())
-        keys = pa.array([band_keys(f).view(np.int64) for f in found], pa.list_(pa.int64()))
+        prints = pa.array([near_fingerprint(f, size).view(np.int64) for f in found], pa.list_(pa.int64()))
+        small = pa.array(list(map(small_keys, found)), pa.list_(pa.int64()))
         sketches = pa.array([parity(f) for f in found], pa.list_(pa.int64()))
-        return [vertex, pa.array(list(map(len, found)), pa.int32()), keys, sketches]
+        return [vertex, pa.array(list(map(len, found)), pa.int32()), prints, small, sketches]
+
+    return _with_sets(docs, "vertex binary, n int, fp array<long>, small array<long>, parity array<long>", columns)
+
+
+def part_rows(vertices: DataFrame, parts: int, width: int) -> DataFrame:
+    """(key, vertex, fp0, ...): a row for each of ``vertices`` (vertex, fp, small) and part of its fingerprint, and for each key of small sets."""
+    powers = np.left_shift(1, np.arange(width, dtype=np.int64))
+    names = ["key", "vertex", *(f"fp{k}" for k in range(CARRIED))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 500):
+                batch = whole.slice(low, 500)
+                vertex = batch.column("vertex").to_numpy(zero_copy_only=False).astype(np.int64)
+                prints = batch.column("fp").flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(vertex), -1)
+                bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little", count=parts * width).reshape(len(vertex), parts, width)
+                keys = (bits @ powers) + (np.arange(parts, dtype=np.int64) << width)
+                lists = batch.column("small")
+                small = np.repeat(np.arange(len(vertex)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                at = np.append(np.repeat(np.arange(len(vertex)), parts), small)
+                key = np.append(keys.ravel(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, vertex[at], *(prints[at, k] for k in range(-CARRIED, 0)))], names=names)
+
+    return vertices.select("vertex", "fp", "small").mapInArrow(rows, ", ".join(f"{n} long" for n in names))
+
+
+def close_rows(rows: DataFrame, most: int = MOST_IN_KEY) -> DataFrame:
+    """(key, vertex): the vertices of ``rows`` (key, vertex, fp0, ...) that others of their key are close to, by the bits they carry, named by what they join.
+
+    Groups of the same vertices have the same name, from whatever part they
+    come.  A key of more than ``most`` rows is passed on whole.
+    """
+    names = ["key", "vertex", *(f"fp{k}" for k in range(CARRIED))]
 
-    return _with_sets(docs, "vertex binary, n int, keys array<long>, parity array<long>", columns)
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            if large is not None:
+                end = int(np.searchsorted(columns[0], large, "right"))
+                yield named(columns[0][:end], columns[1][:end])
+                columns = [c[end:] for c in columns]
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
+            if len(held[0]) >= 1 << 15:
+                end = int(np.searchsorted(held[0], held[0][-1]))
+                yield grouped_keys([c[:end] for c in held])
+                held = [c[end:] for c in held]
+                if len(held[0]) > most:
+                    large = held[0][0]
+                    yield named(*held[:2])
+                    held = None
+        if held is not None and len(held[0]):
+            yield grouped_keys(held)
+
+    def named(key: np.ndarray, vertex: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(vertex)], names=["key", "vertex"])
+
+    def grouped_keys(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, vertex, fps = *columns[:2], [c.view(np.uint64) for c in columns[2:]]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(starts, len(key)))
+        sizes, ends = np.repeat(times, times), np.repeat(starts + times, times)
+        root = np.arange(len(key))
+        live = np.flatnonzero((sizes > 1) & (sizes <= most))
+        step = 1
+        while len(live):
+            live = live[live + step < ends[live]]
+            apart = sum(np.bitwise_count(f[live] ^ f[live + step]).astype(np.int64) for f in fps)
+            a = live[apart <= CARRIED_APART]
+            _unite(root, a, a + step)
+            step += 1
+        name = np.zeros(len(key), np.uint64)
+        np.add.at(name, root, _mixed(vertex.view(np.uint64), 1))
+        joined = np.flatnonzero(np.bincount(root, minlength=len(key))[root] > 1)
+        whole = np.flatnonzero(sizes > most)
+        return named(np.append(name[root[joined]].view(np.int64), key[whole]), np.append(vertex[joined], vertex[whole]))
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(close, "key long, vertex long").distinct()
 
 
 def content(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -237,12 +339,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     one, two = content(id_col, text_col)
     ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), one.alias("one"), two.alias("two"))
-    made = cut(signatures(docs.select(ids.alias("id"), F.col(text_col).alias("text"))), "signatures")
-    least = made.groupBy("vertex").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", "parity")])
+    parts, width = near_parts(docs.count())
+    made = cut(signatures(docs.select(ids.alias("id"), F.col(text_col).alias("text")), -(-parts * width // BITS) + CARRIED), "signatures")
+    least = made.groupBy("vertex").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "fp", "small", "parity")])
     vertices = cut(least, "vertices")
-    keys = vertices.select("vertex", "n", "parity", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    rows = cut(keys.join(shared, "key", "left_semi"), "shared-keys")
+    short = F.xxhash64("vertex")
+    close = cut(close_rows(part_rows(vertices.where(F.col("n") >= NEAR_LEAST).withColumn("vertex", short), parts, width)), "close")
+    rows = cut(close.withColumnRenamed("vertex", "short").join(vertices.select(short.alias("short"), "vertex", "n", "parity"), "short").drop("short"), "close-rows")
     wanted = vertices.join(rows.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "id.one", "id.two")
     sets = cut(sets_of(docs, cut(wanted, "wanted"), id_col, text_col), "sets")
     linked = components(near_links(rows, sets))
@@ -360,8 +463,13 @@ def choose_parts(n: int, chances: np.ndarray, threshold: int) -> list[Part]:
 
 
 def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
+    return _mixed_by(values, np.uint64(salt))
+
+
+def _mixed_by(values: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """``values`` mixed with ``salts``, broadcast against each other."""
     with np.errstate(over="ignore"):
-        x = (values ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (values ^ (salts * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
         return x ^ (x >> np.uint64(29))
 

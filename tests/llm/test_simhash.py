@@ -127,6 +127,32 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in rows) == sorted(set(root)) and all(r[n] == n.removeprefix("_") for r in rows for n in names)
 
 
+def test_near_candidates_come_from_parts_of_simhash_fingerprints(spark):
+    rng = np.random.default_rng(8)
+    parts, width = simhash.near_parts(400)
+    size = -(-parts * width // 64) + simhash.CARRIED
+    sets = [np.unique(rng.integers(1 << 63, size=n, dtype=np.uint64)) for n in [4, 5] * 20 + [300] * 100 + [301] * 60]
+    near = [np.union1d(s[len(s) // 9 :], rng.integers(1 << 63, size=len(s) // 9, dtype=np.uint64)) if len(s) > 5 else s[1:] if len(s) == 5 else np.union1d(s, rng.integers(1 << 63, size=1, dtype=np.uint64)) for s in sets]
+    prints = [simhash.near_fingerprint(s, size) for s in sets + near]
+    majority = [2 * int(sum(int(h) >> 9 & 1 for h in simhash._mixed(s, 1))) > len(s) for s in sets]
+    assert majority == [bool(int(f[0]) >> 9 & 1) for f in prints[: len(sets)]]
+    rows = [(k, f.view(np.int64).tolist(), simhash.small_keys(s)) for k, (s, f) in enumerate(zip(sets + near, prints))]
+    made = simhash.part_rows(spark.createDataFrame(rows, "vertex long, fp array<long>, small array<long>"), parts, width)
+    keys, words = {}, {}
+    for r in made.collect():
+        keys.setdefault(r.key, set()).add(r.vertex)
+        words[r.vertex] = np.array([r[f"fp{k}"] for k in range(simhash.CARRIED)]).view(np.uint64)
+    distance = {(a, b): np.bitwise_count(words[a] ^ words[b]).sum() for g in keys.values() for a in g for b in g if a < b}
+    expected = {p for p, d in distance.items() if d <= simhash.CARRIED_APART}
+    assert {(k, k + len(sets)) for k in range(len(sets))} <= expected
+    for most in (2048, 3):
+        groups = {}
+        for r in simhash.close_rows(made, most).collect():
+            groups.setdefault(r.key, set()).add(r.vertex)
+        found = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+        assert expected <= found and (most < 2048 or len(found) < 1.5 * len(expected))
+
+
 def test_parity_sketches_leave_out_no_near_pair(spark):
     rng = np.random.default_rng(4)
     pairs = []
