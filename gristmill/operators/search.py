@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import tokens
+from gristmill.functions.text import folded, tokens
 
 FOLDERS = 64
 MOST_EDITS = 2
@@ -219,10 +219,9 @@ def search(index: Index, words: list[str], weights: DataFrame, limit: int) -> Da
     return scored.join(weights, "doc_id").orderBy("level", F.desc("weight"), "doc_id").limit(limit).select("doc_id", "level", "weight")
 
 
-def phrase(index_tokens: DataFrame, words: list[str]) -> DataFrame:
-    """Ids of documents (doc_id, tokens) in which the words stand side by side in order; no token holds a blank."""
-    whole = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-    return index_tokens.where(F.contains(whole, F.lit(f" {' '.join(words)} "))).select("doc_id")
+def phrase(text: Column, words: list[str]) -> Column:
+    """Whether the words stand side by side in order among a text's tokens, without cutting the text into them."""
+    return F.rlike(folded(text), F.lit(f"(?<![a-z0-9]){'[^a-z0-9]+'.join(words)}(?![a-z0-9])"))
 
 
 def within_edits(names: DataFrame, name: str, edits: int) -> DataFrame:
