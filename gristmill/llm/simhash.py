@@ -224,14 +224,35 @@ def part_rows(vertices: DataFrame, parts: int, width: int) -> DataFrame:
 
 
 def close_rows(rows: DataFrame, most: int = MOST_IN_KEY) -> DataFrame:
-    """(key, vertex): the vertices of ``rows`` (key, vertex, fp0, ...) that others of their key are close to, by the bits they carry, named by what they join.
+    """(key, vertex): the vertices of ``rows`` (key, vertex, fp0, ...) that others of their key are close to, by the bits they carry."""
 
-    Groups of the same vertices have the same name, from whatever part they
-    come.  A key of more than ``most`` rows is passed on whole.
+    def close(fps: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in fps) <= CARRIED_APART
+
+    return _joined_rows(rows.select("key", "vertex", *(f"fp{k}" for k in range(CARRIED))), close, most)
+
+
+def near_rows(rows: DataFrame, most: int = MOST_IN_KEY) -> DataFrame:
+    """(key, vertex): the vertices of ``rows`` (key, vertex, n, parity) that may be near others of their key, as ``may_be_near`` says."""
+
+    def near(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, m = (columns[0][x].astype(np.int64) for x in (a, b))
+        apart = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in columns[1:])
+        return (NEAR_IN * np.minimum(n, m) >= NEAR_OF * np.maximum(n, m)) & ((NEAR_IN + NEAR_OF) * apart <= (NEAR_IN - NEAR_OF) * (n + m))
+
+    return _joined_rows(rows.select("key", "vertex", F.col("n").cast("long").alias("n"), *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY))), near, most)
+
+
+def _joined_rows(rows: DataFrame, test: Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray], most: int) -> DataFrame:
+    """(key, vertex): the vertices of ``rows`` (key, vertex and others) that ``test`` joins with others of their key, named by what they join.
+
+    ``test`` gets the other columns and two arrays of row numbers.  Groups of
+    the same vertices have the same name, from whatever part they come.  A
+    key of more than ``most`` rows is passed on whole.
     """
-    names = ["key", "vertex", *(f"fp{k}" for k in range(CARRIED))]
+    names = rows.columns
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, None
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
@@ -255,7 +276,7 @@ def close_rows(rows: DataFrame, most: int = MOST_IN_KEY) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(vertex)], names=["key", "vertex"])
 
     def grouped_keys(columns: list[np.ndarray]) -> pa.RecordBatch:
-        key, vertex, fps = *columns[:2], [c.view(np.uint64) for c in columns[2:]]
+        key, vertex, others = *columns[:2], [c.view(np.uint64) for c in columns[2:]]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.append(starts, len(key)))
         sizes, ends = np.repeat(times, times), np.repeat(starts + times, times)
@@ -264,17 +285,16 @@ def close_rows(rows: DataFrame, most: int = MOST_IN_KEY) -> DataFrame:
         step = 1
         while len(live):
             live = live[live + step < ends[live]]
-            apart = sum(np.bitwise_count(f[live] ^ f[live + step]).astype(np.int64) for f in fps)
-            a = live[apart <= CARRIED_APART]
+            a = live[test(others, live, live + step)]
             _unite(root, a, a + step)
             step += 1
         name = np.zeros(len(key), np.uint64)
         np.add.at(name, root, _mixed(vertex.view(np.uint64), 1))
-        joined = np.flatnonzero(np.bincount(root, minlength=len(key))[root] > 1)
+        held = np.flatnonzero(np.bincount(root, minlength=len(key))[root] > 1)
         whole = np.flatnonzero(sizes > most)
-        return named(np.append(name[root[joined]].view(np.int64), key[whole]), np.append(vertex[joined], vertex[whole]))
+        return named(np.append(name[root[held]].view(np.int64), key[whole]), np.append(vertex[held], vertex[whole]))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(close, "key long, vertex long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "key long, vertex long").distinct()
 
 
 def content(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -306,28 +326,29 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) between vertices of ``rows`` (key, vertex, n, parity): enough of the near pairs to join what they all join.
 
-    In each round, the first vertex of a key is held against the key's other
-    ones, and then the first of those it is not joined with.  Keys whose
-    vertices are joined by then are done; only between what is still apart in
-    a key are all pairs held against each other.  Sizes and parity sketches
-    decide inside the join which pairs come out of it with their sets.
+    In each round, one vertex of a key is held against those of the key's
+    vertices that it is not joined with.  Each key draws its own, from one
+    of its components so far, so that a large group that many keys share is
+    held against many of its members.  Keys whose vertices are joined by then
+    are done; only between what is still apart in a key are all pairs held
+    against each other.  Sizes and parity sketches decide inside the joins
+    which pairs come out of them, so no row is made for other pairs.
     """
     near = may_be_near(F.col("n"), F.col("m"), F.col("p"), F.col("q"))
-    links, named, left = None, rows.withColumn("component", F.col("vertex")), rows.withColumn("component", F.col("vertex"))
-    for _ in range(STAR_ROUNDS):
-        lead = left.groupBy("key").agg(F.min(F.struct("vertex", "n", "component", "parity")).alias("o"))
-        chosen = left.join(lead, "key").where(F.col("component") != F.col("o.component")).select(F.col("o.vertex").alias("a"), F.col("vertex").alias("b"), "n", F.col("o.n").alias("m"), F.col("parity").alias("p"), F.col("o.parity").alias("q"))
-        found = cut(alike(chosen.where(near).select("a", "b").distinct(), sets), "near-star")
+    links, held = None, rows.withColumn("component", F.col("vertex"))
+    for k in range(STAR_ROUNDS):
+        drawn = F.struct(F.xxhash64(F.lit(k), "key", "component"), F.xxhash64(F.lit(k), "key", "vertex"), "component", "vertex", "n", "parity")
+        lead = held.groupBy("key").agg(F.max(drawn).alias("o")).select("key", F.col("o.vertex").alias("a"), F.col("o.n").alias("m"), F.col("o.component").alias("c"), F.col("o.parity").alias("q"))
+        chosen = held.select("key", F.col("vertex").alias("b"), "n", F.col("component").alias("d"), F.col("parity").alias("p")).join(lead, "key").where((F.col("c") != F.col("d")) & near)
+        found = cut(alike(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets), "near-star")
         links = found if links is None else links.union(found)
         joined = rows.join(components(links), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
         apart = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        named = cut(joined.join(apart, "key", "left_semi"), "near-apart")
-        if named.isEmpty():
+        held = cut(joined.join(apart, "key", "left_semi"), "near-apart")
+        if held.isEmpty():
             return links
-        first = named.groupBy("key").agg(F.min(F.struct("vertex", "component")).alias("o"))
-        left = named.join(first, "key").where(F.col("component") != F.col("o.component")).drop("o")
-    one = named.select("key", F.col("vertex").alias("a"), "n", F.col("component").alias("c"), F.col("parity").alias("p"))
-    other = named.select("key", F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("parity").alias("q"))
+    one = held.select("key", F.col("vertex").alias("a"), "n", F.col("component").alias("c"), F.col("parity").alias("p"))
+    other = held.select("key", F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("parity").alias("q"))
     rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near).select("a", "b").distinct()
     return links.union(alike(rest, sets))
 
@@ -345,7 +366,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     vertices = cut(least, "vertices")
     short = F.xxhash64("vertex")
     close = cut(close_rows(part_rows(vertices.where(F.col("n") >= NEAR_LEAST).withColumn("vertex", short), parts, width)), "close")
-    rows = cut(close.withColumnRenamed("vertex", "short").join(vertices.select(short.alias("short"), "vertex", "n", "parity"), "short").drop("short"), "close-rows")
+    sketched = vertices.select(short.alias("short"), "vertex", "n", "parity")
+    near = near_rows(close.withColumnRenamed("vertex", "short").join(sketched.drop("vertex"), "short").withColumnRenamed("short", "vertex"))
+    rows = cut(near.withColumnRenamed("vertex", "short").join(sketched, "short").drop("short"), "near-rows")
     wanted = vertices.join(rows.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "id.one", "id.two")
     sets = cut(sets_of(docs, cut(wanted, "wanted"), id_col, text_col), "sets")
     linked = components(near_links(rows, sets))

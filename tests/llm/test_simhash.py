@@ -163,3 +163,49 @@ def test_parity_sketches_leave_out_no_near_pair(spark):
     frame = spark.createDataFrame(rows, "n int, m int, p array<long>, q array<long>, near boolean")
     got = frame.select("near", simhash.may_be_near(F.col("n"), F.col("m"), F.col("p"), F.col("q")).alias("may")).collect()
     assert all(r.may for r in got if r.near) and sum(r.may and not r.near for r in got) < 60 and any(r.near for r in got)
+
+
+def test_a_large_group_that_is_close_but_not_near_reaches_no_join(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(320)]
+    texts = []
+    for _ in range(60):
+        low = rng.randrange(280)
+        texts.append(" ".join(base[:low] + [word() for _ in range(40)] + base[low + 40 :]))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    near = {(i, j) for j in range(60) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    seen, links = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda rows, sets: seen.append(rows.collect()) or links(rows, sets))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    parts, _ = simhash.near_parts(60)
+    assert len(seen[0]) < 60 * parts / 8
+    root = brute_links(60, near)
+    assert kept == set(root)
+
+
+def brute_links(n, pairs):
+    root = list(range(n))
+    for i, j in sorted(pairs):
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("most", [2048, 6])
+def test_rows_that_may_be_near_keep_every_pair(spark, most):
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(30):
+        s = rng.integers(1 << 63, size=int(rng.integers(20, 200)), dtype=np.uint64)
+        sets += [np.unique(s), np.unique(s[len(s) // 20 :]), np.unique(s[len(s) // 3 :])]
+    rows = [(k % 3, v, len(sets[v]), simhash.parity(sets[v]).tolist()) for v in range(len(sets)) for k in (v // 30, v // 45)]
+    frame = spark.createDataFrame(sorted(set((k, v, n, tuple(p)) for k, v, n, p in rows)), "key long, vertex long, n int, parity array<long>")
+    one, other = (frame.select("key", F.col("vertex").alias(v), F.col("n").alias(n), F.col("parity").alias(p)) for v, n, p in (("a", "n", "p"), ("b", "m", "q")))
+    may = one.join(other, "key").where(F.col("a") < F.col("b")).where(simhash.may_be_near(F.col("n"), F.col("m"), F.col("p"), F.col("q")))
+    expected = {(r.a, r.b) for r in may.select("a", "b").collect()}
+    groups = {}
+    for r in simhash.near_rows(frame, most).collect():
+        groups.setdefault(r.key, set()).add(r.vertex)
+    found = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert len(expected) >= 30 and expected <= found and (most < 2048 or len(found) < 3 * len(expected))
