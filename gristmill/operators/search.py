@@ -213,12 +213,48 @@ def rows_of(index: Index, expanded: DataFrame) -> DataFrame:
 
 def search(index: Index, words: list[str], weights: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best documents that match every word: by the worst level of a word, then weight, then id."""
-    matched = rows_of(index, expand(words, index))
+    return _best(rows_of(index, expand(words, index)), words, weights, limit)
+
+
+def search_texts(docs: DataFrame, words: list[str], weights: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``search`` finds, from one reading of the texts: less work than an index that only one search would read."""
+    return _best(standing(docs, words, doc_id, text), words, weights, limit)
+
+
+def _best(matched: DataFrame, words: list[str], weights: DataFrame, limit: int) -> DataFrame:
     per_word = matched.groupBy("doc_id", "word").agg(F.min("level").alias("level"))
     scored = per_word.groupBy("doc_id").agg(F.count("*").alias("words"), F.max("level").alias("level")).where(F.col("words") == len(set(words)))
     return scored.join(weights, "doc_id").orderBy("level", F.desc("weight"), "doc_id").limit(limit).select("doc_id", "level", "weight")
 
 
+def may_stand(words: list[str]) -> str:
+    """A pattern of the tokens of a folded text that begin with a word or share a piece with one, as ``asked_pieces`` has it: all that may stand for the words, and some more."""
+    sized: dict[int, set[str]] = {}
+    for _, edits, n, part, piece in asked_pieces(words):
+        start, length = cut_at(n, 2 * edits + 1)[part]
+        sized.setdefault(n, set()).add(f"[a-z0-9]{{{start}}}{piece}[a-z0-9]{{{n - start - length}}}")
+    typos = [f"(?=[a-z0-9]{{{n}}}(?![a-z0-9]))(?:{'|'.join(sorted(sized[n]))})" for n in sorted(sized)]
+    return f"(?<![a-z0-9])(?:{'|'.join([f'(?:{'|'.join(words)})[a-z0-9]*', *typos])})"
+
+
+def standing(docs: DataFrame, words: list[str], doc_id: str, text: str) -> DataFrame:
+    """(doc_id, word, level): the levels of ``expand`` at which tokens of a row of ``docs`` stand for the words."""
+
+    def level(word: str, token: str) -> int | None:
+        if token.startswith(word):
+            return int(token != word)
+        edits = budget(word)
+        return 2 if edits and abs(len(word) - len(token)) <= edits and near(word, token)[0] <= edits else None
+
+    @F.pandas_udf("array<int>")
+    def levels(tokens: pd.Series) -> pd.Series:
+        return tokens.map({t: [level(w, t) for w in words] for t in tokens.unique()})
+
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col(text)), F.lit(may_stand(words)), F.lit(0)))).alias("token"))
+    each = found.select("doc_id", F.posexplode(levels("token")).alias("at", "level")).where("level IS NOT NULL")
+    return each.select("doc_id", F.element_at(F.array(*map(F.lit, words)), F.col("at") + 1).alias("word"), "level")
+
+
 def phrase(text: Column, words: list[str]) -> Column:
     """Whether the words stand side by side in order among a text's tokens, without cutting the text into them."""
     return F.rlike(folded(text), F.lit(f"(?<![a-z0-9]){'[^a-z0-9]+'.join(words)}(?![a-z0-9])"))
