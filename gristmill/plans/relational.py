@@ -175,12 +175,12 @@ def _points(spark, d):
 
 @query(
     "knn_radius",
-    f"""WITH p AS ({_POINTS}), j AS (SELECT a.vec_id, b.vec_id AS near_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+    f"""WITH p AS ({_POINTS}), j AS (SELECT a.vec_id, b.vec_id AS near_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM p a JOIN p b ON a.vec_id <> b.vec_id)
     SELECT vec_id, near_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, near_id) AS INTEGER) AS rank FROM j WHERE distance <= 0.05) WHERE rank <= 4""",
 )
 def knn_radius(spark, d):
     points = _points(spark, d)
-    near = joins.nearest_within(points.where("vec_id % 20 = 0"), points.select(F.col("vec_id").alias("near_id"), "x", "y"), 0.05, 4, "vec_id", "near_id")
+    near = joins.nearest_within(points, points.select(F.col("vec_id").alias("near_id"), "x", "y"), 0.05, 4, "vec_id", "near_id")
     return near.drop("distance")
 
 
