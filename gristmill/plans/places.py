@@ -177,11 +177,13 @@ def bilinear_heights(spark, d):
     return placed.select("c_custkey", F.round(height, 6).alias("height"))
 
 
-@query("membership_lists", f"{_INSIDE} SELECT ring, c_custkey - c_custkey % 1000 AS block, list(c_custkey ORDER BY c_custkey) AS members, count(*) AS n FROM i GROUP BY 1, 2")
+@query("membership_lists", f"{_INSIDE} SELECT ring, list(c_custkey ORDER BY c_custkey) AS members, count(*) AS n FROM i GROUP BY 1")
 def membership_lists(spark, d):
-    """The members of a ring as lists, one for each thousand of ids, so that no list grows with a ring."""
+    """The members of a ring in one list, which is put together from the ordered lists of each thousand of ids."""
     found = spatial.inside(_points(spark, d), _corners(spark, d), "ring", 2.0)
-    return found.groupBy("ring", blocks.block_of(F.col("c_custkey"), 1000).alias("block")).agg(F.array_sort(F.collect_list("c_custkey")).alias("members"), F.count("*").alias("n"))
+    listed = found.groupBy("ring", blocks.block_of(F.col("c_custkey"), 1000).alias("block")).agg(F.array_sort(F.collect_list("c_custkey")).alias("members"))
+    whole = listed.groupBy("ring").agg(F.array_sort(F.collect_list(F.struct("block", "members"))).alias("blocks"))
+    return whole.select("ring", F.flatten("blocks.members").alias("members")).withColumn("n", F.size("members").cast("long"))
 
 
 @query(
