@@ -20,8 +20,11 @@ The pipeline's stage takes near copies by Jaccard similarity instead.  A pair
 of 0.8 differs in 15 % of the bits on average, so its fingerprints are longer
 and cut into many parts (``near_parts``): those that differ in fewer bits than
 there are parts agree in one by the pigeonhole principle, most of the others
-by chance.  What agrees in a part and is close in further bits is verified by
-the exact similarity.
+by chance.  Each word's bits are reordered as above, a part is a group of
+correlated bits of one word, and its threshold is 0, or -1 (not looked up)
+for the groups in which most pairs agree; at such distances a threshold of 1
+probes more rows than further parts do.  What agrees in a part and is close in
+further bits is verified by the exact similarity.
 
 Edge cases: a null text counts as empty; no words make fingerprint 0, which
 links like any other; fewer words than a shingle make one shingle; rows that
@@ -142,6 +145,50 @@ def near_parts(n: int) -> tuple[int, int]:
     return ceil(log(1 / MISSED) / AGREE**width), width
 
 
+def near_words(parts: int, width: int) -> int:
+    """Words of a fingerprint that hold the parts, each within one word."""
+    return ceil(parts / (BITS // width))
+
+
+def near_order(vertices: DataFrame, parts: int, width: int) -> list[int]:
+    """The bits of the fingerprints ``fp``, ``width`` for each part: correlated bits of a word together, and of all such groups those in which the fewest pairs agree."""
+    count = near_words(parts, width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((count, BITS * BITS + 1), np.int64)
+        for batch in batches:
+            prints = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(batch.num_rows, -1)
+            for k in range(count):
+                total[k] += _moments(prints[:, k])
+        yield pa.RecordBatch.from_arrays([pa.array(range(count), pa.int32()), pa.array(list(total), pa.list_(pa.int64()))], names=["word", "sums"])
+
+    def ordered(table: pa.Table) -> pa.Table:
+        sums = np.sum([np.array(x.values) for x in table.column("sums")], axis=0)
+        joint, strength = _correlations(sums)
+        groups = _grown(strength, width)[: BITS // width]
+        word = table.column("word")[0].as_py()
+        return pa.table({"agree": [agreement(joint, g) for g in groups], "word": pa.array([word] * len(groups), pa.int32()), "bits": pa.array([[BITS * word + b for b in g] for g in groups], pa.list_(pa.int32()))})
+
+    sums = vertices.select("fp").mapInArrow(partial, "word int, sums array<long>")
+    groups = sums.groupBy("word").applyInArrow(ordered, "agree double, word int, bits array<int>").collect()
+    if not groups:
+        return list(range(parts * width))
+    least = sorted(groups, key=lambda r: (r.agree, r.word, r.bits))[:parts]
+    return [b for r in sorted(least, key=lambda r: (r.word, r.bits)) for b in r.bits]
+
+
+def agreement(joint: np.ndarray, group: list[int]) -> float:
+    """The estimated chance that two rows agree in all bits of ``group``, each bit depending on the one before it; ``joint`` is how often two bits are both set."""
+    rate = np.diag(joint)
+    single = rate**2 + (1 - rate) ** 2
+    chance = single[group[0]]
+    for a, b in zip(group, group[1:]):
+        both = joint[a, b]
+        cells = np.array([both, rate[a] - both, rate[b] - both, 1 - rate[a] - rate[b] + both])
+        chance *= (cells**2).sum() / single[a]
+    return float(chance)
+
+
 def near_fingerprint(held: np.ndarray, size: int) -> np.ndarray:
     """The SimHash of a set of hashes in ``size`` words: bits set in over half of the hashes, mixed anew for each word."""
     counts = np.zeros(BITS * size, np.int64)
@@ -201,8 +248,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return _with_sets(docs, "vertex binary, n int, fp array<long>, small array<long>, parity array<long>", columns)
 
 
-def part_rows(vertices: DataFrame, parts: int, width: int) -> DataFrame:
-    """(key, vertex, fp0, ...): a row for each of ``vertices`` (vertex, fp, small) and part of its fingerprint, and for each key of small sets."""
+def part_rows(vertices: DataFrame, parts: int, width: int, order: list[int] | None = None) -> DataFrame:
+    """(key, vertex, fp0, ...): a row for each of ``vertices`` (vertex, fp, small) and part of its fingerprint, and for each key of small sets.
+
+    ``order`` has the bits of one part after the other.
+    """
+    places = np.arange(parts * width) if order is None else np.array(order)
     powers = np.left_shift(1, np.arange(width, dtype=np.int64))
     names = ["key", "vertex", *(f"fp{k}" for k in range(CARRIED))]
 
@@ -212,7 +263,7 @@ def part_rows(vertices: DataFrame, parts: int, width: int) -> DataFrame:
                 batch = whole.slice(low, 500)
                 vertex = batch.column("vertex").to_numpy(zero_copy_only=False).astype(np.int64)
                 prints = batch.column("fp").flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(vertex), -1)
-                bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little", count=parts * width).reshape(len(vertex), parts, width)
+                bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, places].reshape(len(vertex), parts, width)
                 keys = (bits @ powers) + (np.arange(parts, dtype=np.int64) << width)
                 lists = batch.column("small")
                 small = np.repeat(np.arange(len(vertex)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -361,11 +412,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one, two = content(id_col, text_col)
     ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), one.alias("one"), two.alias("two"))
     parts, width = near_parts(docs.count())
-    made = cut(signatures(docs.select(ids.alias("id"), F.col(text_col).alias("text")), -(-parts * width // BITS) + CARRIED), "signatures")
+    made = cut(signatures(docs.select(ids.alias("id"), F.col(text_col).alias("text")), near_words(parts, width) + CARRIED), "signatures")
     least = made.groupBy("vertex").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "fp", "small", "parity")])
     vertices = cut(least, "vertices")
     short = F.xxhash64("vertex")
-    close = cut(close_rows(part_rows(vertices.where(F.col("n") >= NEAR_LEAST).withColumn("vertex", short), parts, width)), "close")
+    large = vertices.where(F.col("n") >= NEAR_LEAST).withColumn("vertex", short)
+    close = cut(close_rows(part_rows(large, parts, width, near_order(large, parts, width))), "close")
     sketched = vertices.select(short.alias("short"), "vertex", "n", "parity")
     near = near_rows(close.withColumnRenamed("vertex", "short").join(sketched.drop("vertex"), "short").withColumnRenamed("short", "vertex"))
     rows = cut(near.withColumnRenamed("vertex", "short").join(sketched, "short").drop("short"), "near-rows")
@@ -411,29 +463,40 @@ def _summed(fps: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray]) -
     return out
 
 
-def correlated_order(fps: DataFrame) -> list[int]:
-    """The 64 bits, in bytes of correlated bits: each byte is grown greedily around the bit that is most correlated with those left."""
+def _moments(values: np.ndarray) -> np.ndarray:
+    """How often each two of the 64 bits are both set, and the number of rows."""
+    bits = _unpacked(values).astype(np.float32)
+    return np.append(np.rint(bits.T @ bits).astype(np.int64).ravel(), len(values))
 
-    def moments(values: np.ndarray) -> np.ndarray:
-        bits = _unpacked(values).astype(np.float32)
-        return np.append(np.rint(bits.T @ bits).astype(np.int64).ravel(), len(values))
 
-    sums = _summed(fps, BITS * BITS + 1, moments)
+def _correlations(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often two bits are both set, as a share, and how strongly they are correlated, from summed ``_moments``."""
     n = max(1, int(sums[-1]))
     joint = sums[:-1].reshape(BITS, BITS) / n
     rate = np.diag(joint)
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
     strength = np.abs((joint - np.outer(rate, rate)) / np.outer(spread, spread)).round(9)
     np.fill_diagonal(strength, 0)
-    left, order = list(range(BITS)), []
+    return joint, strength
+
+
+def _grown(strength: np.ndarray, size: int) -> list[list[int]]:
+    """Groups of ``size`` bits, each grown greedily around the bit that is most correlated with those left; the last may be smaller."""
+    left, groups = list(range(BITS)), []
     while left:
         group = [max(left, key=lambda b: (strength[b, left].sum(), -b))]
         left.remove(group[0])
-        while len(group) < 8:
+        while left and len(group) < size:
             group.append(max(left, key=lambda b: (strength[b, group].sum(), -b)))
             left.remove(group[-1])
-        order += group
-    return order
+        groups.append(group)
+    return groups
+
+
+def correlated_order(fps: DataFrame) -> list[int]:
+    """The 64 bits, in bytes of correlated bits."""
+    _, strength = _correlations(_summed(fps, BITS * BITS + 1, _moments))
+    return [b for group in _grown(strength, 8) for b in group]
 
 
 def reorder(fps: np.ndarray, order: list[int]) -> np.ndarray:

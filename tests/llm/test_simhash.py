@@ -153,6 +153,28 @@ def test_near_candidates_come_from_parts_of_simhash_fingerprints(spark):
         assert expected <= found and (most < 2048 or len(found) < 1.5 * len(expected))
 
 
+def test_parts_of_near_fingerprints_are_correlated_bits(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    parts, width = 5, 10
+    assert simhash.near_words(parts, width) == 1 and simhash.near_words(164, 18) == 55
+    deal = rng.permutation(64)
+    bits = rng.integers(2, size=(3000, 64), dtype=np.uint8)
+    for k in range(6):  # ten places that mostly say the same, those of k = 0 nearly always 1
+        bits[:, deal[10 * k : 10 * k + 10]] = (bits[:, [deal[10 * k]]] | (k == 0)) ^ (rng.random((3000, 10)) < 0.1)
+    words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    frame = spark.createDataFrame([(k, [int(w[0]), 0, 0, 0], []) for k, w in enumerate(words)], "vertex long, fp array<long>, small array<long>").repartition(3)
+    order = simhash.near_order(frame, parts, width)
+    made = {frozenset(order[k : k + width]) for k in range(0, parts * width, width)}
+    assert made == {frozenset(deal[10 * k : 10 * k + 10].tolist()) for k in range(1, 6)}
+    keys = {(r.key, r.vertex) for r in simhash.part_rows(frame, parts, width, order).select("key", "vertex").collect()}
+    assert keys == {((p << width) + sum(int(bits[v, b]) << k for k, b in enumerate(order[p * width : (p + 1) * width])), v) for v in range(3000) for p in range(parts)}
+    assert simhash.near_order(frame.limit(0), parts, width) and abs(simhash.agreement(np.full((64, 64), 0.25) + np.eye(64) / 4, [1, 2, 3]) - 1 / 8) < 1e-12
+    used, rows_of = [], simhash.part_rows
+    monkeypatch.setattr(simhash, "part_rows", lambda vertices, *a: used.append(a) or rows_of(vertices, *a))
+    simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(edited()[:40])), "doc_id long, text string")).count()
+    assert len(used[0][2]) == used[0][0] * used[0][1] == len(set(used[0][2]))
+
+
 def test_parity_sketches_leave_out_no_near_pair(spark):
     rng = np.random.default_rng(4)
     pairs = []
